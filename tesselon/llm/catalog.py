@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import html_text, mixing, quality, sentencepiece_codec, simhash, token_counts, token_files, topk
+from tesselon.llm import html_text, mixing, order_minhash, quality, sentencepiece_codec, simhash, token_counts, token_files, topk
 from tesselon.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +50,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_order_minhash": op3_order_minhash,
     "op4_top_k": op4_top_k,
     "op5_html_text": op5_html_text,
     "op6_quality": op6_quality,
