@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import html_text, mixing, order_minhash, quality, sentencepiece_codec, simhash, token_counts, token_files, topk
+from tesselon.llm import html_text, mixing, order_minhash, pii, quality, sentencepiece_codec, simhash, token_counts, token_files, topk
 from tesselon.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_personal_data": op1_personal_data,
     "op2_mix_sources": op2_mix_sources,
     "op3_order_minhash": op3_order_minhash,
     "op4_top_k": op4_top_k,
