@@ -47,18 +47,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MA
     return leveled.withColumn("common", common).select("source", "source_size", F.when(F.col("open"), F.col("common") * F.col("w")).otherwise(limit).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED, also: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document.
 
     ``size`` is the number of words (null and empty texts: 0), ``taken`` the words that the mix takes
     of the document, whole copies only, at most ``most`` of them. Null sources form the last source.
     Repeated rows stay rows of their own; rows that agree in id and size are interchangeable. An empty
     table gives an empty result; a corpus without words takes nothing. Other columns are ignored. The
-    order depends on ``seed``, id and size alone, so reruns agree.
+    order depends on ``seed``, id and size alone, so reruns agree. ``also`` names columns to carry along.
     """
     size = word_count(text_or_empty())
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), size.cast("string"))), 1, _KEY_BITS // 4), 16, 10).cast("long")
-    slim = cut(docs.select("doc_id", "source", size.alias("size"), key.alias("key")))
+    slim = cut(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *also))
     sizes = cut(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
     n, hot, budget = sizes.agg(F.coalesce(F.sum("n"), F.lit(1)), F.coalesce(F.max("n"), F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
 
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
     queued = (
         summed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
         .join(shares, F.col("source").eqNullSafe(F.col("t")))
-        .select("doc_id", "size", "source_size", "target", "key", (F.col("start") + F.col("run")).alias("words"))
+        .select("doc_id", "size", "source_size", "target", "key", *also, (F.col("start") + F.col("run")).alias("words"))
     )
 
     ranges = math.ceil(math.sqrt(n * most))
@@ -101,7 +101,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
                 inside = F.struct(f.alias("finish"), F.col("key"), F.col("doc_id"), F.lit(e).alias("copy")) <= bound
             served.append((r < last["range"]) | ((r == last["range"]) & inside))
     copies_taken = sum((F.when(s, 1).otherwise(0) for s in served), F.lit(0))
-    return queued.select("doc_id", "size", "source_size", "target", (F.col("size") * copies_taken).cast("long").alias("taken"))
+    return queued.select("doc_id", "size", "source_size", "target", *also, (F.col("size") * copies_taken).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with the columns of ``docs``.
+
+    Documents without words are not taken. Rows that repeat id and text are one document, whose copies
+    add up.
+    """
+    names, h = docs.columns, F.xxhash64(text_or_empty())
+    rows = mix(docs.select("doc_id", "source", "text", h.alias("__h")), weights, most, seed, ("__h",))
+    copies = cut(rows.filter("taken > 0").groupBy(F.col("doc_id").alias("__d"), "__h").agg(F.sum(F.expr("taken div size")).alias("__n"), F.count(F.lit(1)).alias("__rows")))
+    out = docs.withColumn("__own", h)
+    if not copies.filter("__rows > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "__own"])
+    out = out.join(copies, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__own") == F.col("__h")))
+    return out.select(*names, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).select(*names)
 
 
 def mix_sql(weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED) -> str:

@@ -158,9 +158,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     the bias alone. Without any label all scores are 0.5. Null ids, which count as the empty text for
     the fold, and repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
-    model = fit(docs, labels, max_rows)
-    if model is None:
-        model = np.zeros((1 << BUCKET_BITS) + 1)
+    model = _model(docs, labels, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
@@ -169,3 +167,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def _model(docs: DataFrame, labels: DataFrame, max_rows: int) -> np.ndarray:
+    model = fit(docs, labels, max_rows)
+    return np.zeros((1 << BUCKET_BITS) + 1) if model is None else model
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, as they are, in one pass without a shuffle."""
+    model, names = _model(docs, labels, max_rows), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            texts = [(t or "").encode() for t in part.column("text").to_pylist()]
+            yield part.filter(pa.array(scores(texts, model) >= threshold))
+
+    return docs.select(*names).mapInArrow(run, docs.schema)
