@@ -61,7 +61,7 @@ def knn_graph(points: DataFrame, k: int, threshold: float | None = None) -> Data
         if wanted.isEmpty():
             break
         width *= 2
-    edges = reduce(DataFrame.unionByName, found)
+    edges = cut(reduce(DataFrame.unionByName, found))
     return edges if threshold is None else edges.filter(F.col("d") <= threshold)
 
 
