@@ -228,13 +228,21 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     while True:
         side = lambda c: part.select("graph_id", F.col("node").alias(c), F.col("part").alias(f"p{c}"))
         open_edges = edges.join(side("a"), ["graph_id", "a"]).join(side("b"), ["graph_id", "b"]).filter("pa <> pb")
-        each = open_edges.select("*", F.explode(F.array("pa", "pb")).alias("p"))
-        picked = cut(each.groupBy("graph_id", "p").agg(F.min(F.struct("w", "a", "b", "pa", "pb")).alias("e")).select("graph_id", "e.*").distinct())
+        each = open_edges.select("*", F.explode(F.array(F.struct(F.col("pa").alias("p"), F.col("pb").alias("q")), F.struct(F.col("pb").alias("p"), F.col("pa").alias("q")))).alias("s"))
+        picked = cut(each.groupBy("graph_id", F.col("s.p").alias("p")).agg(F.min(F.struct("w", "a", "b", "s.q")).alias("e")).select("graph_id", "p", "e.*"))
         if picked.isEmpty():
             break
-        new = picked.select("graph_id", "a", "b", "w")
+        new = picked.select("graph_id", "a", "b", "w").distinct()
         chosen = new if chosen is None else cut(chosen.unionByName(new))
-        node = lambda c: F.struct("graph_id", F.col(c).alias("p"))
-        merged = connected_components(picked.select(node("pa").alias("src"), node("pb").alias("dst"))).select("node.graph_id", F.col("node.p").alias("part"), F.col("label.p").alias("root"))
-        part = cut(part.join(merged, ["graph_id", "part"], "left").select("graph_id", "node", F.coalesce("root", "part").alias("part")))
+        # Two components may pick the same edge; the smaller is the root then. All others point on, and
+        # following the pointers of pointers reaches the root in a number of rounds that is a logarithm.
+        back = picked.select("graph_id", F.col("p").alias("q"), F.col("q").alias("back"))
+        roots = cut(picked.join(back, ["graph_id", "q"], "left").select("graph_id", "p", F.when((F.col("back") == F.col("p")) & (F.col("p") < F.col("q")), F.col("p")).otherwise(F.col("q")).alias("root")))
+        while True:
+            far = roots.select("graph_id", F.col("p").alias("root"), F.col("root").alias("far"))
+            jumped = cut(roots.join(far, ["graph_id", "root"]).select("graph_id", "p", F.col("far").alias("root"), F.col("root").alias("old")))
+            roots = jumped.drop("old")
+            if jumped.filter("root <> old").isEmpty():
+                break
+        part = cut(part.join(roots.select("graph_id", F.col("p").alias("part"), "root"), ["graph_id", "part"], "left").select("graph_id", "node", F.coalesce("root", "part").alias("part")))
     return edges.limit(0) if chosen is None else chosen

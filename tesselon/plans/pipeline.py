@@ -82,10 +82,13 @@ class Pipeline:
 
 
 def _fused(steps: list[Step]):
+    # The functions themselves travel to the workers, whose registry may not know them.
+    calls = [(_STEPS[s.name][0], s.params) for s in steps]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for s in steps:
-                frame = s(frame)
+            for function, params in calls:
+                frame = function(frame, **params)
             yield frame
 
     return run
