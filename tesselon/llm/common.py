@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselon.lineage import cut, shared_dir
+
+__all__ = ["chunks", "cut", "shared_dir", "table", "text_or_empty"]
+
 #: Characters of text that one step of a batch function holds at a time.
 CHUNK_BYTES = 1 << 20
 
@@ -17,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset, as in local
-    tests, a new temporary folder is taken.
-    """
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="tesselon-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -52,3 +34,5 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK_BYT
         step = max(1, int(batch.num_rows * size / max(1, values.nbytes - width)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        del batch, values
+        pa.default_memory_pool().release_unused()

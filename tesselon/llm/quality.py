@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tesselon.llm.common import chunks, text_or_empty
 
 BUCKET_BITS, DIM, GRAMS = 15, 8, (2, 4)
+#: Bytes of text hashed at a time; each needs some hundred bytes of arrays.
+STEP_BYTES = 1 << 18
 #: Labelled rows that training uses at most.
 MAX_ROWS = 4096
 FOLDS, THRESHOLD = 5, 0.3
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.ndar
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", STEP_BYTES):
             bags = [bag(features([t])[0]) for t in part.column("text").to_pylist()]
             columns = [pa.array([b[k] for b in bags], t) for k, t in ((0, pa.list_(pa.int32())), (1, pa.list_(pa.float32())))]
             yield pa.record_batch([part.column("doc_id"), part.column("y"), *columns], ["doc_id", "y", "ids", "share"])
@@ -137,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.ndar
         rows = []
         for b in batches:
             for doc_id, y, ids, share in zip(*(b.column(c) for c in ("doc_id", "y", "ids", "share")), strict=True):
-                rows.append((str(doc_id.as_py()), y.as_py(), np.asarray(ids.values, np.int64), np.asarray(share.values, np.float64)))
+                rows.append((str(doc_id.as_py()), y.as_py(), np.asarray(ids.values), np.asarray(share.values)))
         rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
         if rows:
             model = train([(r[2], r[3]) for r in rows], np.array([r[1] for r in rows]))
@@ -161,7 +163,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     model = _model(docs, labels, max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", STEP_BYTES):
             yield pa.record_batch([part.column("doc_id"), pa.array(scores(part.column("text").to_pylist(), model))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -179,7 +181,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     model, names = _model(docs, labels, max_rows), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", STEP_BYTES):
             texts = [(t or "").encode() for t in part.column("text").to_pylist()]
             yield part.filter(pa.array(scores(texts, model) >= threshold))
 

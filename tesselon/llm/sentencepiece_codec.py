@@ -27,7 +27,7 @@ from tesselon.llm.common import chunks, text_or_empty
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Parts of words that a worker remembers at most; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 SPACE = "▁"
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SHORT = 40
