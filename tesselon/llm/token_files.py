@@ -19,6 +19,7 @@ side. Numbers are little-endian; ids are unsigned 32-bit integers.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -39,9 +40,16 @@ END_ID = 2
 LANES, STEPS = 32, 512
 #: Ids after which a block is closed; a block always holds whole documents.
 BLOCK_IDS = 1 << 18
-REMEMBERED = 600_000
+#: Parts that a worker remembers at most; the memory is emptied when it is full.
+REMEMBERED = 1_000_000
+# The vocabulary's split pattern - contractions, runs of letters, single digits, runs of other characters
+# but white space - as it reads inside the scripts below, where the only numbers beside 0-9 are these six.
+_NUMBERS, _WHITE = "\u00b2\u00b3\u00b9\u00bc-\u00be", r" \t-\r\x85\xa0"
+_PARTS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[^\W\d_{_NUMBERS}]+|[0-9{_NUMBERS}]|[^\w{_WHITE}]+(?:_[^\w{_WHITE}]*)*|_(?:[^\w{_WHITE}]|_)*")
 _HEAD = struct.Struct("<4sHHIIQI")
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
+# Not in scripts of which every character is composed, has one small form and has long been a letter or not.
+_ODD = "[^\\x00-\u012f\u0131-\u024f\u0388-\u03a1\u03a4-\u03ce\u0400-\u0481\u048a-\u0527\u2010-\u2027\u20ac\u3041-\u3096\u309b-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]"
 
 
 class RangeCoder:
@@ -120,10 +128,11 @@ class RangeCoder:
 
 
 class WordTokenizer:
-    """The ids of whole texts by the tokenizers library, which sees each distinct word once.
+    """The ids of whole texts by the tokenizers library, which sees each distinct part of a word once.
 
-    The vocabulary's split pattern drops white space and no match spans it, so the ids of a text are
-    those of its words.
+    The vocabulary composes and lower-cases texts and then splits them; the split drops white space and
+    no part spans it. Ids are remembered by part. Words with special strings or with characters outside
+    the scripts below, such as combining marks, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -132,17 +141,44 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for s, i in self.library.get_vocab().items() if s.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        names = "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
+        self.odd = re.compile(f"(?i:{names})|{_ODD}" if names else _ODD)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that are encoded as one text: the last id of each part is one that ends words."""
+        if not parts:
+            return []
+        ids = np.array(self.library.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.width)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(parts) or stops[-1] != len(ids):
+            return self._library(parts)
+        raw, size = ids.tobytes(), self.width.itemsize
+        return [raw[a:b] for a, b in zip([0, *(stops[:-1] * size).tolist()], (stops * size).tolist(), strict=True)]
+
+    def _split(self, text: str) -> list[str]:
+        """The parts of a text; a word that goes to the library whole has a space in front."""
+        if not self.odd.search(text):
+            return _PARTS.findall(text.lower())
+        words = text.replace("\n", " ").split(" ")
+        return [p for w in words if w for p in ([" " + w] if self.odd.search(w) else _PARTS.findall(w.lower()))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._split(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        new = list(set().union(*split).difference(self.known))
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, self.width).tobytes()
+            self.known.clear()
+        new = set().union(*split).difference(self.known)
+        whole = [p for p in new if p[0] == " "]
+        parts = list(new.difference(whole))
+        self.known.update(zip(whole, self._library([w[1:] for w in whole]), strict=True))
+        self.known.update(zip(parts, self._joined(parts), strict=True))
         end, get = np.array([END_ID], self.width).tobytes(), self.known.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+        return [b"".join(map(get, parts)) + end for parts in split]
 
 
 @lru_cache(maxsize=2)
