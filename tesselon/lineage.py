@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to a table in the shared folder and read it again.
+
+    For loops this is better than a checkpoint: a checkpointed plan keeps the size that was estimated
+    for it, and as the estimate of a join is a product, it would grow without bound from round to
+    round. A table has the size of its files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -224,7 +224,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select("graph_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "w").filter("a <> b").groupBy("graph_id", "a", "b").agg(w))
     parts = edges.select("graph_id", F.col("a").alias("node")).unionAll(edges.select("graph_id", F.col("b").alias("node"))).distinct()
     part = cut(parts.withColumn("part", F.col("node")))
-    chosen = None
+    chosen: list[DataFrame] = []
     while True:
         side = lambda c: part.select("graph_id", F.col("node").alias(c), F.col("part").alias(f"p{c}"))
         open_edges = edges.join(side("a"), ["graph_id", "a"]).join(side("b"), ["graph_id", "b"]).filter("pa <> pb")
@@ -232,17 +232,15 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         picked = cut(each.groupBy("graph_id", F.col("s.p").alias("p")).agg(F.min(F.struct("w", "a", "b", "s.q")).alias("e")).select("graph_id", "p", "e.*"))
         if picked.isEmpty():
             break
-        new = picked.select("graph_id", "a", "b", "w").distinct()
-        chosen = new if chosen is None else cut(chosen.unionByName(new))
+        chosen.append(picked.select("graph_id", "a", "b", "w").distinct())
         # Two components may pick the same edge; the smaller is the root then. All others point on, and
         # following the pointers of pointers reaches the root in a number of rounds that is a logarithm.
         back = picked.select("graph_id", F.col("p").alias("q"), F.col("q").alias("back"))
         roots = cut(picked.join(back, ["graph_id", "q"], "left").select("graph_id", "p", F.when((F.col("back") == F.col("p")) & (F.col("p") < F.col("q")), F.col("p")).otherwise(F.col("q")).alias("root")))
-        while True:
+        changed = True
+        while changed:
             far = roots.select("graph_id", F.col("p").alias("root"), F.col("root").alias("far"))
-            jumped = cut(roots.join(far, ["graph_id", "root"]).select("graph_id", "p", F.col("far").alias("root"), F.col("root").alias("old")))
-            roots = jumped.drop("old")
-            if jumped.filter("root <> old").isEmpty():
-                break
+            roots = cut(roots.select("graph_id", "p", "root").join(far, ["graph_id", "root"]).select("graph_id", "p", F.col("far").alias("root"), F.col("root").alias("old")))
+            changed = not roots.filter("root <> old").isEmpty()
         part = cut(part.join(roots.select("graph_id", F.col("p").alias("part"), "root"), ["graph_id", "part"], "left").select("graph_id", "node", F.coalesce("root", "part").alias("part")))
-    return edges.limit(0) if chosen is None else chosen
+    return reduce(DataFrame.unionByName, chosen) if chosen else edges.limit(0)
