@@ -11,7 +11,8 @@ table that all blocks share. ``blocks`` holds one row per block of whole documen
     checksums (CRC-32 of ids) u32 x segments
     words                     u32 ...
 
-A segment is ``lanes`` interleaved coders of ``steps`` ids each. Every segment starts at a checkpoint
+A segment is ``lanes`` interleaved coders of ``steps`` ids each; the last is filled up by the most
+frequent id. Every segment starts at a checkpoint
 (states and word offset), so any of them can be decoded alone, and all of a block are decoded side by
 side. Numbers are little-endian; ids are unsigned 32-bit integers.
 """
@@ -68,15 +69,17 @@ class RangeCoder:
         self.position[self.ids] = np.arange(len(ids))
 
     def encode(self, ids: np.ndarray, lengths: np.ndarray) -> bytes:
-        size = LANES * STEPS
-        segments = -(-len(ids) // size)
-        symbols = np.zeros(segments * size, np.int32)
+        # As many segments as needed, of equal length, so that little is filled up.
+        segments = max(1, -(-len(ids) // (LANES * STEPS)))
+        steps = -(-len(ids) // (segments * LANES))
+        size = LANES * steps
+        symbols = np.full(segments * size, np.argmax(self.freq), np.int32)
         symbols[: len(ids)] = self.position[ids]
-        symbols = symbols.reshape(segments, STEPS, LANES)
+        symbols = symbols.reshape(segments, steps, LANES)
         state = np.full((segments, LANES), _LOW, np.uint64)
         words, sent = np.zeros(symbols.shape, np.uint32), np.zeros(symbols.shape, bool)
         bits, room = np.uint64(self.bits), np.uint64(63 - self.bits)
-        for t in range(STEPS - 1, -1, -1):
+        for t in range(steps - 1, -1, -1):
             now = symbols[:, t, :]
             freq = self.freq[now]
             over = state >= freq << room
@@ -86,8 +89,8 @@ class RangeCoder:
             state = (whole << bits) + (state - whole * freq) + self.first[now]
         offsets = np.concatenate(([0], np.cumsum(sent.sum(axis=(1, 2))))).astype("<u4")
         raw = ids.astype("<u4")
-        sums = np.array([zlib.crc32(raw[i : i + size]) for i in range(0, len(ids), size)], "<u4")
-        head = _HEAD.pack(b"TANS", LANES, self.bits, STEPS, segments, len(ids), len(lengths))
+        sums = np.array([zlib.crc32(raw[k * size : (k + 1) * size]) for k in range(segments)], "<u4")
+        head = _HEAD.pack(b"TANS", LANES, self.bits, steps, segments, len(ids), len(lengths))
         return b"".join((head, lengths.astype("<u4").tobytes(), state.astype("<u8").tobytes(), offsets.tobytes(), sums.tobytes(), words[sent].astype("<u4").tobytes()))
 
     def decode(self, payload: bytes, only: range | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +124,8 @@ class RangeCoder:
         ids = self.ids[out.reshape(-1)].astype("<u4")
         size, start = lanes * steps, int(chosen[0]) * lanes * steps if len(chosen) else 0
         ids = ids[: max(0, n - start)]
-        for k, i in zip(chosen, range(0, len(ids), size), strict=True):
-            if zlib.crc32(ids[i : i + size]) != sums[k]:
+        for at, k in enumerate(chosen):
+            if zlib.crc32(ids[at * size : (at + 1) * size]) != sums[k]:
                 raise ValueError("a block's checksum differs")
         return ids, lengths
 
