@@ -177,6 +177,11 @@ LABELLED = """
 9 0.6 50 0.0 2 1.0 1 0
 30 0.8 50 0.0 6 1.0 1 0
 16 0.7 3 1.0 4 1.0 1 0
+3 1.0 40 0.0 0 0.0 1 0
+4 1.0 60 0.0 7 0.0 1 0
+2 1.0 25 0.1 30 0.0 1 0
+6 0.0 2 1.0 30 0.0 1 1
+5 0.0 1 1.0 18 0.0 1 1
 """
 
 
