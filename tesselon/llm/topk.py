@@ -55,10 +55,15 @@ def _integers(*parts: np.ndarray) -> list[np.ndarray]:
 
 
 def _best(queries: pa.Table, candidates: pa.Table, k: int) -> tuple[list, list, list]:
-    """Query ids, candidate ids and scores of the best ``k`` candidates of each query in a pair of blocks."""
+    """Query ids, candidate ids and scores of the best ``k`` candidates of each query in a pair of blocks.
+
+    Scores are held at the ends of a long; vectors of one id with the same score count once.
+    """
     order = np.argsort(candidates["vec_id"].to_numpy(), kind="stable")
     ids = candidates["vec_id"].to_numpy()[order]
     query_ids = queries["vec_id"].to_numpy()
+    equal = ids[1:] == ids[:-1]
+    repeated = np.flatnonzero(np.concatenate((equal, [False])) | np.concatenate(([False], equal)))
     weights, stored = _integers(_matrix(queries["v"]), _matrix(candidates["v"])[order])
     postings = [(np.flatnonzero(stored[:, t]), stored[:, t]) for t in range(stored.shape[1])]
     out: tuple[list, list, list] = ([], [], [])
@@ -74,10 +79,17 @@ def _best(queries: pa.Table, candidates: pa.Table, k: int) -> tuple[list, list,
             else:
                 score[np.ix_(holds, rows)] += own[holds, t, None] * column[rows]
         for q, line in zip(query_ids[at : at + _ROWS], score, strict=True):
-            left = np.flatnonzero(ids != q)
+            if line.dtype == object:
+                line = np.array([min(max(int(x), _LONG[0]), _LONG[1]) for x in line], np.int64)
+            counts = ids != q
+            if len(repeated):
+                by_score = repeated[np.lexsort((line[repeated], ids[repeated]))]
+                one, two = by_score[:-1], by_score[1:]
+                counts[two[(ids[one] == ids[two]) & (line[one] == line[two])]] = False
+            left = np.flatnonzero(counts)
             line = line[left]
             if len(left) > k:
-                bound = np.partition(line, len(line) - k)[len(line) - k] if line.dtype != object else sorted(line)[-k]
+                bound = np.partition(line, len(line) - k)[len(line) - k]
                 above = np.flatnonzero(line > bound)
                 level = np.flatnonzero(line == bound)[: k - len(above)]  # ids ascend, so ties go to the smaller
                 chosen = np.concatenate((above, level))
@@ -114,9 +126,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
 
     def score(own: pa.Table, stored: pa.Table) -> pa.Table:
         q, c, s = _best(own, stored, k) if own.num_rows and stored.num_rows else ([], [], [])
-        held = [min(max(int(x), _LONG[0]), _LONG[1]) for x in s]
         types = stored.schema.field("vec_id").type
-        return pa.table([pa.array(q, types), pa.array(c, types), pa.array(held, pa.int64())], ["query_id", "vec_id", "score"])
+        return pa.table([pa.array(q, types), pa.array(c, types), pa.array(s, pa.int64())], ["query_id", "vec_id", "score"])
 
     found = queries.cogroup(candidates).applyInArrow(score, f"query_id {kind}, vec_id {kind}, score long").distinct()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

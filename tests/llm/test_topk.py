@@ -33,3 +33,17 @@ def test_ties_go_to_the_smaller_id(spark, k):
     vectors = spark.createDataFrame([(i, [1.0]) for i in range(101)], "vec_id long, embedding array<double>")
     got = topk.top_k(vectors, k=k).filter("query_id = 50").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == list(range(k))
+
+
+def test_repeated_candidates_leave_room_for_others(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)]
+    rows += [(7, [9.0, 9.0])] * 20  # one row, repeated
+    rows += [(8, [20.0, float(-i)]) for i in range(20)]  # one id, vectors whose scores for query 0 are equal
+    rows[0] = (0, [1.0, 0.0])
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    expected = sorted(con.execute(topk.top_k_sql()).fetchall())
+    assert [r[2] for r in expected[:2]] == [8, 7] and len(expected) == 10
+    assert sorted(map(tuple, topk.top_k(vectors).collect())) == expected
