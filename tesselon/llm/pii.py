@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and unseen identifiers found by bootstrapped contextual extraction.
 
-The matches of four fixed patterns are the seed entities. Every seed and every other token that looks
-like an identifier occurs in lexical patterns: the two words before it, or the words on both sides,
-together with its shape. Patterns and instances form a graph, which Spark scores in rounds: a pattern
+The matches of four fixed patterns are the seed entities. Candidates are e-mail addresses spelled with
+"at" and "dot", numbers of several tokens, and every other token with a digit or an at sign. Seeds and
+candidates occur in lexical patterns: the two words before, or the words on both sides, together with a
+coarse class, which tells names from long and short numbers but not how they are written. Patterns and instances form a graph, which Spark scores in rounds: a pattern
 is as trustworthy for a kind as the instances it occurs with, an instance as the patterns it occurs in.
 Tokens in patterns of high confidence and support become spans of that kind.
 """
@@ -10,7 +11,7 @@ Tokens in patterns of high confidence and support become spans of that kind.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,7 +34,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT, _DIGITS, _NOT_DIGIT = re.compile("[0-9]"), re.compile("[0-9]+"), re.compile("[^0-9]+")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]|@")
+_AT = re.compile(r"(?<!\S)at(?!\S)|[\[({<]\s?(?:at|@)\s?[\])}>]|@", re.IGNORECASE)
+_BEFORE_AT = re.compile(r"(?<![^\s\"'(<\[{,;:])(?:[\w.%+-]+\sdot\s){0,3}[\w.%+-]+\s{0,2}\Z", re.IGNORECASE)
+_AFTER_AT = re.compile(r"\s{0,2}[A-Z0-9-]{1,63}(?:(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)[A-Z0-9-]{1,63})*(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)[A-Z]{2,63}(?![\w@])", re.IGNORECASE)
+# A number begins after white space or a sign that no number holds, which keeps long runs linear.
+_NUMBER = r"[(\[+]{0,2}+[0-9][0-9().\[\]/+-]*+(?![^\s\"'>},;:!?*#$%&])"
+_NUMBERS = re.compile(rf"(?<![^\s\"'<{{,;:!?*#$%&=]){_NUMBER}(?:[^\S\r\n]{{1,2}}(?:[-/][^\S\r\n])?{_NUMBER})+")
+#: Digits of a number of several tokens; a token with at least ``_ALONE`` is never joined with others; fewer than ``_LONG`` are a short number.
+_LONG, _ALONE, _MOST = 7, 12, 19
 _EDGE = "\"'()[]{}<>,;:!?*#$%&"
 
 
@@ -78,32 +87,83 @@ def _patterns(text: str, start: int, end: int) -> tuple[str, list[str]]:
     if start > _WINDOW and left and not before[0].isspace():
         left = left[1:]
     right = after.split()[:1]
-    shape = _LETTERS.sub("a", _DIGITS.sub("0", text[start:end]))[:_WINDOW]
+    filler = text[start:end]
+    coarse = "name" if _LETTER.search(filler) else "long" if len(_DIGIT.findall(filler)) >= _LONG else "short"
     word = lambda w: _DIGITS.sub("0", w.lower())
     known = []
     if len(left) >= 2:
-        known.append(f"{word(left[-2])} {word(left[-1])} _ | {shape}")
+        known.append(f"{word(left[-2])} {word(left[-1])} _ | {coarse}")
     if left and right:
-        known.append(f"{word(left[-1])} _ {word(right[0])} | {shape}")
-    return text[start:end].lower(), known
+        known.append(f"{word(left[-1])} _ {word(right[0])} | {coarse}")
+    return filler.lower(), known
+
+
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """E-mail addresses with "at" or "dot" in words, in brackets or between blanks."""
+    free = 0
+    for m in _AT.finditer(text):
+        base = max(free, m.start() - _WINDOW)
+        local = _BEFORE_AT.search(text[base : m.start()])
+        domain = local and _AFTER_AT.match(text, m.end())
+        if domain:
+            yield base + local.start(), domain.end()
+            free = domain.end()
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers of several tokens, from ``_LONG`` to ``_MOST`` digits."""
+    for m in _NUMBERS.finditer(text):
+        group: list[tuple[int, int, int]] = []
+        for token in re.finditer(r"\S*[0-9]\S*|\Z", m[0]):
+            digits = len(_DIGIT.findall(token[0]))
+            if digits and digits < _ALONE:
+                group.append((m.start() + token.start(), m.start() + token.end(), digits))
+                continue
+            if len(group) > 1 and _LONG <= sum(g[2] for g in group) <= _MOST:
+                start, end = group[0][0], group[-1][1]
+                while text[end - 1] in ".-/+([":
+                    end -= 1
+                own = text[start:end]
+                if own[0] in "([" and own[-1] in ")]" and sum(map(own.count, "([")) == 1:
+                    start, end = start + 1, end - 1
+                elif own[0] in "([" and not any(c in own for c in ")]"):
+                    start += 1
+                elif own[-1] in ")]" and not any(c in own for c in "(["):
+                    end -= 1
+                yield start, end
+            group = []
+
+
+def _apart(spans: Iterable[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The spans that overlap none of ``taken``; both by start, spans one after the other."""
+    k = reach = 0
+    for start, end in spans:
+        while k < len(taken) and taken[k][0] < end:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if start < end and reach <= start:
+            yield start, end
 
 
-def occurrences(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
-    """(start, end, kind or -1, instance, patterns) of the seeds and of all other tokens with a digit or an at sign."""
-    out = [(a, b, kind, *_patterns(text, a, b)) for a, kind, b in seeds]
-    taken, k = sorted((a, b) for a, _, b in seeds), 0
-    reach = 0
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens with a digit or an at sign, without the signs around them."""
     for m in _TOKEN.finditer(text):
         start, end = m.span()
         while start < end and text[start] in _EDGE:
             start += 1
         while end > start and text[end - 1] in _EDGE + ".":
             end -= 1
-        while k < len(taken) and taken[k][0] < end:
-            reach = max(reach, taken[k][1])
-            k += 1
-        if start < end and reach <= start:
-            out.append((start, end, -1, *_patterns(text, start, end)))
+        yield start, end
+
+
+def occurrences(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
+    """(start, end, kind or -1, instance, patterns) of the seeds and of all candidates that overlap none, nor each other."""
+    out = [(a, b, kind, *_patterns(text, a, b)) for a, kind, b in seeds]
+    taken = sorted((a, b) for a, _, b in seeds)
+    for candidates in (_spelled, _numbers, _tokens):
+        fresh = list(_apart(candidates(text), taken))
+        out += [(a, b, -1, *_patterns(text, a, b)) for a, b in fresh]
+        taken = sorted(taken + fresh)
     return out
 
 

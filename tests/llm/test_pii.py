@@ -81,3 +81,31 @@ def test_awkward_rows(awkward, empty):
     masked = pii.mask(awkward)
     assert masked.columns == awkward.columns and masked.count() == awkward.count()
     assert masked.filter("text LIKE '%<email>%'").count() == 1 and masked.filter("text IS NULL").count() == 2
+
+
+def test_trusted_context_finds_shapes_that_no_seed_has(spark):
+    phones = [f"+1 ({200 + i}) 555-{1000 + 7 * i}" for i in range(40)]
+    mails = [f"user.{i}@mail{i % 9}.example.com" for i in range(40)]
+    cards = [with_check_digit(f"40000000000{i:04d}") for i in range(40)]
+    frames = {"phone": "you can call me on {} after lunch", "email": "send all letters to {} before noon", "card": "charge account number {} for this"}
+    unseen = {
+        "phone": ["(743) 555-3824", "743-555-3824", "743 555 3824", "0743/5553824", "743.555.3824"],
+        "email": ["john dot doe at mail dot example dot com", "jane (at) example (dot) com", "jim[at]example.com", "joe @ example.com"],
+        "card": ["4000 0000 0000 0001", "4000-0000-0000-0003", "4000000000000005"],
+    }
+    texts = [frames[k].format(x) for k, xs in (("phone", phones), ("email", mails), ("card", cards)) for x in xs]
+    asked = [(k, x, frames[k].format(x)) for k, xs in unseen.items() for x in xs]
+    other = [f"the chapter {x} is over" for _, x, _ in asked]
+    docs = spark.createDataFrame(list(enumerate(texts + [t for *_, t in asked] + other)), "doc_id int, text string")
+    got = [r["spans"] for r in pii.find(docs).orderBy("doc_id").collect()][len(texts) :]
+    assert got[: len(asked)] == [f"{k}:{t.index(x)}:{t.index(x) + len(x)}" for k, x, t in asked]
+    assert not any(got[len(asked) :])
+
+
+def test_candidates_are_linear_and_apart():
+    for text in ("1 " * 150_000, "(1" * 150_000, "a at " * 60_000, "a." * 150_000 + " at b", "x@" * 150_000, "a at " + "b." * 150_000):
+        spans = sorted((a, b) for a, b, *_ in pii.occurrences(text, pii.base_spans(text)))
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+    places = lambda text: [text[a:b] for a, b, *_ in pii.occurrences(text, [])]
+    assert places("ring (743 555 3824), or 5 4000000000000005 or 1 2") == ["743 555 3824", "5", "4000000000000005", "1", "2"]
+    assert places("we meet at noon. Look at 5.30") == ["5.30"]
