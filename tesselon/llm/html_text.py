@@ -109,10 +109,13 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in _BLOCK or _HINT.search(m[3].lower()) or _HIDDEN.search(m[3]):
             stack.append((tag, place, False))
-            hinted = any(_HINT.search(a.lower()) for a in _ATTRIBUTE.findall(m[3]))
-            if tag in ("article", "main") and place != ASIDE:
+            hints = [a.lower().strip("\"'") for a in _ATTRIBUTE.findall(m[3])]
+            hinted = any(map(_HINT.search, hints))
+            # An article may be one with comments or without a sidebar: here a name must begin with the hint.
+            own = tag == "article" and any(_HINT.match(name) for a in hints for name in a.split())
+            if tag in ("article", "main") and place != ASIDE and not own:
                 place, article = INSIDE, True
-            elif tag in _ASIDE or (tag == "header" and place != INSIDE) or _HIDDEN.search(m[3]) or (hinted and tag not in ("body", "html", "main", "article")):
+            elif tag in _ASIDE or (tag == "header" and place != INSIDE) or _HIDDEN.search(m[3]) or own or (hinted and tag not in ("body", "html", "main", "article")):
                 if tag not in _BLOCK:
                     flush()
                 place = ASIDE
@@ -182,6 +185,36 @@ LABELLED = """
 2 1.0 25 0.1 30 0.0 1 0
 6 0.0 2 1.0 30 0.0 1 1
 5 0.0 1 1.0 18 0.0 1 1
+9 0.0 0 0.0 7 0.0 1 1
+7 0.0 9 0.0 8 0.0 1 1
+4 0.0 7 0.0 5 0.0 1 1
+8 0.0 7 0.0 0 0.0 1 1
+4 1.0 60 0.0 3 1.0 2 0
+3 1.0 4 1.0 3 1.0 2 0
+2 1.0 3 1.0 5 1.0 2 0
+5 1.0 2 1.0 0 0.0 2 0
+3 1.0 4 1.0 40 0.0 2 0
+40 0.0 50 0.0 3 1.0 2 1
+30 0.0 3 1.0 50 0.0 2 1
+5 0.0 3 1.0 4 1.0 2 1
+80 0.0 70 0.0 60 0.0 0 1
+60 0.0 80 0.0 90 0.02 0 1
+90 0.02 60 0.0 75 0.0 0 1
+3 1.0 20 0.0 25 0.0 2 1
+5 1.0 90 0.0 60 0.0 2 1
+4 1.0 8 0.0 12 0.0 2 1
+4 1.0 90 0.0 3 1.0 2 0
+5 1.0 3 1.0 80 0.0 2 0
+3 1.0 70 0.0 4 1.0 2 0
+4 1.0 4 1.0 70 0.0 2 0
+3 1.0 90 0.0 60 0.0 -1 0
+3 1.0 30 0.0 20 0.0 -1 0
+70 0.0 80 0.0 90 0.0 -1 0
+4 1.0 80 0.0 50 0.0 0 0
+60 0.0 5 0.0 70 0.0 0 0
+22 0.0 90 0.0 70 0.0 0 0
+70 0.0 2 1.0 80 0.0 0 0
+3 1.0 75 0.0 70 0.0 1 0
 """
 
 

@@ -41,3 +41,18 @@ def test_awkward_rows(spark):
     got = html_text.extract(pages).collect()
     assert [(r["text"], r["n_chars"]) for r in got] == [("", 0), ("", 0), ("x y", 3)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_words_and_density_decide_inside_and_outside_articles():
+    words = " ".join(["word"] * 70)
+    listed = "<ul><li><a href=1>Some other story</a></li><li><a href=2>One more of these</a></li><li><a href=3>And a third</a></li></ul>"
+    assert html_text.main_text(f"<article><h1>Title</h1><p>{words}</p>{listed}<p>{words}</p></article>", TREE) == f"Title\n{words}\n{words}"
+    assert html_text.main_text(f"<article><p>{words}</p><p><a href=1>See this one</a></p><p>{words}</p></article>", TREE) == f"{words}\nSee this one\n{words}"
+    body = "".join(f"<p>{words}</p>" for _ in range(5))
+    assert html_text.main_text(f"<article><p>A teaser of it</p></article><div>{body}</div>", TREE).count(words) >= 3
+
+
+def test_hints_on_articles_and_short_paragraphs():
+    words = " ".join(["word"] * 40)
+    assert html_text.main_text(f'<article class="post has-comments"><p>{words}</p></article><article class="comment" id=c1><p>{words} mine</p></article>', TREE) == words
+    assert html_text.main_text("<body><p>It was late that night.</p><p>Nobody came to the door.</p><p>She went to bed.</p>", TREE).count("\n") == 2
