@@ -42,6 +42,9 @@ class PairMerger:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, ids = spec["model"], spec["model"]["vocab"]
+        way = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or (way.get("type"), way.get("add_prefix_space"), way.get("use_regex")) != ("ByteLevel", False, True) or any(model.get(k) for k in ("dropout", "end_of_word_suffix", "continuing_subword_prefix", "ignore_merges")) or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: only byte-level vocabularies that split texts like {VOCABULARY} are supported")
         self.first = np.zeros(256, np.int64)
         for symbol, byte in _byte_symbols().items():
             self.first[byte] = ids[symbol]

@@ -12,13 +12,14 @@ table that all blocks share. ``blocks`` holds one row per block of whole documen
     words                     u32 ...
 
 A segment is ``lanes`` interleaved coders of ``steps`` ids each; the last is filled up by the most
-frequent id. Every segment starts at a checkpoint
-(states and word offset), so any of them can be decoded alone, and all of a block are decoded side by
-side. Numbers are little-endian; ids are unsigned 32-bit integers.
+frequent id. Every segment starts at a checkpoint (states and word offset), so any of them can be decoded
+alone. Numbers are little-endian; ids are unsigned 32-bit integers. Blocks are encoded and decoded some
+segments at a time, side by side, so memory beyond the ids and the payload does not grow with a text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -30,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,15 +40,27 @@ from tesselon.llm.common import chunks, shared_dir, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-LANES, STEPS = 32, 512
+LANES, STEPS = 32, 256
+#: Segments of a block that are encoded or decoded side by side.
+GROUP = 64
 #: Ids after which a block is closed; a block always holds whole documents.
-BLOCK_IDS = 1 << 18
-#: Parts that a worker remembers at most; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+BLOCK_IDS = 1 << 19
+#: Words, and parts of words, that a worker remembers at most, and the longest of them that it does; a memory is emptied when it is full.
+REMEMBERED, LONGEST = 600_000, 64
+#: Bytes of text whose words are told apart at a time.
+STEP_BYTES = 2 << 20
 # The vocabulary's split pattern - contractions, runs of letters, single digits, runs of other characters
-# but white space - as it reads inside the scripts below, where the only numbers beside 0-9 are these six.
+# but white space - as it reads inside the scripts below, where the only numbers beside 0-9 are these six; and line feeds.
 _NUMBERS, _WHITE = "\u00b2\u00b3\u00b9\u00bc-\u00be", r" \t-\r\x85\xa0"
-_PARTS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[^\W\d_{_NUMBERS}]+|[0-9{_NUMBERS}]|[^\w{_WHITE}]+(?:_[^\w{_WHITE}]*)*|_(?:[^\w{_WHITE}]|_)*")
+_PARTS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[^\W\d_{_NUMBERS}]+|[0-9{_NUMBERS}]|[^\w{_WHITE}]+(?:_[^\w{_WHITE}]*)*|_(?:[^\w{_WHITE}]|_)*|\n")
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _HEAD = struct.Struct("<4sHHIIQI")
 _LOW, _WORD = np.uint64(1 << 31), np.uint64(32)
 # Not in scripts of which every character is composed, has one small form and has long been a letter or not.
@@ -64,6 +78,7 @@ class RangeCoder:
         freq = 1 + np.floor(counts / counts.sum() * (total - len(ids))).astype(np.int64)
         freq[np.argmax(freq)] += total - freq.sum()
         self.freq, self.first = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
+        self.rest = np.uint64(total) - self.freq
         self.symbol = np.repeat(np.arange(len(ids), dtype=np.int32), freq)
         self.position = np.zeros(int(self.ids[-1]) + 1, np.int32)
         self.position[self.ids] = np.arange(len(ids))
@@ -72,26 +87,39 @@ class RangeCoder:
         # As many segments as needed, of equal length, so that little is filled up.
         segments = max(1, -(-len(ids) // (LANES * STEPS)))
         steps = -(-len(ids) // (segments * LANES))
-        size = LANES * steps
-        symbols = np.full(segments * size, np.argmax(self.freq), np.int32)
+        size, raw = LANES * steps, ids.astype("<u4", copy=False)
+        states, words, counts = [], [], []
+        for at in range(0, segments, GROUP):
+            state, sent, n = self._group(raw[at * size : (at + GROUP) * size], min(GROUP, segments - at), steps)
+            states.append(state)
+            words.append(sent)
+            counts.append(n)
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype("<u4")
+        sums = np.array([zlib.crc32(raw[k * size : (k + 1) * size]) for k in range(segments)], "<u4")
+        head = _HEAD.pack(b"TANS", LANES, self.bits, steps, segments, len(ids), len(lengths))
+        return b"".join((head, lengths.astype("<u4").tobytes(), *states, offsets.tobytes(), sums.tobytes(), *words))
+
+    def _group(self, ids: np.ndarray, segments: int, steps: int) -> tuple[bytes, bytes, np.ndarray]:
+        """Final states and words of some segments, and how many words each of them has."""
+        symbols = np.full(segments * LANES * steps, np.argmax(self.freq), np.int32)
         symbols[: len(ids)] = self.position[ids]
-        symbols = symbols.reshape(segments, steps, LANES)
-        state = np.full((segments, LANES), _LOW, np.uint64)
+        # One row a step, in which the lanes of all segments lie side by side.
+        symbols = symbols.reshape(segments, steps, LANES).transpose(1, 0, 2).reshape(steps, segments * LANES)
+        state = np.full(segments * LANES, _LOW, np.uint64)
         words, sent = np.zeros(symbols.shape, np.uint32), np.zeros(symbols.shape, bool)
-        bits, room = np.uint64(self.bits), np.uint64(63 - self.bits)
+        room = np.uint64(63 - self.bits)
         for t in range(steps - 1, -1, -1):
-            now = symbols[:, t, :]
+            now = symbols[t]
             freq = self.freq[now]
-            over = state >= freq << room
-            words[:, t, :], sent[:, t, :] = state.astype(np.uint32), over
-            state = np.where(over, state >> _WORD, state)
-            whole = state // freq
-            state = (whole << bits) + (state - whole * freq) + self.first[now]
-        offsets = np.concatenate(([0], np.cumsum(sent.sum(axis=(1, 2))))).astype("<u4")
-        raw = ids.astype("<u4")
-        sums = np.array([zlib.crc32(raw[k * size : (k + 1) * size]) for k in range(segments)], "<u4")
-        head = _HEAD.pack(b"TANS", LANES, self.bits, steps, segments, len(ids), len(lengths))
-        return b"".join((head, lengths.astype("<u4").tobytes(), state.astype("<u8").tobytes(), offsets.tobytes(), sums.tobytes(), words[sent].astype("<u4").tobytes()))
+            over = np.flatnonzero(state >= freq << room)
+            full = state[over]
+            words[t, over], sent[t, over] = full.astype(np.uint32), True
+            state[over] = full >> _WORD
+            # (state // freq << bits) + state % freq, in terms of the quotient alone.
+            state += state // freq * self.rest[now] + self.first[now]
+        by_segment = (steps, segments, LANES)
+        words, sent = (x.reshape(by_segment).transpose(1, 0, 2) for x in (words, sent))
+        return state.astype("<u8").tobytes(), words[sent].astype("<u4").tobytes(), sent.sum(axis=(1, 2))
 
     def decode(self, payload: bytes, only: range | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids, as unsigned 32-bit integers, and the document lengths of a block.
@@ -106,36 +134,45 @@ class RangeCoder:
             parts.append(np.frombuffer(payload, kind, count, at))
             at += parts[-1].nbytes
         lengths, state, offsets, sums = parts
-        words = np.append(np.frombuffer(payload, "<u4", offset=at), 0).astype(np.uint64)
-        chosen = np.arange(segments)[only.start : only.stop] if only else np.arange(segments)
-        state, place = state.reshape(segments, lanes)[chosen].astype(np.uint64), offsets[chosen].astype(np.int64)
-        out = np.empty((len(chosen), steps, lanes), np.int32)
-        bits, mask = np.uint64(bits), np.uint64((1 << bits) - 1)
+        words = np.frombuffer(payload, "<u4", offset=at)
+        state, size = state.reshape(segments, lanes), lanes * steps
+        first, last = (only.start, only.stop) if only else (0, segments)
+        out = np.empty(max(0, min(n, last * size) - first * size), "<u4")
+        for low in range(first, last, GROUP):
+            high = min(last, low + GROUP)
+            ids = self._ungroup(state[low:high], words, offsets[low:high], steps)[: n - low * size]
+            out[(low - first) * size : (low - first) * size + len(ids)] = ids
+            for k in range(low, high):
+                if zlib.crc32(ids[(k - low) * size : (k + 1 - low) * size]) != sums[k]:
+                    raise ValueError("a block's checksum differs")
+        return out, lengths
+
+    def _ungroup(self, states: np.ndarray, words: np.ndarray, offsets: np.ndarray, steps: int) -> np.ndarray:
+        segments, lanes = states.shape
+        state, place = states.reshape(-1).astype(np.uint64), offsets.astype(np.int64) - 1
+        out = np.empty((steps, segments * lanes), np.int32)
+        bits, mask = np.uint64(self.bits), np.uint64((1 << self.bits) - 1)
         for t in range(steps):
             slot = state & mask
-            now = self.symbol[slot.astype(np.int64)]
-            out[:, t, :] = now
+            now = self.symbol.take(slot.view(np.int64), out=out[t], mode="clip")
             state = self.freq[now] * (state >> bits) + slot - self.first[now]
             low = state < _LOW
-            taken = np.cumsum(low, axis=1)
-            word = words[np.minimum(place[:, None] + taken - 1, len(words) - 1)]
-            state = np.where(low, state << _WORD | word, state)
-            place = place + taken[:, -1]
-        ids = self.ids[out.reshape(-1)].astype("<u4")
-        size, start = lanes * steps, int(chosen[0]) * lanes * steps if len(chosen) else 0
-        ids = ids[: max(0, n - start)]
-        for at, k in enumerate(chosen):
-            if zlib.crc32(ids[at * size : (at + 1) * size]) != sums[k]:
-                raise ValueError("a block's checksum differs")
-        return ids, lengths
+            taken = np.cumsum(low.reshape(segments, lanes), axis=1, dtype=np.int64)
+            at = np.flatnonzero(low)
+            # A damaged block may ask for more words than there are; its checksum tells.
+            word = words[np.minimum((place[:, None] + taken).reshape(-1)[at], len(words) - 1)] if len(words) else 0
+            state[at] = state[at] << _WORD | word
+            place += taken[:, -1]
+        return self.ids[out.reshape(steps, segments, lanes).transpose(1, 0, 2).reshape(-1)].astype("<u4")
 
 
 class WordTokenizer:
     """The ids of whole texts by the tokenizers library, which sees each distinct part of a word once.
 
     The vocabulary composes and lower-cases texts and then splits them; the split drops white space and
-    no part spans it. Ids are remembered by part. Words with special strings or with characters outside
-    the scripts below, such as combining marks, go to the library whole.
+    no part spans it. Ids are remembered by word, and by part of a word for words that are new. Words
+    with special strings or with characters outside the scripts below, such as combining marks, go to
+    the library whole. Vocabularies with another normalizer or another split are refused.
     """
 
     def __init__(self, path: str):
@@ -143,45 +180,78 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if (spec["normalizer"], spec["pre_tokenizer"]) != (_NORMALIZER, _SPLIT) or not spec["model"].get("end_of_word_suffix"):
+            raise ValueError(f"{path}: only vocabularies that lower-case texts and split them like {VOCABULARY} are supported")
+        # Parts are composed, in lower case and split already.
+        plain = {**spec, "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, _SPLIT["pretokenizers"][1]]}, "added_tokens": []}
+        self.parts = Tokenizer.from_str(json.dumps(plain))
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
-        self.ends[[i for s, i in self.library.get_vocab().items() if s.endswith("</w>")]] = True
+        self.ends[[i for s, i in self.library.get_vocab().items() if s.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.known: dict[str, bytes] = {}
+        self.known_parts: dict[str, bytes] = {}
         names = "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
         self.odd = re.compile(f"(?i:{names})|{_ODD}" if names else _ODD)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, library, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, parts: list[str]) -> list[bytes]:
         """The ids of parts that are encoded as one text: the last id of each part is one that ends words."""
         if not parts:
             return []
-        ids = np.array(self.library.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.width)
+        ids = np.array(self.parts.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.width)
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(parts) or stops[-1] != len(ids):
-            return self._library(parts)
+            return self._ids(self.parts, parts)
         raw, size = ids.tobytes(), self.width.itemsize
         return [raw[a:b] for a, b in zip([0, *(stops[:-1] * size).tolist()], (stops * size).tolist(), strict=True)]
 
-    def _split(self, text: str) -> list[str]:
-        """The parts of a text; a word that goes to the library whole has a space in front."""
-        if not self.odd.search(text):
-            return _PARTS.findall(text.lower())
-        words = text.replace("\n", " ").split(" ")
-        return [p for w in words if w for p in ([" " + w] if self.odd.search(w) else _PARTS.findall(w.lower()))]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set().union(*split).difference(self.known)
-        whole = [p for p in new if p[0] == " "]
-        parts = list(new.difference(whole))
-        self.known.update(zip(whole, self._library([w[1:] for w in whole]), strict=True))
-        self.known.update(zip(parts, self._joined(parts), strict=True))
-        end, get = np.array([END_ID], self.width).tobytes(), self.known.__getitem__
-        return [b"".join(map(get, parts)) + end for parts in split]
+    def _learn(self, words: list[str]) -> None:
+        odd = [w for w in words if self.odd.search(w)] if self.odd.search(" ".join(words)) else []
+        self.known.update(zip(odd, self._ids(self.library, odd), strict=True))
+        if odd:
+            words = [w for w in words if w not in self.known]
+        # No word holds a line feed; between the parts of the words it has no ids, all others have some.
+        found = _PARTS.findall("\n".join([*words, ""]).lower())
+        self.known_parts["\n"] = b""
+        new = list(set(found).difference(self.known_parts))
+        self.known_parts.update(zip(new, self._joined(new), strict=True))
+        ids = list(map(self.known_parts.__getitem__, found))
+        size, raw = np.fromiter(map(len, ids), np.int64, len(ids)), b"".join(ids)
+        ends = np.cumsum(size)[size == 0].tolist()
+        self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        _forget_long(self.known_parts, new)
+
+    def encode(self, texts: pa.StringArray) -> pa.BinaryArray:
+        """The ids of each text, closed by ``END_ID``, as bytes of ``width``."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        for memory in (self.known, self.known_parts):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        new = [w for w in distinct if w not in self.known]
+        self._learn(new)
+        ids = [*map(self.known.__getitem__, distinct), np.array([END_ID], self.width).tobytes()]
+        _forget_long(self.known, new)
+        # The ids of each distinct word once, then a gather by the words of all texts in order.
+        flat, size = np.frombuffer(b"".join(ids), self.width), np.fromiter(map(len, ids), np.int64, len(ids)) // self.width.itemsize
+        ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+        code = np.insert(coded.indices.to_numpy(), ends[1:], len(distinct))
+        n = size[code]
+        upto = np.cumsum(n)
+        out = flat[np.repeat((np.cumsum(size) - size)[code] - upto + n, n) + np.arange(upto[-1])]
+        offsets = np.append(0, upto[ends[1:] + np.arange(len(texts))]) * self.width.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def _forget_long(memory: dict[str, bytes], new: list[str]) -> None:
+    for word in new:
+        if len(word) > LONGEST:
+            del memory[word]
 
 
 @lru_cache(maxsize=2)
@@ -193,60 +263,62 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Write the ids of all documents, each closed by ``END_ID``, to a store in ``folder``.
 
     Documents go by ascending id, null ids first, equal ids by the hash of their text. Null texts
-    count as empty, so such a document holds the end id alone.
+    count as empty, so such a document holds the end id alone. Texts are never shuffled: they become
+    ids where they are read, and only the ids, a third of the size, are sorted by range.
     """
     where = path or public_tokenizers.path(VOCABULARY)
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    ordered = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, block, width = TaskContext.get().partitionId(), 0, tokenizer(where).width
-        doc_ids, lengths, ids, held = [], [], [], 0
+        own = tokenizer(where)
+        place, total, parts = TaskContext.get().partitionId() << 33, np.zeros(own.library.get_vocab_size(), np.int64), None
+        counted = [pa.list_(pa.int32()), pa.list_(pa.int64())]
+        for parts in chunks(batches, "text", STEP_BYTES):
+            ids = own.encode(parts.column("text"))
+            total += np.bincount(np.frombuffer(ids.buffers()[2], own.width), minlength=len(total))
+            n = parts.num_rows
+            yield pa.record_batch([parts.column("doc_id"), parts.column("h"), pa.array(np.arange(place, place + n)), ids, *(pa.nulls(n, t) for t in counted)], names)
+            place += n
+        at = np.flatnonzero(total)
+        if len(at):
+            nulls = [pa.nulls(1, t) for t in (parts.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary())]
+            yield pa.record_batch([*nulls, *(pa.array([c], t) for c, t in zip((at, total[at]), counted, strict=True))], names)
+
+    names = ["doc_id", "h", "place", "ids", "seen", "times"]
+    text, plain = text_or_empty(), f"{folder}/plain"
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
+    # The last row of each task holds its counts of ids.
+    keyed.mapInArrow(tokenize, f"doc_id {kind}, h long, place long, ids binary, seen array<int>, times array<long>").write.parquet(plain)
+    rows = spark.read.parquet(plain)
+    counts = rows.filter("seen IS NOT NULL").select(F.explode(F.arrays_zip("seen", "times")).alias("c")).groupBy(F.col("c.seen").alias("id")).agg(F.sum("c.times").alias("n"))
+    counts.coalesce(1).write.parquet(f"{folder}/model")
+    model, width = _model(spark, folder), tokenizer(where).width
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, block, doc_ids, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            row = [[file], [block], [held], pa.array([doc_ids]), [lengths], [b"".join(ids)]]
-            return pa.record_batch([pa.array(c, t) if not isinstance(c, pa.Array) else c.cast(t) for c, t in zip(row, types, strict=True)], names)
-
-        id_type = None
-        for part in chunks(batches, "text"):
-            id_type = id_type or part.schema.field("doc_id").type
-            types, names = [pa.int32(), pa.int32(), pa.int64(), pa.list_(id_type), pa.list_(pa.int32()), pa.binary()], ["file", "block", "n_ids", "doc_ids", "lengths", "ids"]
-            for doc_id, found in zip(part.column("doc_id").to_pylist(), tokenizer(where).encode(part.column("text").to_pylist()), strict=True):
+            lengths = np.array([len(x) // width.itemsize for x in ids])
+            payload = _coder(model).encode(np.frombuffer(b"".join(ids), width), lengths)
+            row = [pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([held], pa.int64()), pa.array([doc_ids], pa.list_(id_type)), pa.array([payload], pa.binary())]
+            return pa.record_batch(row, ["file", "block", "n_ids", "doc_ids", "payload"])
+
+        for batch in batches:
+            id_type = batch.schema.field("doc_id").type
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 doc_ids.append(doc_id)
-                lengths.append(len(found) // width.itemsize)
                 ids.append(found)
-                held += lengths[-1]
+                held += len(found) // width.itemsize
                 if held >= BLOCK_IDS:
                     yield close()
-                    doc_ids, lengths, ids, held, block = [], [], [], 0, block + 1
-        if doc_ids:
+                    block, doc_ids, ids, held = block + 1, [], [], 0
+        if ids:
             yield close()
 
-    plain = f"{folder}/plain"
-    ordered.mapInArrow(tokenize, f"file int, block int, n_ids long, doc_ids array<{kind}>, lengths array<int>, ids binary").write.parquet(plain)
-    blocks = spark.read.parquet(plain)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for raw in batch.column("ids").to_pylist():
-                own = np.bincount(np.frombuffer(raw, tokenizer(where).width))
-                if len(own) > len(total):
-                    total, own = own, total
-                total[: len(own)] += own
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["id", "n"])
-
-    blocks.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).coalesce(1).write.parquet(f"{folder}/model")
-    model = _model(spark, folder)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            width = tokenizer(where).width
-            payload = [_coder(model).encode(np.frombuffer(raw, width).astype(np.int64), np.array(n)) for raw, n in zip(batch.column("ids").to_pylist(), batch.column("lengths").to_pylist(), strict=True)]
-            yield pa.record_batch([*(batch.column(c) for c in ("file", "block", "n_ids", "doc_ids")), pa.array(payload, pa.binary())], ["file", "block", "n_ids", "doc_ids", "payload"])
-
-    blocks.mapInArrow(encode, f"file int, block int, n_ids long, doc_ids array<{kind}>, payload binary").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    # The place in the table parts documents with the same id and text, which may be any number.
+    ordered = rows.filter("ids IS NOT NULL").select("doc_id", "h", "place", "ids").repartitionByRange("doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place")
+    blocks = ordered.mapInArrow(encode, f"file int, block int, n_ids long, doc_ids array<{kind}>, payload binary")
+    blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
 def _model(spark: SparkSession, folder: str) -> bytes:

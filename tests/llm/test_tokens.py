@@ -1,9 +1,11 @@
 import hashlib
+import json
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -65,10 +67,25 @@ def test_word_tokenizer_equals_the_library():
     path = public_tokenizers.path(token_files.VOCABULARY)
     texts, words = odd_texts(), token_files.WordTokenizer(path)
     expected = [e.ids + [token_files.END_ID] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, words.width).tolist() for x in words.encode(texts)] == expected
+    for _ in range(2):
+        assert [np.frombuffer(x, words.width).tolist() for x in words.encode(pa.array(texts)).to_pylist()] == expected
+    sliced = words.encode(pa.array(["left out", *texts]).slice(1)).to_pylist()
+    assert [np.frombuffer(x, words.width).tolist() for x in sliced] == expected
+    assert max(map(len, [*words.known, *words.known_parts])) <= token_files.LONGEST
 
 
-@pytest.mark.parametrize("n", [1, 31, 32 * 512, 32 * 512 + 1, 100_000])
+def test_other_vocabularies_are_refused(tmp_path):
+    for module, kind in ((token_files, token_files.WordTokenizer), (token_counts, token_counts.PairMerger)):
+        with open(public_tokenizers.path(module.VOCABULARY), encoding="utf-8") as f:
+            spec = json.load(f)
+        spec["pre_tokenizer"] = {"type": "Whitespace"}
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(spec), encoding="utf-8")
+        with pytest.raises(ValueError):
+            kind(str(other))
+
+
+@pytest.mark.parametrize("n", [1, 31, 32 * 512, 32 * 512 + 1, 100_000, 1_200_000])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.geometric(0.02, n) * 7, 49_000).astype(np.int64)
