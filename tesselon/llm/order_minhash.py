@@ -6,7 +6,8 @@ repeats count. One permutation of the numbered k-mers is cut into ``BUCKETS`` ra
 the order inside tuples, so the share of equal tuples follows edit distance and not only shared content.
 
 All steps work on arrays of longs inside a row: a hash in the upper 40 bits and the position in the text
-in the lower 24, so that sorting by hash carries positions along.
+in the lower 24, so that sorting by hash carries positions along. Texts of more than 2^24 words number
+runs of 2, 4, ... words instead of words, as many as it takes; k-mers of one run go by their hash.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from tesselon.llm.common import cut, text_or_empty
 
 K, TUPLE, BUCKETS = 3, 2, 32
 _PLACE = 24
+#: Bits of a position.
+_PLACES = _PLACE
 _LOWER = (1 << _PLACE) - 1
 _SHIFT = 64 - (BUCKETS - 1).bit_length()
 _REST = _SHIFT - _PLACE
@@ -46,7 +49,9 @@ def signatures(df: DataFrame, text: str, into: str) -> DataFrame:
     words = F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
     df = df.select(*kept, F.transform(words, lambda w: F.xxhash64(w)).alias("_w"))
     count = F.greatest(F.least(F.size("_w"), F.lit(1)), F.size("_w") - (K - 1))
-    kmer = lambda x, i: _tag(F.xxhash64(x, *(F.get("_w", i + j) for j in range(1, K))), i)
+    coarser = F.greatest(F.lit(0), F.length(F.bin(F.size("_w") - 1)) - _PLACES)
+    df = df.select(*kept, "_w", coarser.alias("_c"))
+    kmer = lambda x, i: _tag(F.xxhash64(x, *(F.get("_w", i + j) for j in range(1, K))), F.call_function("shiftright", i, F.col("_c")))
     df = df.select(*kept, F.sort_array(F.transform(F.slice("_w", F.lit(1), count), kmer)).alias("_s"))
     # Occurrence numbers: within each run of equal k-mers in sorted order 1, 2, ...
     start = F.array_compact(F.transform("_s", lambda x, i: F.when((i == 0) | (_hash(x) != _hash(F.get("_s", i - 1))), i)))
