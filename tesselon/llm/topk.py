@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, EVERY, SCALE = 5, 50, 256
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 16384
+#: Each candidate is sent to every block of queries and each query to every block of candidates, so neither may be small.
+QUERY_BLOCK, CANDIDATE_BLOCK = 16384, 16384
 #: Scores held at a time inside a task: this many query rows times a block of candidates.
 _ROWS = 64
 _LONG = (-(1 << 63), (1 << 63) - 1)
@@ -114,6 +115,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     rows = vectors.select("vec_id", quantized(F.col("embedding"), scale).alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
     is_query = F.col("vec_id") % every == 0
     n, m = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
+    # Copies go before the blocks are dealt, so that no block is larger than the others.
+    rows = rows.dropDuplicates(["vec_id", "v"])
     query_blocks, blocks = max(1, math.ceil(m / QUERY_BLOCK)), max(1, math.ceil(n / CANDIDATE_BLOCK))
 
     def dealt(df: DataFrame, own: str, count: int, other: str, times: int) -> DataFrame:
