@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tesselon.functions import color
 from tesselon.lineage import shared_dir
 from tesselon.operators import graph, grid, infer, labels, metrics, point, quantify, stain, stencil, threshold
+from tesselon.plans import rounds as R
 from tesselon.plans import tables as T
 from tesselon.sources import store
 from tesselon.streaming import arrivals
@@ -228,10 +229,14 @@ def binary_threshold(spark, sf):
     return threshold.binary_threshold(T.pixels(spark, sf), ("vec_id",), 127, inverse=True)
 
 
-_OTSU = f"""WITH {T.PX}, h AS (SELECT vec_id, v, count(*)::DOUBLE AS n FROM px GROUP BY ALL),
-s AS (SELECT *, sum(n) OVER u AS n0, sum(n * v) OVER u AS s0, sum(n) OVER a AS nn, sum(n * v) OVER a AS ss FROM h WINDOW u AS (PARTITION BY vec_id ORDER BY v ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY vec_id)),
-b AS (SELECT *, round(coalesce(n0 * (nn - n0) * (s0 / n0 - (ss - s0) / nullif(nn - n0, 0)) * (s0 / n0 - (ss - s0) / nullif(nn - n0, 0)), -1), 6) AS b FROM s),
-otsu AS (SELECT vec_id, v AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY b DESC, v) AS r FROM b) WHERE r = 1)"""
+def _otsu_ctes(source: str, name: str = "otsu") -> str:
+    return f"""{name}_h AS (SELECT vec_id, v, count(*)::DOUBLE AS n FROM {source} GROUP BY ALL),
+{name}_s AS (SELECT *, sum(n) OVER u AS n0, sum(n * v) OVER u AS s0, sum(n) OVER a AS nn, sum(n * v) OVER a AS ss FROM {name}_h WINDOW u AS (PARTITION BY vec_id ORDER BY v ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY vec_id)),
+{name}_b AS (SELECT *, round(coalesce(n0 * (nn - n0) * (s0 / n0 - (ss - s0) / nullif(nn - n0, 0)) * (s0 / n0 - (ss - s0) / nullif(nn - n0, 0)), -1), 6) AS b FROM {name}_s),
+{name} AS (SELECT vec_id, v AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY b DESC, v) AS r FROM {name}_b) WHERE r = 1)"""
+
+
+_OTSU = f"WITH {T.PX}, {_otsu_ctes('px')}"
 
 
 @query(_OTSU + " SELECT * FROM otsu")
@@ -269,7 +274,7 @@ def hist_equalize(spark, sf):
     return threshold.equalize(T.pixels(spark, sf), ("vec_id",), 64)
 
 
-@query()
+@query(R.clahe(4, 3.0, 32))
 def clahe(spark, sf):
     return threshold.adaptive_equalize(T.pixels(spark, sf), ("vec_id",), 4, 3.0, 32).select("vec_id", "i", "j", "v", _r("cdf"))
 
@@ -509,8 +514,7 @@ def node_features_loc(spark, sf):
     return graph.centroids(T.instances(spark, sf), 8, 8)
 
 
-_UND = f"""WITH {T.KNN}, p AS (SELECT DISTINCT graph_id, least(src, dst) AS a, greatest(src, dst) AS b FROM knn),
-s AS (SELECT graph_id, a AS src, b AS dst FROM p UNION ALL SELECT graph_id, b, a FROM p), deg AS (SELECT graph_id, src AS node, count(*)::BIGINT AS d FROM s GROUP BY ALL)"""
+_UND = f"WITH {R.UNDIRECTED}"
 
 
 @query(_UND + """, tri AS (SELECT x.graph_id, count(*) AS t FROM p x JOIN p y ON x.graph_id = y.graph_id AND x.b = y.a JOIN p z ON z.graph_id = x.graph_id AND z.a = x.a AND z.b = y.b GROUP BY 1),
@@ -543,27 +547,27 @@ def node_constraint(spark, sf):
     return graph.constraint(_knn(spark, sf)).select("graph_id", "node", _r("constraint"))
 
 
-@query()
+@query(R.hits(6))
 def hits_scores(spark, sf):
     return graph.hits(_knn(spark, sf), 6).select("graph_id", "node", _r("hub"), _r("authority"))
 
 
-@query()
+@query(R.eigenvector(8))
 def eigenvector_centrality(spark, sf):
     return graph.eigenvector(_knn(spark, sf), 8).select("graph_id", "node", _r("centrality"))
 
 
-@query()
+@query(R.CORENESS)
 def core_numbers(spark, sf):
     return graph.coreness(_knn(spark, sf))
 
 
-@query()
+@query(R.ECCENTRICITY)
 def graph_eccentricity(spark, sf):
     return graph.eccentricities(_knn(spark, sf))
 
 
-@query()
+@query(R.FOREST)
 def mst_edges(spark, sf):
     return graph.spanning_forest(_knn(spark, sf).withColumnRenamed("d", "w")).select("graph_id", "a", "b", _r("w"))
 
@@ -583,19 +587,19 @@ def remove_small_objects(spark, sf):
     return labels.remove_small(T.pixels(spark, sf).filter("v > 127"), "vec_id", 5)
 
 
-@query()
+@query(f"WITH RECURSIVE {T.PX}, {R.filled('f', 'SELECT vec_id, i * 8 + j AS k FROM px WHERE v > 120', 4)} {R.as_pixels('f')}")
 def fill_holes(spark, sf):
     px = T.pixels(spark, sf).withColumn("v", (F.col("v") > 120).cast("int"))
     return labels.fill_holes(px, "vec_id", 8, 8, 4)
 
 
-@query()
+@query(f"WITH RECURSIVE {T.PX}, {R.foreground('f', 'SELECT vec_id, i * 8 + j AS k FROM px WHERE v > 120', 4, 3)} {R.as_pixels('f')}")
 def foreground_regions(spark, sf):
     px = T.pixels(spark, sf).withColumn("v", (F.col("v") > 120).cast("int"))
     return labels.foreground(px, "vec_id", 8, 8, 4, 3)
 
 
-@query()
+@query(R.WATERSHED)
 def deep_watershed(spark, sf):
     px = T.pixels(spark, sf)
     peaks = labels.local_maxima(px, ("vec_id",), 3, 130)
@@ -603,12 +607,12 @@ def deep_watershed(spark, sf):
     return labels.watershed(px.withColumn("v", 255 - F.col("v")), markers, "vec_id")
 
 
-@query()
+@query(f"WITH {R.superpixels(4, 8.0, 3)} SELECT vec_id, i, j, li || ':' || lj AS label FROM l3")
 def slic_superpixels(spark, sf):
     return labels.superpixels(T.pixels(spark, sf), "vec_id", 4, 8.0, 3)
 
 
-@query()
+@query(R.merged(2, 8.0, 2, 6.0))
 def merged_superpixels(spark, sf):
     px = T.pixels(spark, sf)
     clusters = labels.superpixels(px, "vec_id", 2, 8.0, 2)
@@ -653,7 +657,11 @@ def stain_macenko(spark, sf):
     return stain.normalize_stain(rgb, "slide").select("vec_id", "j", "r", "g", "b")
 
 
-@query()
+_DARK = f"""WITH RECURSIVE {T.PX}, dark AS (SELECT vec_id, i, j, 255 - v AS v FROM px), med AS ({_box("median(q.v)", "dark")}), {_otsu_ctes("med")},
+mask AS (SELECT vec_id, i, j, (v > threshold)::INT AS v FROM med JOIN otsu USING (vec_id)), er AS ({_box("min(q.v)", "mask")}), op AS ({_box("max(q.v)", "er")}), di AS ({_box("max(q.v)", "op")}), cl AS ({_box("min(q.v)", "di")})"""
+
+
+@query(f"""{_DARK}, {R.foreground("f", "SELECT vec_id, i * 8 + j AS k FROM cl WHERE v > 0", 4, 4)} {R.as_pixels("f")}""")
 def tissue_detect(spark, sf):
     px = T.pixels(spark, sf)
     return stain.detect_tissue(px.select("vec_id", "i", "j", F.col("v").alias("r"), F.col("v").alias("g"), F.col("v").alias("b")), "vec_id", 8, 8)
