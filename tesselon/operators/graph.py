@@ -22,12 +22,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = cut(edges.select("src", "dst"))
     both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("label")))
+    labels = new = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("low"))
         hop = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        new = cut(hop.join(jump, "via").select("node", "old", F.least("via", "far").alias("label")))
+        new = cut(hop.join(jump, "via").select("node", "old", F.least("via", "far").alias("label")), new)
         labels = new.select("node", "label")
         if new.filter("old <> label").isEmpty():
             return labels
@@ -103,10 +103,18 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(graph_id, triangles): each counted once, from pairs ordered by node."""
+    """(graph_id, triangles): each counted once, at its node of least degree.
+
+    Every edge points to the end of greater degree, so a node has at most as many edges out as the
+    square root of twice the number of edges, and a hub makes no pairs of its neighbours.
+    """
     p = undirected(edges)
-    wedge = p.join(p.select("graph_id", F.col("a").alias("b"), F.col("b").alias("c")), ["graph_id", "b"])
-    closed = wedge.join(p.select("graph_id", "a", F.col("b").alias("c")), ["graph_id", "a", "c"])
+    degree = p.select("graph_id", F.explode(F.array("a", "b")).alias("node")).groupBy("graph_id", "node").agg(F.count(F.lit(1)).alias("d"))
+    of = lambda c: degree.select("graph_id", F.col("node").alias(c), F.struct("d", F.col("node").alias("n")).alias(f"o{c}"))
+    up = p.join(of("a"), ["graph_id", "a"]).join(of("b"), ["graph_id", "b"])
+    out = up.select("graph_id", F.least("oa", "ob").alias("x"), F.greatest("oa", "ob").alias("y"))
+    wedge = out.join(out.select("graph_id", "x", F.col("y").alias("z")), ["graph_id", "x"]).filter("y < z").select("graph_id", F.col("y").alias("x"), F.col("z").alias("y"))
+    closed = wedge.join(out, ["graph_id", "x", "y"])
     return closed.groupBy("graph_id").agg(F.count(F.lit(1)).alias("triangles"))
 
 
@@ -131,8 +139,20 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """(graph_id, node, rank) after ``rounds`` steps from equal ranks; nodes without out-edges share with all."""
+def _settled(state: DataFrame, tolerance: float | None, *values: str) -> bool:
+    """Whether no value differs from the one of the round before (``_old``, or the name after it) by more than ``tolerance``."""
+    if tolerance is None:
+        return False
+    old = ["_old"] if len(values) == 1 else [f"_old_{v}" for v in values]
+    change = F.greatest(*(F.max(F.abs(F.col(v) - F.col(o))) for v, o in zip(values, old, strict=True))) if len(values) > 1 else F.max(F.abs(F.col(values[0]) - F.col("_old")))
+    return (state.agg(change).first()[0] or 0.0) <= tolerance
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """(graph_id, node, rank) after ``rounds`` steps from equal ranks; nodes without out-edges share with all.
+
+    With a ``tolerance`` the steps end early, once no rank changes by more.
+    """
     out = edges.groupBy("graph_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out"))
     size = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
     state = cut(nodes.select("graph_id", "node").join(size, "graph_id").join(out, ["graph_id", "node"], "left").withColumn("rank", 1.0 / F.col("n")))
@@ -141,12 +161,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0
         lost = state.groupBy("graph_id").agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))
         joined = state.join(flow, ["graph_id", "node"], "left").join(lost, "graph_id")
         rank = (1 - damping) / F.col("n") + damping * (F.coalesce("f", F.lit(0.0)) + F.col("lost") / F.col("n"))
-        state = cut(joined.select("graph_id", "node", "n", "out", rank.alias("rank")))
+        state = cut(joined.select("graph_id", "node", "n", "out", rank.alias("rank"), F.col("rank").alias("_old")), state)
+        if _settled(state, tolerance, "rank"):
+            break
     return state.select("graph_id", "node", "rank")
 
 
-def hits(edges: DataFrame, rounds: int) -> DataFrame:
-    """(graph_id, node, hub, authority), each summing to 1 in a graph, after ``rounds`` steps."""
+def hits(edges: DataFrame, rounds: int, tolerance: float | None = None) -> DataFrame:
+    """(graph_id, node, hub, authority), each summing to 1 in a graph, after ``rounds`` steps, or once none changes by more than ``tolerance``."""
     ends = edges.select("graph_id", F.col("src").alias("node")).unionAll(edges.select("graph_id", F.col("dst").alias("node"))).distinct()
     state = cut(ends.withColumn("hub", F.lit(1.0)).withColumn("authority", F.lit(1.0)))
 
@@ -157,31 +179,36 @@ def hits(edges: DataFrame, rounds: int) -> DataFrame:
         return state.select(*kept).join(sums, ["graph_id", "node"], "left").join(total, "graph_id").select(*kept, F.coalesce(F.try_divide(F.col("_n"), F.col("_t")), F.lit(0.0)).alias(taken))
 
     for _ in range(rounds):
-        state = cut(step(step(state, "hub", "dst", "authority", "src"), "authority", "src", "hub", "dst"))
+        old = state.select("graph_id", "node", "hub", "authority", F.col("hub").alias("_old_hub"), F.col("authority").alias("_old_authority"))
+        state = cut(step(step(old, "hub", "dst", "authority", "src"), "authority", "src", "hub", "dst"), state)
+        if _settled(state, tolerance, "hub", "authority"):
+            break
     return state.select("graph_id", "node", "hub", "authority")
 
 
-def eigenvector(edges: DataFrame, rounds: int) -> DataFrame:
-    """(graph_id, node, centrality) of unit length after ``rounds`` steps of x + A x on the undirected graph."""
+def eigenvector(edges: DataFrame, rounds: int, tolerance: float | None = None) -> DataFrame:
+    """(graph_id, node, centrality) of unit length after ``rounds`` steps of x + A x on the undirected graph, or once none changes by more than ``tolerance``."""
     both = cut(symmetric(edges))
     state = both.select("graph_id", F.col("src").alias("node")).distinct().withColumn("centrality", F.lit(1.0))
     for _ in range(rounds):
         sums = both.join(state.select("graph_id", F.col("node").alias("dst"), "centrality"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("node")).agg(F.sum("centrality").alias("_s"))
-        raw = state.join(sums, ["graph_id", "node"]).select("graph_id", "node", (F.col("centrality") + F.col("_s")).alias("c"))
+        raw = state.join(sums, ["graph_id", "node"]).select("graph_id", "node", F.col("centrality").alias("_old"), (F.col("centrality") + F.col("_s")).alias("c"))
         norm = raw.groupBy("graph_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("_l"))
-        state = cut(raw.join(norm, "graph_id").select("graph_id", "node", (F.col("c") / F.col("_l")).alias("centrality")))
-    return state
+        state = cut(raw.join(norm, "graph_id").select("graph_id", "node", (F.col("c") / F.col("_l")).alias("centrality"), "_old"), state)
+        if _settled(state, tolerance, "centrality"):
+            break
+    return state.drop("_old")
 
 
 def coreness(edges: DataFrame) -> DataFrame:
     """(graph_id, node, core): from the degree down, each node takes the h-index of its neighbours' values until none changes."""
     both = cut(symmetric(edges))
-    state = cut(both.groupBy("graph_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("core")))
+    state = new = cut(both.groupBy("graph_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("core")))
     order = Window.partitionBy("graph_id", "src").orderBy(F.col("core").desc())
     while True:
         seen = both.join(state.select("graph_id", F.col("node").alias("dst"), "core"), ["graph_id", "dst"])
         index = seen.withColumn("_r", F.row_number().over(order)).groupBy("graph_id", F.col("src").alias("node")).agg(F.max(F.least(F.col("_r").cast("long"), F.col("core"))).alias("h"))
-        new = cut(state.join(index, ["graph_id", "node"]).select("graph_id", "node", F.least("core", "h").alias("core"), F.col("core").alias("_old")))
+        new = cut(state.join(index, ["graph_id", "node"]).select("graph_id", "node", F.least("core", "h").alias("core"), F.col("core").alias("_old")), new)
         state = new.select("graph_id", "node", "core")
         if new.filter("core <> _old").isEmpty():
             return state
@@ -240,7 +267,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         changed = True
         while changed:
             far = roots.select("graph_id", F.col("p").alias("root"), F.col("root").alias("far"))
-            roots = cut(roots.select("graph_id", "p", "root").join(far, ["graph_id", "root"]).select("graph_id", "p", F.col("far").alias("root"), F.col("root").alias("old")))
+            roots = cut(roots.select("graph_id", "p", "root").join(far, ["graph_id", "root"]).select("graph_id", "p", F.col("far").alias("root"), F.col("root").alias("old")), roots)
             changed = not roots.filter("root <> old").isEmpty()
-        part = cut(part.join(roots.select("graph_id", F.col("p").alias("part"), "root"), ["graph_id", "part"], "left").select("graph_id", "node", F.coalesce("root", "part").alias("part")))
+        part = cut(part.join(roots.select("graph_id", F.col("p").alias("part"), "root"), ["graph_id", "part"], "left").select("graph_id", "node", F.coalesce("root", "part").alias("part")), part)
     return reduce(DataFrame.unionByName, chosen) if chosen else edges.limit(0)

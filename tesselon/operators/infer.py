@@ -8,10 +8,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Numbers that go through a model together at most, apart from a single image.
+_BATCH_VALUES = 1 << 20
+
+
 @dataclass(frozen=True)
 class ModelCard:
     name: str = ""
@@ -56,19 +61,20 @@ def infer(tiles: DataFrame, model: bytes, key: str, shape: tuple[int, int, int],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = session(model)
-        name = net.get_inputs()[0].name
+        given = net.get_inputs()[0]
+        # Where the model leaves its first dimension open, images go through it together.
+        together = 1 if isinstance(given.shape[0], int) else max(1, _BATCH_VALUES // max(1, size))
         for batch in batches:
-            shapes, out = [], []
-            for image in batch.column("image"):
-                x = None if image.as_py() is None else np.asarray(image.values, np.float32)
-                if x is None or len(x) != size:
-                    shapes.append(None)
-                    out.append(None)
-                    continue
-                found = net.run(None, {name: x.reshape(1, *shape)})
+            images = batch.column("image").cast(pa.list_(pa.float32()))
+            good = [k for k, n in enumerate(pc.list_value_length(images).to_pylist()) if n == size]
+            shapes, out = [None] * batch.num_rows, [None] * batch.num_rows
+            for at in range(0, len(good), together):
+                some = good[at : at + together]
+                x = images.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), *shape)
+                found = net.run(None, {given.name: x})
                 y = (found[0] if len(found) == 1 else np.concatenate(found, axis=1))[:, :channels]
-                shapes.append(list(y.shape[1:]))
-                out.append(y.ravel())
+                for k, own in zip(some, y, strict=True):
+                    shapes[k], out[k] = list(own.shape), own.ravel()
             yield pa.record_batch([batch.column(key), pa.array(shapes, pa.list_(pa.int32())), pa.array(out, pa.list_(pa.float32()))], [key, "shape", "output"])
 
     return tiles.select(key, "image").mapInArrow(run, f"{key} {kind}, shape array<int>, output array<float>")

@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rescale_intensity(pixels: DataFrame, keys: tuple[str, ...], low: float = 0.0, high: float = 255.0, value: str = "v") -> DataFrame:
-    """Stretch each image's own range to ``low``..``high``; a constant image becomes ``low``."""
-    w = Window.partitionBy(*keys)
-    least, most = F.min(value).over(w), F.max(value).over(w)
-    return pixels.withColumn(value, F.coalesce(F.try_divide((F.col(value) - least).cast("double"), (most - least).cast("double")), F.lit(0.0)) * (high - low) + low)
+def rescale_intensity(pixels: DataFrame, keys: tuple[str, ...], low: float = 0.0, high: float = 255.0, value: str = "v", in_range: tuple[float, float] | None = None) -> DataFrame:
+    """Stretch each image's own range, or ``in_range``, to ``low``..``high``; values outside it are held at the ends.
+
+    A constant image becomes ``low``. The range is one aggregate an image, joined back.
+    """
+    if in_range:
+        least, most = F.lit(float(in_range[0])), F.lit(float(in_range[1]))
+        pixels = pixels.withColumn(value, F.least(F.greatest(F.col(value).cast("double"), least), most))
+    else:
+        least, most = F.col("_least"), F.col("_most")
+        pixels = pixels.join(pixels.groupBy(*keys).agg(F.min(value).alias("_least"), F.max(value).alias("_most")), list(keys))
+    share = F.coalesce(F.try_divide((F.col(value) - least).cast("double"), (most - least).cast("double")), F.lit(0.0))
+    return pixels.withColumn(value, share * (high - low) + low).drop("_least", "_most")
 
 
 def collapse_runs(pixels: DataFrame, z: int, times: int) -> DataFrame:
