@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tesselon.llm import mixing, pii, quality, sentencepiece_codec, simhash
+from tesselon.lineage import remove
 from tesselon.llm.common import shared_dir, table
 
 
@@ -55,7 +56,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    read = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if read:
+            remove(spark, read)
+        read = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
