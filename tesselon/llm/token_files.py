@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesselon.lineage import remove
 from tesselon.llm.common import chunks, shared_dir, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
@@ -319,6 +320,7 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
     ordered = rows.filter("ids IS NOT NULL").select("doc_id", "h", "place", "ids").repartitionByRange("doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place")
     blocks = ordered.mapInArrow(encode, f"file int, block int, n_ids long, doc_ids array<{kind}>, payload binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    remove(spark, plain)
 
 
 def _model(spark: SparkSession, folder: str) -> bytes:
