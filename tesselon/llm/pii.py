@@ -2,15 +2,23 @@
 
 The matches of four fixed patterns are the seed entities. Candidates are e-mail addresses spelled with
 "at" and "dot", numbers of several tokens, and every other token with a digit or an at sign. Seeds and
-candidates occur in lexical patterns: the two words before, or the words on both sides, together with a
-coarse class, which tells names from long and short numbers but not how they are written. Patterns and instances form a graph, which Spark scores in rounds: a pattern
-is as trustworthy for a kind as the instances it occurs with, an instance as the patterns it occurs in.
-Tokens in patterns of high confidence and support become spans of that kind.
+candidates occur in lexical patterns: one or two words before, one or two words after, or a word on both
+sides, together with a coarse class, which tells names from long and short numbers but not how they are
+written. Patterns and instances form a graph, which Spark scores in rounds until the scores settle: a
+pattern is as trustworthy for a kind as the instances it occurs with, an instance as the patterns it
+occurs in. Tokens in patterns of high confidence become spans of that kind.
+
+A pattern's confidence is the lower end of a one-sided interval of nine tenths for the share of its
+occurrences that are of the kind, so that a few occurrences never suffice: at the threshold of 0.8 it
+takes seven out of seven, which a word that stands before identifiers by chance does not reach. Guesses
+alone do not make a pattern trusted: more than half of its occurrences must be seeds.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -20,10 +28,16 @@ from pyspark.sql import functions as F
 from tesselon.llm.common import chunks, cut, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 5
-#: Discovered spans that may be broadcast to the texts; beyond it the texts are shuffled.
-BROADCAST_ROWS = 50_000
-_WINDOW = 64
+#: Rounds at most; they end when no confidence changes by more than ``SETTLED``.
+ROUNDS, SETTLED = 10, 0.01
+CONFIDENCE, SUPPORT, MAJORITY = 0.8, 5, 0.5
+#: The normal distribution's quantile of nine tenths.
+_Z = 1.2816
+#: Code points of a local part at most, spelled out or not (a fixed value of mail addresses).
+_LOCAL_PART = 64
+#: Longer context words stand in patterns as their digest.
+_LONG_WORD = 64
+_WORD = re.compile(r"\S+")
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -80,29 +94,58 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _patterns(text: str, start: int, end: int) -> tuple[str, list[str]]:
-    """The instance at a place of a text, and the lexical patterns it occurs in."""
-    before, after = text[max(0, start - _WINDOW) : start], text[end : end + _WINDOW]
-    left = before.split()
-    if start > _WINDOW and left and not before[0].isspace():
-        left = left[1:]
-    right = after.split()[:1]
-    filler = text[start:end]
-    coarse = "name" if _LETTER.search(filler) else "long" if len(_DIGIT.findall(filler)) >= _LONG else "short"
-    word = lambda w: _DIGITS.sub("0", w.lower())
-    known = []
-    if len(left) >= 2:
-        known.append(f"{word(left[-2])} {word(left[-1])} _ | {coarse}")
-    if left and right:
-        known.append(f"{word(left[-1])} _ {word(right[0])} | {coarse}")
-    return filler.lower(), known
+class _Context:
+    """The words of one text, found once, and the patterns of places in it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts, self.ends = [], []
+        for m in _WORD.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def _word(self, start: int, end: int) -> str:
+        word = self.text[start:end]
+        return _DIGITS.sub("0", word.lower()) if len(word) <= _LONG_WORD else "#" + hashlib.md5(word.encode()).hexdigest()
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        k = bisect_right(self.starts, start) - 1
+        left, right = [], []
+        if k >= 0 and self.ends[k] > start:
+            if self.starts[k] < start:
+                left.append(self._word(self.starts[k], start))
+            k -= 1
+        while len(left) < 2 and k >= 0:
+            left.insert(0, self._word(self.starts[k], self.ends[k]))
+            k -= 1
+        k = bisect_right(self.ends, end)
+        if k < len(self.starts) and self.starts[k] < end:
+            right.append(self._word(end, self.ends[k]))
+            k += 1
+        while len(right) < 2 and k < len(self.starts):
+            right.append(self._word(self.starts[k], self.ends[k]))
+            k += 1
+        filler = self.text[start:end]
+        coarse = "name" if _LETTER.search(filler) else "long" if len(_DIGIT.findall(filler)) >= _LONG else "short"
+        known = []
+        if left:
+            known.append(f"{left[-1]} _")
+        if right:
+            known.append(f"_ {right[0]}")
+        if len(left) == 2:
+            known.append(f"{left[0]} {left[1]} _")
+        if len(right) == 2:
+            known.append(f"_ {right[0]} {right[1]}")
+        if left and right:
+            known.append(f"{left[-1]} _ {right[0]}")
+        return [f"{p} | {coarse}" for p in known]
 
 
 def _spelled(text: str) -> Iterator[tuple[int, int]]:
     """E-mail addresses with "at" or "dot" in words, in brackets or between blanks."""
     free = 0
     for m in _AT.finditer(text):
-        base = max(free, m.start() - _WINDOW)
+        base = max(free, m.start() - _LOCAL_PART)
         local = _BEFORE_AT.search(text[base : m.start()])
         domain = local and _AFTER_AT.match(text, m.end())
         if domain:
@@ -158,13 +201,13 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
 
 def occurrences(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
     """(start, end, kind or -1, instance, patterns) of the seeds and of all candidates that overlap none, nor each other."""
-    out = [(a, b, kind, *_patterns(text, a, b)) for a, kind, b in seeds]
-    taken = sorted((a, b) for a, _, b in seeds)
+    places, taken = [(a, b, kind) for a, kind, b in seeds], sorted((a, b) for a, _, b in seeds)
     for candidates in (_spelled, _numbers, _tokens):
         fresh = list(_apart(candidates(text), taken))
-        out += [(a, b, -1, *_patterns(text, a, b)) for a, b in fresh]
+        places += [(a, b, -1) for a, b in fresh]
         taken = sorted(taken + fresh)
-    return out
+    context = _Context(text) if places else None
+    return [(a, b, kind, text[a:b].lower(), context.patterns(a, b)) for a, b, kind in places]
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -186,32 +229,45 @@ def _scan(docs: DataFrame) -> DataFrame:
     return keyed.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h long, base {_SPAN}, seen array<struct<start:int,end:int,kind:int,instance:string,patterns:array<string>>>")
 
 
-def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence, support) from edges (pattern, instance, kind, n); ``kind`` is -1 unless seeded.
+def score_graph(edges: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+    """(pattern, kind, confidence, support, seeded) from edges (pattern, instance, kind, n); ``kind`` is -1 unless seeded.
 
-    ``support`` counts the seed instances of the kind in the pattern. Confidence is the share of the
-    pattern's occurrences that its instances' scores account for, one occurrence added against chance.
+    Patterns that occur once tell nothing and are left out. ``support`` counts the seed instances of the
+    kind in the pattern, ``seeded`` is their share of its occurrences. Confidence is the lower end of the
+    interval for the share of the pattern's occurrences that its instances' scores account for; a seed's
+    score is 1, another instance's the mean confidence of the patterns it occurs in. Rounds end when no
+    confidence changes by more than ``settled``, after ``rounds`` at the latest.
     """
-    total = edges.groupBy("pattern").agg((F.sum("n") + 1).alias("total"))
+    total = edges.groupBy("pattern").agg(F.sum("n").alias("total")).filter("total > 1")
     seeded = edges.filter("kind >= 0").groupBy("instance", "kind").agg(F.lit(1.0).alias("score"))
-    weights = edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
+    weights = cut(edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(total, "pattern"))
     degree = weights.groupBy("instance").agg(F.sum("n").alias("all"))
+    share, n = F.col("hits") / F.col("total"), F.col("total")
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / n + _Z**2 / (4 * n * n))
+    lower = (share + _Z**2 / (2 * n) - _Z * spread) / (1 + _Z**2 / n)
     known, scored = seeded, None
-    for step in range(rounds):
-        hits = weights.join(known, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("hits"), F.count(F.when(F.col("score") == 1.0, 1)).alias("support"))
-        scored = cut(hits.join(total, "pattern").select("pattern", "kind", (F.col("hits") / F.col("total")).alias("confidence"), "support"))
-        if step + 1 < rounds:
-            votes = weights.join(scored.filter(F.col("support") > 0), "pattern").groupBy("instance", "kind").agg(F.sum(F.col("n") * F.col("confidence")).alias("votes"))
-            fresh = votes.join(degree, "instance").select("instance", "kind", (F.col("votes") / F.col("all")).alias("score"))
-            known = cut(seeded.unionByName(fresh.join(seeded.select("instance", "kind"), ["instance", "kind"], "left_anti")))
-    return scored
+    for _ in range(rounds):
+        seed = F.col("score") == 1.0
+        sums = F.sum(F.col("n") * F.col("score")).alias("hits"), F.count(F.when(seed, 1)).alias("support"), F.coalesce(F.sum(F.when(seed, F.col("n"))), F.lit(0)).alias("seeds")
+        hits = weights.join(known, "instance").groupBy("pattern", "total", "kind").agg(*sums)
+        fresh = hits.select("pattern", "kind", lower.alias("confidence"), "support", (F.col("seeds") / F.col("total")).alias("seeded"))
+        if scored is None:
+            scored = cut(fresh.withColumn("before", F.lit(0.0)))
+        else:
+            scored = cut(fresh.join(scored.select("pattern", "kind", F.col("confidence").alias("before")), ["pattern", "kind"], "left"))
+        if scored.filter(F.abs(F.col("confidence") - F.coalesce("before", F.lit(0.0))) > settled).isEmpty():
+            break
+        votes = weights.join(scored.filter(F.col("support") > 0), "pattern").groupBy("instance", "kind").agg(F.sum(F.col("n") * F.col("confidence")).alias("votes"))
+        guessed = votes.join(degree, "instance").select("instance", "kind", (F.col("votes") / F.col("all")).alias("score"))
+        known = cut(seeded.unionByName(guessed.join(seeded.select("instance").distinct(), "instance", "left_anti")))
+    return scored.drop("before")
 
 
 def _extra(scan: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
     """(doc_id, h, extra): the spans that trusted patterns add, for documents that have any."""
     seen = scan.select("doc_id", "h", F.explode("seen").alias("o")).select("doc_id", "h", "o.start", "o.end", "o.kind", "o.instance", F.explode("o.patterns").alias("pattern"))
     edges = cut(seen.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")))
-    trusted = score_graph(edges, rounds).filter((F.col("confidence") >= confidence) & (F.col("support") >= support))
+    trusted = score_graph(edges, rounds).filter((F.col("confidence") >= confidence) & (F.col("support") >= support) & (F.col("seeded") > MAJORITY))
     found = seen.filter("kind < 0").drop("kind").join(trusted, "pattern").groupBy("doc_id", "h", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     return found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
 
@@ -246,8 +302,6 @@ def mask(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE,
     """
     scan = cut(_scan(docs))
     extra = cut(_extra(scan, rounds, confidence, support).select(F.col("doc_id").alias("__d"), F.col("h").alias("__e"), F.col("extra").alias("__extra")))
-    if extra.count() <= BROADCAST_ROWS:
-        extra = F.broadcast(extra)
     joined = docs.join(extra, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(text_or_empty()) == F.col("__e")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
