@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselon.functions import raster
 from tesselon.lineage import cut
+from tesselon.operators import tiles
 from tesselon.operators.graph import connected_components
 
 _EIGHT = ((0, 1), (1, -1), (1, 0), (1, 1))
@@ -16,14 +19,27 @@ def _beside(offsets):
     return F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets)))
 
 
-def label_regions(mask: DataFrame, key: str, diagonal: bool = True) -> DataFrame:
-    """(key, i, j, region): connected regions of a mask's pixels; a region is named by its first pixel (ri, rj)."""
-    at = mask.select(F.struct(key, "i", "j").alias("p"), key, "i", "j")
+def label_regions(mask: DataFrame, key: str, diagonal: bool = True, size: int = tiles.SIZE) -> DataFrame:
+    """(key, i, j, ri, rj): connected regions of a mask's pixels; a region is named by its first pixel (ri, rj).
+
+    Regions are found in each tile of ``size`` by ``size`` pixels; those of different tiles that touch at
+    the tiles' edges are then joined, so the rounds of joins see edge pixels only.
+    """
+
+    def local(tile: tiles.Tile) -> dict:
+        root = raster.regions(tile.present(), diagonal)[tile.at]
+        return {"ri": (root // tile.shape[1] + tile.top).astype(np.int32), "rj": (root % tile.shape[1] + tile.left).astype(np.int32)}
+
+    found = cut(tiles.per_tile(mask.select(key, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")), (key,), (), local, "ri int, rj int", size))
+    on_edge = lambda c: F.pmod(c, F.lit(size)).isin(0, size - 1)
+    edge = found.filter(on_edge("i") | on_edge("j"))
+    at = edge.select(F.struct(key, F.col("ri").alias("i"), F.col("rj").alias("j")).alias("p"), key, "i", "j")
     sent = at.withColumn("_o", _beside(_EIGHT if diagonal else _FOUR)).select(key, (F.col("i") + F.col("_o.a")).alias("i"), (F.col("j") + F.col("_o.b")).alias("j"), F.col("p").alias("q"))
-    edges = at.join(sent, [key, "i", "j"]).select(F.col("q").alias("src"), F.col("p").alias("dst"))
-    found = connected_components(edges).select(f"node.{key}", "node.i", "node.j", F.col("label.i").alias("ri"), F.col("label.j").alias("rj"))
-    # A pixel without neighbours is in no edge and a region of its own.
-    return mask.select(key, "i", "j").join(found, [key, "i", "j"], "left").select(key, "i", "j", F.coalesce("ri", "i").alias("ri"), F.coalesce("rj", "j").alias("rj"))
+    links = cut(at.join(sent, [key, "i", "j"]).filter("p <> q").select(F.col("q").alias("src"), F.col("p").alias("dst")).distinct())
+    if links.isEmpty():
+        return found
+    merged = connected_components(links).select(f"node.{key}", F.col("node.i").alias("ri"), F.col("node.j").alias("rj"), F.col("label.i").alias("_i"), F.col("label.j").alias("_j"))
+    return found.join(merged, [key, "ri", "rj"], "left").select(key, "i", "j", F.coalesce("_i", "ri").alias("ri"), F.coalesce("_j", "rj").alias("rj"))
 
 
 def remove_small(mask: DataFrame, key: str, least: int) -> DataFrame:
@@ -51,22 +67,20 @@ def foreground(pixels: DataFrame, key: str, height: int, width: int, min_region:
 def watershed(pixels: DataFrame, markers: DataFrame, key: str) -> DataFrame:
     """(key, i, j, marker): each pixel goes to the marker that reaches it over the lowest pass.
 
-    ``pixels`` (key, i, j, v) are the heights to flood, ``markers`` (key, i, j, marker) the sources. The
-    cost of a path is its greatest height; ties go to the shorter path, then to the smaller marker.
-    Pixels relax from their neighbours until none changes.
+    ``pixels`` (key, i, j, v) are the heights to flood, ``markers`` (key, i, j, marker) the sources, whose
+    numbers are above 0. The cost of a path is its greatest height; ties go to the shorter path, then to
+    the smaller marker. The key names one tile: each is flooded as a whole in one task, and one of more
+    than ``tiles.MOST`` pixels is refused.
     """
-    around = _beside(((-1, 0), (1, 0), (0, -1), (0, 1)))
-    start = F.struct(F.col("v").cast("double").alias("cost"), F.lit(0).alias("steps"), "marker")
-    held = cut(pixels.join(markers, [key, "i", "j"], "left").select(key, "i", "j", "v", F.when(F.col("marker").isNotNull(), start).alias("s")))
-    while True:
-        sent = held.filter("s IS NOT NULL").withColumn("_o", around).select(key, (F.col("i") + F.col("_o.a")).alias("i"), (F.col("j") + F.col("_o.b")).alias("j"), "s")
-        best = sent.groupBy(key, "i", "j").agg(F.min("s").alias("b"))
-        moved = F.struct(F.greatest(F.col("b.cost"), F.col("v").cast("double")).alias("cost"), (F.col("b.steps") + 1).alias("steps"), F.col("b.marker").alias("marker"))
-        joined = held.join(best, [key, "i", "j"], "left").withColumn("m", F.when(F.col("b").isNotNull(), moved))
-        new = cut(joined.select(key, "i", "j", "v", F.coalesce(F.least("s", "m"), "s", "m").alias("s"), F.col("s").alias("_old")))
-        held = new.drop("_old")
-        if new.filter("NOT (s <=> _old)").isEmpty():
-            return held.filter("s IS NOT NULL").select(key, "i", "j", F.col("s.marker").alias("marker"))
+    both = pixels.join(markers, [key, "i", "j"], "left").select(key, "i", "j", "v", F.coalesce("marker", F.lit(0)).cast("long").alias("marker"))
+
+    def flood(tile: tiles.Tile) -> dict:
+        found = raster.flood(tile.grid("v", np.inf), tile.grid("marker", 0), tile.present())
+        return {"marker": found[tile.at]}
+
+    kind = markers.schema["marker"].dataType
+    flooded = tiles.per_tile(both, (key,), ("v", "marker"), flood, "marker long")
+    return flooded.filter("marker > 0").withColumn("marker", F.col("marker").cast(kind))
 
 
 def superpixels(pixels: DataFrame, key: str, step: int, compactness: float, rounds: int, channels: tuple[str, ...] = ("v",)) -> DataFrame:

@@ -1,8 +1,7 @@
 """Neighbourhood operators over pixel tables (keys, i, j, v).
 
 Separable filters run as two window passes, one along the rows and one along the columns; a window is
-partitioned by image and line, so no task needs a whole image. Other stencils send each pixel to the
-places it counts for and aggregate there, with partial sums before the shuffle.
+partitioned by image and line, so no task needs a whole image. Other stencils work on tiles with a halo.
 """
 
 from __future__ import annotations
@@ -12,6 +11,9 @@ from math import exp
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselon.functions import raster
+from tesselon.operators import tiles
+
 
 def _line(keys: tuple[str, ...], along: str):
     return Window.partitionBy(*keys, "i" if along == "j" else "j").orderBy(along)
@@ -24,13 +26,6 @@ def _separable(pixels: DataFrame, keys: tuple[str, ...], size: int, function, va
     return pixels
 
 
-def _shifted(pixels: DataFrame, keys: tuple[str, ...], weights: list[tuple[int, int, float]], aggregate, value: str = "v") -> DataFrame:
-    """Aggregate over p + (di, dj) at every pixel p; places outside the image are left out."""
-    table = F.explode(F.array(*(F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj"), F.lit(w).alias("w")) for di, dj, w in weights)))
-    sent = pixels.withColumn("_o", table).select(*keys, (F.col("i") - F.col("_o.di")).alias("i"), (F.col("j") - F.col("_o.dj")).alias("j"), F.col(value).alias("_v"), F.col("_o.w").alias("_w"))
-    return pixels.join(sent.groupBy(*keys, "i", "j").agg(aggregate.alias("_r")), [*keys, "i", "j"]).withColumn(value, F.col("_r")).drop("_r")
-
-
 def box_blur(pixels: DataFrame, keys: tuple[str, ...], size: int) -> DataFrame:
     """Mean of the ``size`` by ``size`` box, of those pixels that lie inside the image."""
     half = size // 2
@@ -45,13 +40,18 @@ def gaussian_blur(pixels: DataFrame, keys: tuple[str, ...], size: int, sigma: fl
     """Gaussian mean of the ``size`` by ``size`` box, weights renormalised at the border."""
     half = range(-(size // 2), size - size // 2)
     weights = [(di, dj, exp(-(di * di + dj * dj) / (2 * sigma * sigma))) for di in half for dj in half]
-    return _shifted(pixels, keys, weights, F.sum(F.col("_v") * F.col("_w")) / F.sum("_w"))
+
+    def blur(tile: tiles.Tile) -> dict:
+        own = raster.correlate(tile.grid("v", 0.0), weights) / raster.correlate(tile.present().astype(float), weights)
+        return {"v": own[tile.at]}
+
+    return tiles.per_tile(pixels, keys, ("v",), blur, "v double", tiles.SIZE, size // 2)
 
 
 def median_blur(pixels: DataFrame, keys: tuple[str, ...], size: int) -> DataFrame:
     """Median of the ``size`` by ``size`` box, of those pixels that lie inside the image."""
-    half = range(-(size // 2), size - size // 2)
-    return _shifted(pixels, keys, [(di, dj, 1.0) for di in half for dj in half], F.median("_v"))
+    blur = lambda tile: {"v": raster.median(tile.grid("v"), size // 2, size - 1 - size // 2)[tile.at]}
+    return tiles.per_tile(pixels, keys, ("v",), blur, "v double", tiles.SIZE, size // 2)
 
 
 def erode(pixels: DataFrame, keys: tuple[str, ...], size: int, times: int = 1) -> DataFrame:
@@ -84,9 +84,13 @@ def sobel_weights(size: int) -> list[tuple[int, int, float, float]]:
 
 def sobel(pixels: DataFrame, keys: tuple[str, ...], size: int = 5) -> DataFrame:
     """Columns gh and gv: correlation with the gradient kernels, zero outside the image."""
-    table = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(o, ("di", "dj", "h", "v"), strict=True))) for o in sobel_weights(size))))
-    sent = pixels.withColumn("_o", table).select(*keys, (F.col("i") - F.col("_o.di")).alias("i"), (F.col("j") - F.col("_o.dj")).alias("j"), (F.col("v") * F.col("_o.h")).alias("h"), (F.col("v") * F.col("_o.v")).alias("w"))
-    return pixels.select(*keys, "i", "j").join(sent.groupBy(*keys, "i", "j").agg(F.sum("h").alias("gh"), F.sum("w").alias("gv")), [*keys, "i", "j"])
+    kernels = {n: [(di, dj, w[k]) for di, dj, *w in sobel_weights(size)] for k, n in enumerate(("gh", "gv"))}
+
+    def gradient(tile: tiles.Tile) -> dict:
+        v = tile.grid("v", 0.0)
+        return {n: raster.correlate(v, w)[tile.at] for n, w in kernels.items()}
+
+    return tiles.per_tile(pixels, keys, ("v",), gradient, "gh double, gv double", tiles.SIZE, size // 2)
 
 
 def boundary_outside(mask: DataFrame, keys: tuple[str, ...]) -> DataFrame:

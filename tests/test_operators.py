@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesselon.operators import graph, grid, infer, labels, metrics, quantify, stain, stencil, threshold
+from tesselon.operators import graph, grid, infer, labels, metrics, quantify, stain, stencil, threshold, tiles
 from tesselon.plans.pipeline import Pipeline, Step, step
 from tesselon.sources import images, store
 from tesselon.streaming import arrivals
@@ -269,3 +269,44 @@ def test_tiff_tiles(spark, tmp_path):
     for r in images.pixels(tiles, ("tile_i", "tile_j")).collect():
         back[r["tile_i"] + r["i"], r["tile_j"] + r["j"], r["c"]] = r["v"]
     assert np.array_equal(back, image)
+
+
+def blobs(spark, side=23, seed=3):
+    rng = np.random.default_rng(seed)
+    image = rng.integers(0, 256, (side, side))
+    return image, spark.createDataFrame([(0, i, j, int(image[i, j])) for i in range(side) for j in range(side)], "tile int, i int, j int, v int")
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_regions_do_not_depend_on_tiles(spark, diagonal):
+    image, px = blobs(spark)
+    mask = px.filter("v > 120")
+    whole = sorted(map(tuple, labels.label_regions(mask, "tile", diagonal, 64).collect()))
+    assert sorted(map(tuple, labels.label_regions(mask, "tile", diagonal, 4).collect())) == whole
+    seen, todo = {}, sorted((i, j) for i, j in zip(*np.nonzero(image > 120), strict=True))
+    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (diagonal or not (a and b))]
+    for place in todo:
+        if place not in seen:
+            stack = [place]
+            while stack:
+                at = stack.pop()
+                if at in seen:
+                    continue
+                seen[at] = place
+                stack += [(at[0] + a, at[1] + b) for a, b in near if (at[0] + a, at[1] + b) in set(todo)]
+    assert {(i, j): (a, b) for _, i, j, a, b in whole} == seen
+
+
+def test_stencils_do_not_depend_on_tiles(spark, monkeypatch):
+    _, px = blobs(spark)
+    for work in (lambda: stencil.median_blur(px, ("tile",), 5), lambda: stencil.gaussian_blur(px, ("tile",), 3, 1.0), lambda: stencil.sobel(px, ("tile",), 5)):
+        monkeypatch.setattr(tiles, "SIZE", 256)
+        whole = sorted(map(tuple, work().collect()))
+        monkeypatch.setattr(tiles, "SIZE", 4)
+        assert np.allclose(sorted(map(tuple, work().collect())), whole)
+
+
+def test_images_too_large_for_one_task_are_refused(spark):
+    px = spark.createDataFrame([(0, 0, 0, 5, 1), (0, 5000, 5000, 5, 0)], "tile int, i int, j int, v int, marker int")
+    with pytest.raises(Exception, match="must be tiled first"):
+        labels.watershed(px.drop("marker"), px.filter("marker > 0").drop("v"), "tile").count()
