@@ -271,3 +271,86 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
             changed = not roots.filter("root <> old").isEmpty()
         part = cut(part.join(roots.select("graph_id", F.col("p").alias("part"), "root"), ["graph_id", "part"], "left").select("graph_id", "node", F.coalesce("root", "part").alias("part")), part)
     return reduce(DataFrame.unionByName, chosen) if chosen else edges.limit(0)
+
+
+def batch(graphs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all graphs as one: nodes numbered on from graph to graph, edges with the new numbers.
+
+    Graphs go by id and nodes by theirs. Numbers count within graphs first and then add the sizes of the
+    graphs before, of which there is one row a graph.
+    """
+    sizes = graphs.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("graph_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("graph_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    number = F.row_number().over(Window.partitionBy("graph_id").orderBy("node")) - 1 + F.col("start")
+    nodes = graphs.join(starts, "graph_id").withColumn("number", number.cast("long")).drop("start")
+    of = lambda c: nodes.select("graph_id", F.col("node").alias(c), F.col("number").alias(f"_{c}"))
+    moved = edges.join(of("src"), ["graph_id", "src"]).join(of("dst"), ["graph_id", "dst"]).select("graph_id", F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    return nodes, moved
+
+
+def build(nodes: DataFrame, edges: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """(graph_id, node, features..., degree, target): the nodes of graphs with how many edges end there, and the graph's target."""
+    degree = edges.groupBy("graph_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    out = nodes.join(degree, ["graph_id", "node"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return out if target is None else out.join(target, "graph_id", "left")
+
+
+#: The seven node values that graph features are statistics of, and the statistics.
+NODE_VALUES = ("hubs", "authorities", "constraint", "coreness", "egvec_centr", "degree", "personalized_pgrank")
+STATISTICS = ("mean", "median", "max", "min", "sum", "std")
+
+
+def features(nodes: DataFrame, edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-9, alpha: float = 0.85) -> DataFrame:
+    """(graph_id, 47 features): five numbers of each undirected graph and six statistics of seven node values.
+
+    Hubs, authorities, eigenvector centrality and ranks are stepped until they settle. Diameter and
+    radius are those of the connected parts.
+    """
+    both = cut(symmetric(edges))
+    ecc = eccentricities(both).groupBy("graph_id").agg(F.max("eccentricity").alias("diameter"), F.min("eccentricity").alias("radius"))
+    stats = graph_stats(nodes, both).select("graph_id", F.col("assortativity").alias("assortativity_degree"), "density", F.col("transitivity").alias("transitivity_undir"))
+    scores = hits(both, rounds, tolerance)
+    degree = both.groupBy("graph_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    values = [
+        scores.select("graph_id", "node", F.col("hub").alias("hubs"), F.col("authority").alias("authorities")),
+        constraint(both),
+        coreness(both).withColumnRenamed("core", "coreness"),
+        eigenvector(both, rounds, tolerance).withColumnRenamed("centrality", "egvec_centr"),
+        degree,
+        pagerank(nodes, both, rounds, alpha, tolerance).withColumnRenamed("rank", "personalized_pgrank"),
+    ]
+    joined = reduce(lambda a, b: a.join(b, ["graph_id", "node"], "left"), values, nodes.select("graph_id", "node"))
+    of = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min, "sum": F.sum, "std": F.stddev_pop}
+    summary = joined.groupBy("graph_id").agg(*(of[s](v).alias(f"{v}_{s}") for v in NODE_VALUES for s in STATISTICS))
+    return ecc.join(stats, "graph_id").join(summary, "graph_id")
+
+
+def cell_patches(instances: DataFrame, keys: tuple[str, ...], size: int, least: int) -> DataFrame:
+    """(keys, label, y, x, overlap): a patch around each instance's centre that holds at least ``least`` of its pixels."""
+    own = instances.filter("label <> 0")
+    corner = lambda c: (F.floor(F.avg(c)).cast("int") - size // 2)
+    at = own.groupBy(*keys, "label").agg(corner("i").alias("y"), corner("j").alias("x"))
+    return _overlaps(own, at, keys, size).filter(F.col("overlap") >= least)
+
+
+def tissue_patches(instances: DataFrame, keys: tuple[str, ...], size: int, least: int) -> DataFrame:
+    """(keys, label, y, x, overlap): a lattice of patches over each instance's box that hold more than ``least`` of its pixels.
+
+    The lattice steps by a patch's side from the rounded centre towards the box's sides; places name
+    the patches' centres' upper left corners.
+    """
+    own = instances.filter("label <> 0")
+    box = own.groupBy(*keys, "label").agg(*(f(c).alias(f"{n}{c}") for c in "ij" for n, f in (("c", lambda c: F.rint(F.avg(c)).cast("int")), ("low", F.min), ("high", lambda c: F.max(c) + 1))))
+    line = lambda c: F.sequence(F.col(f"c{c}") - F.floor((F.col(f"c{c}") - F.col(f"low{c}")) / size).cast("int") * size, F.col(f"c{c}") + F.floor((F.col(f"high{c}") - F.col(f"c{c}")) / size).cast("int") * size, F.lit(size))
+    at = box.withColumn("y", F.explode(line("i"))).withColumn("x", F.explode(line("j"))).select(*keys, "label", (F.col("y") - size // 2).alias("y"), (F.col("x") - size // 2).alias("x"))
+    return _overlaps(own, at, keys, size).filter(F.col("overlap") > least)
+
+
+def _overlaps(own: DataFrame, at: DataFrame, keys: tuple[str, ...], size: int) -> DataFrame:
+    """How many pixels of its instance each patch holds, by the cells of ``size`` that both meet."""
+    near = lambda c, over: F.explode(F.sequence(F.floor(F.col(c) / size), F.floor((F.col(c) + over) / size)))
+    patches = at.withColumn("_a", near("y", size - 1)).withColumn("_b", near("x", size - 1))
+    cells = own.select(*keys, "label", "i", "j", F.floor(F.col("i") / size).alias("_a"), F.floor(F.col("j") / size).alias("_b"))
+    inside = F.col("i").between(F.col("y"), F.col("y") + size - 1) & F.col("j").between(F.col("x"), F.col("x") + size - 1)
+    return cells.join(patches, [*keys, "label", "_a", "_b"]).filter(inside).groupBy(*keys, "label", "y", "x").agg(F.count(F.lit(1)).alias("overlap"))

@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# File suffixes and the reader that each is given to, first match wins (fixed values, a selection by family).
-BACKENDS = (
-    ("h5path", (".h5", ".h5path")),
-    ("bioformats", (".bif", ".czi", ".dv", ".ims", ".lif", ".nd2", ".oib", ".oif", ".ome.tif", ".ome.tiff", ".qptiff", ".scn", ".stk", ".tif", ".tiff", ".vsi", ".zvi")),
-    ("openslide", (".mrxs", ".ndpi", ".svs", ".svslide", ".vms", ".vmu")),
-    ("dicom", (".dcm", ".dicom")),
-)
-
-
-def infer_backend(path: Column, backends: tuple = BACKENDS) -> Column:
+# File suffixes and the reader that each is given to, first match wins (fixed values).
+BACKENDS = {
+    "h5path": ".h5 .h5path",
+    "bioformats": """
+        .1sc .2fl .acff .afi .afm .aim .al3d .ali .am .amiramesh .apl .arf .avi .bif .bin .bip .bmp .c01 .cfg .ch5 .cif .cr2 .crw .cxd .czi .dat .db
+        .dib .dm2 .dm3 .dm4 .dti .dv .eps .epsi .exp .fdf .fff .ffr .fits .fli .frm .gel .grey .hdr .hed .his .htd .hx .i2i .ics .ids .im3 .img .ims
+        .inr .ipl .ipm .ipw .j2k .jp2 .jpf .jpk .jpx .klb .l2d .labels .lei .lif .liff .lim .lms .lsm .map .mdb .mnc .mng .mod .mov .mrc .mrcs .mrw
+        .msr .mtb .mvd2 .naf .nd .nef .nhdr .nii .nii.gz .nrrd .obf .obsep .oib .oif .oir .ome .ome.btf .ome.tf2 .ome.tf8 .ome.tif .ome.tiff
+        .ome.xml .par .pbm .pcoraw .pcx .pds .pgm .pic .pict .png .pnl .ppm .pr3 .ps .psd .qptiff .r3d .raw .rcpnl .rec .scn .sdt .seq .sif .sld
+        .sm2 .sm3 .spc .spe .spi .st .stk .stp .sxm .tfr .tga .tif .tiff .tnb .top .vff .vsi .vws .wat .wlz .wpi .xdce .xml .xqd .xqf .xv .xys .zfp
+        .zfr .zvi
+    """,
+    "openslide": ".bif .mrxs .ndpi .scn .svs .svslide .tif .tiff .vms .vmu",
+    "dicom": ".dcm .dicom",
+}
+
+
+def infer_backend(path: Column, backends: dict[str, str] = BACKENDS) -> Column:
     """The reader of a file by its suffix, case-sensitive; null where none fits."""
     out = F.lit(None).cast("string")
-    for name, suffixes in reversed(backends):
-        fits = F.lit(False)
-        for s in suffixes:
-            fits = fits | path.endswith(s)
-        out = F.when(fits, F.lit(name)).otherwise(out)
+    for name, suffixes in reversed(backends.items()):
+        out = F.when(path.rlike(f"(?:{'|'.join(map(re.escape, suffixes.split()))})\\z"), F.lit(name)).otherwise(out)
     return out
 
 
@@ -107,3 +114,83 @@ def parse_file_size(size: Column) -> Column:
     for k, name in enumerate(("B", "KB", "MB", "GB", "TB")):
         factor = F.when(unit == name, F.lit(1000.0**k)).otherwise(factor)
     return F.floor(F.try_multiply(number.try_cast("double"), factor)).cast("long")
+
+
+def dicom_tiles(slides: DataFrame, height: int, width: int, pad: bool = False) -> DataFrame:
+    """The slides' columns with frame, tile_i and tile_j: one row a frame of ``n_frames`` in ``n_cols`` columns.
+
+    Frames may be filled up at the last row and column, so without ``pad`` those are left out, whether
+    complete or not.
+    """
+    frames = slides.withColumn("frame", F.explode(F.when(F.col("n_frames") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_frames").cast("long") - 1))))
+    if not pad:
+        frames = frames.filter((F.col("frame") % F.col("n_cols") < F.col("n_cols") - 1) & (F.col("frame") < F.col("n_frames") - F.col("n_cols")))
+    i, j = frame_coords(F.col("frame"), F.col("n_cols"), height, width)
+    return frames.withColumns({"tile_i": i, "tile_j": j})
+
+
+def extract_tiles(pixels: DataFrame, keys: tuple[str, ...], size: int, stride: int | None = None) -> DataFrame:
+    """Pixels (keys, tile_i, tile_j, i, j, ...) of all tiles of an image, i and j from the tile's corner.
+
+    The tiles must fit exactly; an image where they do not is an error.
+    """
+    stride = stride or size
+    rest = [c for c in pixels.columns if c not in (*keys, "i", "j")]
+    sides = pixels.groupBy(*keys).agg(*((F.max(c) + 1).alias(f"_{c}") for c in "ij"))
+    fits = F.lit(True)
+    for c in "ij":
+        fits = fits & (F.col(f"_{c}") >= size) & (F.pmod(F.col(f"_{c}") - size, F.lit(stride)) == 0)
+    checked = sides.withColumn("_fits", F.when(fits, True).otherwise(F.raise_error(F.lit(f"tiles of {size} at a stride of {stride} do not fit exactly")).cast("boolean"))).filter("_fits")
+    first = lambda c: F.greatest(F.lit(0), F.ceil((F.col(c) - size + 1) / stride))
+    last = lambda c: F.least(F.floor(F.col(c) / stride), F.floor((F.col(f"_{c}") - size) / stride))
+    dealt = pixels.join(checked, list(keys))
+    for c in "ij":
+        dealt = dealt.withColumn(f"_n{c}", F.explode(F.when(last(c) >= first(c), F.sequence(first(c), last(c)))))
+    corner = lambda c: (F.col(f"_n{c}") * stride).cast("int")
+    return dealt.select(*keys, *(corner(c).alias(f"tile_{c}") for c in "ij"), *((F.col(c) - corner(c)).cast("int").alias(c) for c in "ij"), *rest)
+
+
+def padded_tiles(pixels: DataFrame, keys: tuple[str, ...], size: int, value: str = "v") -> DataFrame:
+    """Pixels (keys, tile_i, tile_j, i, j, value) of tiles side by side; what hangs over the edge is 0, of the same type."""
+    corner = lambda c: (F.floor(F.col(c) / size) * size).cast("int")
+    own = pixels.select(*keys, corner("i").alias("tile_i"), corner("j").alias("tile_j"), F.pmod("i", F.lit(size)).alias("i"), F.pmod("j", F.lit(size)).alias("j"), value)
+    side = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    every = own.select(*keys, "tile_i", "tile_j").distinct().withColumn("i", side).withColumn("j", side)
+    return every.join(own, [*keys, "tile_i", "tile_j", "i", "j"], "left").withColumn(value, F.coalesce(value, F.lit(0).cast(pixels.schema[value].dataType)))
+
+
+def level_shape(height: Column, width: Column, downsample: Column) -> tuple[Column, Column]:
+    """Height and width at a level of a pyramid, rounded down."""
+    return F.floor(height / downsample).cast("int"), F.floor(width / downsample).cast("int")
+
+
+def region_at_level(levels: DataFrame, downsamples: dict[int, float], location: tuple[int, int], size: tuple[int, int], level: int) -> DataFrame:
+    """Pixels of one level whose place, in the frame of level 0, begins at ``location``; i and j from there.
+
+    ``levels`` are pixels with a column ``level``. Places are scaled by the whole part of the level's
+    downsample, as in the frame of level 0 a region begins at whole pixels of its level.
+    """
+    factor = int(downsamples[level])
+    return region(levels.filter(F.col("level") == level).drop("level"), location[0] // factor, location[1] // factor, *size)
+
+
+def thumbnail_of(pixels: DataFrame, keys: tuple[str, ...], size: tuple[int, int], height: int, width: int, value: str = "v") -> DataFrame:
+    """(keys, i, j, value): an image of ``size``, each pixel the mean of those that fall on it."""
+    at = lambda c, n, side: F.floor(F.col(c) * n / side).cast("int").alias(c)
+    return pixels.groupBy(*keys, at("i", size[0], height), at("j", size[1], width)).agg(F.avg(value).alias(value))
+
+
+#: Pixels of an image that graphs are built for, at least and at most (fixed values).
+GRAPH_PIXELS = (50_000, 50_000_000)
+
+
+def fit_for_graphs(slides: DataFrame, least: int = GRAPH_PIXELS[0], most: int = GRAPH_PIXELS[1]) -> DataFrame:
+    """The slides whose area lies within the bounds."""
+    return slides.filter((F.col("height").cast("long") * F.col("width")).between(least, most))
+
+
+def require(tiles: DataFrame, column: str, allowed: str, what: str) -> DataFrame:
+    """``tiles`` as they are; one whose ``column`` is not ``allowed`` is an error that names ``what``."""
+    message = F.concat(F.lit(f"{what} needs {column} {allowed}, not "), F.coalesce(F.col(column).cast("string"), F.lit("null")))
+    good = F.when(F.col(column) == allowed, True).otherwise(F.raise_error(message).cast("boolean"))
+    return tiles.filter(good)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,3 +134,77 @@ def local_maxima(pixels: DataFrame, keys: tuple[str, ...], size: int, least: flo
     top = pixels.withColumn("_m", F.max("v").over(Window.partitionBy(*keys, "i").orderBy("j").rangeBetween(-half, half)))
     top = top.withColumn("_m", F.max("_m").over(Window.partitionBy(*keys, "j").orderBy("i").rangeBetween(-half, half)))
     return top.filter((F.col("v") >= least) & (F.col("v") == F.col("_m"))).select(*keys, "i", "j")
+
+
+def instance_map(tiles: DataFrame, height: int, width: int, level: float, key: str = "slide_id") -> DataFrame:
+    """(key, ri, rj, area, cx, cy): the regions above ``level`` of a slide put together from tiles, with rounded centroids."""
+    whole = stitch(tiles, height, width, key)
+    found = label_regions(whole.filter(F.col("v") > level), key)
+    middle = lambda c: F.rint(F.avg(c)).cast("long")
+    return found.groupBy(key, "ri", "rj").agg(F.count(F.lit(1)).alias("area"), middle("j").alias("cx"), middle("i").alias("cy"))
+
+
+def without_background(pixels: DataFrame, key: str, tissue: DataFrame, least: float = 0.1) -> DataFrame:
+    """The pixels (key, i, j, label, ...) of superpixels of which at least a share lies in ``tissue`` (key, i, j)."""
+    inside = tissue.select(key, "i", "j").withColumn("_in", F.lit(1))
+    share = pixels.join(inside, [key, "i", "j"], "left").groupBy(key, "label").agg(F.avg(F.coalesce("_in", F.lit(0))).alias("_share"))
+    return pixels.join(share.filter(F.col("_share") >= least).select(key, "label"), [key, "label"])
+
+
+#: Equal parts of 0..255 whose shares describe a superpixel's channel.
+COLOR_BINS = 4
+
+
+def merge_by_color(pixels: DataFrame, key: str, threshold: float, hist_weight: float = 0.5, mean_weight: float = 0.5) -> DataFrame:
+    """(key, label, merged): superpixels merged as long as two that touch differ by less than ``threshold``.
+
+    ``pixels`` are (key, i, j, label, r, g, b). Two superpixels differ by half the distance of their
+    unit mean colours and by half that of their unit histograms, averaged over the channels. The two
+    that differ least are merged first, and what they are together is compared with its neighbours. A
+    tile's superpixels, of which there are few, are merged in one task; pixels are aggregated before.
+    """
+    channels = ("r", "g", "b")
+    bins = [F.count(F.when(F.floor(F.col(c) * COLOR_BINS / 256) == k, 1)).cast("double") for c in channels for k in range(COLOR_BINS)]
+    parts = pixels.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(c).cast("double") for c in channels)).alias("total"), F.array(*bins).alias("hist"))
+    sent = pixels.withColumn("_o", _beside(_EIGHT)).select(key, (F.col("i") + F.col("_o.a")).alias("i"), (F.col("j") + F.col("_o.b")).alias("j"), F.col("label").alias("other"))
+    touch = pixels.select(key, "i", "j", "label").join(sent, [key, "i", "j"]).filter("label <> other").select(key, F.least("label", "other").alias("label"), F.greatest("label", "other").alias("other")).distinct()
+    near = touch.groupBy(key, "label").agg(F.array_sort(F.collect_set("other")).alias("near"))
+    kinds = {f.name: f.dataType.simpleString() for f in pixels.select(key, "label").schema}
+    table = parts.join(near, [key, "label"], "left")
+    return table.groupBy(key).applyInPandas(lambda f: _merged(f, key, threshold, hist_weight, mean_weight), f"{key} {kinds[key]}, label {kinds['label']}, merged {kinds['label']}")
+
+
+def _merged(frame, key: str, threshold: float, hist_weight: float, mean_weight: float):
+    frame = frame.sort_values("label").reset_index(drop=True)
+    at = {label: k for k, label in enumerate(frame["label"])}
+    total, hist = np.stack(frame["total"]), np.stack(frame["hist"]).reshape(len(frame), 3, COLOR_BINS)
+    near: list[set[int]] = [set() for _ in at]
+    for k, others in enumerate(frame["near"]):
+        for o in [] if others is None else others:
+            near[k].add(at[o])
+            near[at[o]].add(k)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+
+    def differ(a: int, b: int) -> float:
+        mean = np.linalg.norm(unit(total[a]) - unit(total[b])) / 2
+        shares = np.mean([np.linalg.norm(unit(hist[a, c]) - unit(hist[b, c])) / 2 for c in range(3)])
+        return round(float(hist_weight * shares + mean_weight * mean), 9)
+
+    agenda = [(differ(a, b), a, b, 0, 0) for a in range(len(near)) for b in near[a] if a < b]
+    heapq.heapify(agenda)
+    into, age = list(range(len(near))), [0] * len(near)
+    while agenda and agenda[0][0] < threshold:
+        _, a, b, age_a, age_b = heapq.heappop(agenda)
+        if into[a] != a or into[b] != b or (age[a], age[b]) != (age_a, age_b):
+            continue
+        into[b] = a
+        total[a] += total[b]
+        hist[a] += hist[b]
+        near[a] = {o for o in near[a] | near[b] if o not in (a, b)}
+        age[a] += 1
+        for o in near[a]:
+            near[o] = (near[o] - {b}) | {a}
+            x, y = min(a, o), max(a, o)
+            heapq.heappush(agenda, (differ(x, y), x, y, age[x], age[y]))
+    root = lambda k: k if into[k] == k else root(into[k])
+    return frame[[key, "label"]].assign(merged=[frame["label"][root(k)] for k in range(len(near))])

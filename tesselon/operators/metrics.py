@@ -63,3 +63,23 @@ def weighted_f1(rows: DataFrame, truth: str, prediction: str) -> DataFrame:
 def summary(value: str) -> list[Column]:
     """Mean, median, maximum, minimum, sum and population deviation."""
     return [F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("max"), F.min(value).alias("min"), F.sum(value).alias("sum"), F.stddev_pop(value).alias("std")]
+
+
+def mean_pool(nodes: DataFrame, features: tuple[str, ...], graph: str = "graph_id") -> DataFrame:
+    """One row a graph: the mean of each feature over its nodes."""
+    return nodes.groupBy(graph).agg(*(F.avg(f).alias(f) for f in features))
+
+
+def hovernet_loss(pixels: DataFrame, key: str, size: int = 5) -> DataFrame:
+    """(key, loss): overlap and likelihood of the nucleus branch, error of the distance maps and twice that of their slopes.
+
+    ``pixels`` are (key, i, j, p, mask, h, v, th, tv): probability and truth of a nucleus, predicted and
+    true maps. A tile without nuclei has no slopes to compare.
+    """
+    from tesselon.operators.segment import hv_gradient_loss
+
+    parts = pixels.groupBy(key).agg(
+        soft_dice_loss(F.col("p"), F.col("mask")).alias("d"), cross_entropy(F.col("p"), F.col("mask")).alias("c"), squared_error(F.col("h"), F.col("th")).alias("sh"), squared_error(F.col("v"), F.col("tv")).alias("sv")
+    )
+    joined = parts.join(hv_gradient_loss(pixels, key, size), key, "left")
+    return joined.select(key, (F.col("d") + F.col("c") + (F.col("sh") + F.col("sv")) / 2 + 2 * F.coalesce("grad", F.lit(0.0))).alias("loss"))

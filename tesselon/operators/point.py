@@ -64,3 +64,22 @@ def centre_crop(pixels: DataFrame, size: tuple[int, int], target: tuple[int, int
     top, left = ((s - t) // 2 for s, t in zip(size, target, strict=True))
     inside = pixels.filter((F.col("i") >= top) & (F.col("i") < top + target[0]) & (F.col("j") >= left) & (F.col("j") < left + target[1]))
     return inside.withColumn("i", F.col("i") - top).withColumn("j", F.col("j") - left)
+
+
+def drop_alpha(pixels: DataFrame) -> DataFrame:
+    """RGBA pixels without the last channel."""
+    return pixels.drop("a")
+
+
+def squeeze(pixels: DataFrame, axes: tuple[str, ...] = ("z", "t")) -> DataFrame:
+    """Pixels without the axes along which there is one plane only; an axis with more is an error."""
+    several = pixels.agg(*(F.count_distinct(a).alias(a) for a in axes)).first()
+    left = [a for a in axes if several[a] > 1]
+    if left:
+        raise ValueError(f"axes {', '.join(left)} have several planes")
+    return pixels.drop(*axes)
+
+
+def foreground_of_classes(pixels: DataFrame, channels: int) -> DataFrame:
+    """(keys, i, j, v): one minus the last class channel, which is background."""
+    return pixels.filter(F.col("c") == channels - 1).drop("c").withColumn("v", 1 - F.col("v"))

@@ -92,3 +92,33 @@ def outer_union(*counts: DataFrame) -> DataFrame:
     for other in counts[1:]:
         out = out.unionByName(other, allowMissingColumns=True)
     return out
+
+
+def quantify_mif(pixels: DataFrame, key: str, channels: tuple[str, ...], offset: tuple[str, str] | None = None) -> DataFrame:
+    """``quantify`` with filled_area and euler: the single-cell table of a tile's segmentation."""
+    from tesselon.operators.segment import filled_area
+
+    cells = quantify(pixels, (key,), channels, offset)
+    return cells.join(filled_area(pixels, key), [key, "label"]).join(euler_number(pixels, (key,)), [key, "label"])
+
+
+def region_name(name):
+    """A slide's printed name as a region: letters, digits, blanks and points, without its class's name."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"[^a-zA-Z0-9 \n\.]", ""), r"\n", ""), "SlideDataname", "")
+
+
+def vectra_workflow(slides: DataFrame, segment, channels: int) -> DataFrame:
+    """(region, label, area, mean_..., filled_area, euler): cells of all slides of two runs on top of each other.
+
+    ``slides`` are pixels (run, name, x, y, z, c, t, v) with runs A and B; plane 0 is collapsed to
+    channels, ``segment`` gives (name, i, j, label) from (name, i, j, c0, c1, ...), and what a slide's
+    name says after an X is replaced by its run.
+    """
+    from tesselon.operators.point import collapse_runs
+
+    named = slides.filter(F.col("run").isin("A", "B")).withColumn("name", F.concat(F.regexp_replace("name", "X.*", ""), "run"))
+    flat = collapse_runs(named, 0, 1).withColumnsRenamed({"x": "i", "y": "j"})
+    names = [f"c{k}" for k in range(channels)]
+    wide = flat.groupBy("name", "i", "j").agg(*(F.max(F.when(F.col("ch") == k, F.col("v"))).alias(n) for k, n in enumerate(names)))
+    cells = quantify_mif(wide.join(segment(wide), ["name", "i", "j"]), "name", tuple(names))
+    return cells.withColumn("name", region_name("name")).withColumnRenamed("name", "region")

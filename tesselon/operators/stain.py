@@ -7,6 +7,7 @@ from numpy, in a batch function over one row a group; everything before and afte
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.functions.color import grey, optical_density
+from tesselon.lineage import cut
 from tesselon.operators import labels, stencil, threshold
 
 _RGB = ("r", "g", "b")
@@ -57,6 +59,39 @@ def stain_vectors(rgb: DataFrame, key: str, beta: float = 0.15, alpha: float = 1
     return both.select(key, F.when(red, F.col("p")).otherwise(F.col("q")).alias("h"), F.when(red, F.col("q")).otherwise(F.col("p")).alias("e"))
 
 
+def sparse_stain_vectors(rgb: DataFrame, key: str, beta: float = 0.15, penalty: float = 0.1, rounds: int = 10) -> DataFrame:
+    """(key, h, e): unit stain vectors by sparse non-negative factors of the densities.
+
+    From the reference vectors on, each round gives every pixel its best amounts of both stains under a
+    ``penalty`` on their sum, in closed form, and each slide the vectors that fit these amounts best.
+    What a round needs of a slide's pixels are nine sums. The vector with more red is hematoxylin.
+    """
+    od = _densities(rgb).filter(" AND ".join(f"o{c} > {beta}" for c in _RGB)).select(key, *(F.col(f"o{c}").alias(f"x{k}") for k, c in enumerate(_RGB)))
+    axes, names = range(3), [f"{s}{k}" for s in "he" for k in range(3)]
+    state = cut(rgb.select(key).distinct().select(key, *(F.lit(REFERENCE[s][k]).alias(f"{n}{k}") for s, n in enumerate("he") for k in axes)))
+    dot = lambda a, b: reduce(lambda x, y: x + y, (F.col(f"{a}{k}") * F.col(f"{b}{k}") for k in axes))
+
+    def fitted(df: DataFrame, own: str, other: str, square: str) -> DataFrame:
+        """One vector from the sums and the other vector, not below 0, of unit length."""
+        kept = [c for c in df.columns if c not in {f"{own}{k}" for k in axes}]
+        raw = [F.when(F.col(square) > 0, F.greatest((F.col(f"b{own}{k}") - F.col("cross") * F.col(f"{other}{k}")) / F.col(square), F.lit(0.0))).otherwise(F.col(f"{own}{k}")).alias(f"{own}{k}") for k in axes]
+        df = df.select(*kept, *raw)
+        return df.select(*kept, *(F.coalesce(F.try_divide(F.col(f"{own}{k}"), F.sqrt(dot(own, own))), F.lit(0.0)).alias(f"{own}{k}") for k in axes))
+
+    for _ in range(rounds):
+        given = od.join(state, key).withColumns({"p": dot("h", "x") - penalty, "q": dot("e", "x") - penalty, "g": dot("h", "e")})
+        det = 1 - F.col("g") * F.col("g")
+        given = given.withColumns({"u": F.try_divide(F.col("p") - F.col("g") * F.col("q"), det), "v": F.try_divide(F.col("q") - F.col("g") * F.col("p"), det)})
+        both, first = (F.col("u") >= 0) & (F.col("v") >= 0), F.col("p") >= F.col("q")
+        given = given.withColumns({"ah": F.when(both, F.col("u")).when(first, F.greatest("p", F.lit(0.0))).otherwise(0.0), "ae": F.when(both, F.col("v")).when(first, 0.0).otherwise(F.greatest("q", F.lit(0.0)))})
+        square = {"hh": ("ah", "ah"), "cross": ("ah", "ae"), "ee": ("ae", "ae")}
+        sums = given.groupBy(key).agg(*(F.sum(F.col(a) * F.col(b)).alias(n) for n, (a, b) in square.items()), *(F.sum(F.col(f"x{k}") * F.col(f"a{n}")).alias(f"b{n}{k}") for n in "he" for k in axes))
+        state = cut(fitted(fitted(sums.join(state, key), "h", "e", "hh"), "e", "h", "ee").select(key, *names), state)
+    red = F.col("h0") > F.col("e0")
+    of = lambda n: F.array(*(F.col(f"{n}{k}") for k in axes))
+    return state.select(key, F.when(red, of("h")).otherwise(of("e")).alias("h"), F.when(red, of("e")).otherwise(of("h")).alias("e"))
+
+
 def concentrations(rgb: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Columns ch and ce: the least-squares amounts of both stains, by the normal equations of two unknowns."""
     d = _densities(rgb).join(vectors, key)
@@ -73,12 +108,13 @@ def _rebuilt(amounts: dict[str, Column], target=REFERENCE) -> dict[str, Column]:
     return {c: F.floor(F.least(F.greatest(256 * F.exp(-total(k)) - 1, F.lit(0.0)), F.lit(255.0))).cast("int") for k, c in enumerate(_RGB)}
 
 
-def normalize_stain(rgb: DataFrame, key: str, stain: str = "both", **how) -> DataFrame:
-    """Pixels in reference colours: both stains, or only ``hematoxylin`` or ``eosin``.
+def normalize_stain(rgb: DataFrame, key: str, stain: str = "both", method: str = "macenko", **how) -> DataFrame:
+    """Pixels in reference colours: both stains, or only ``hematoxylin`` or ``eosin``; ``method`` is macenko or vahadane.
 
     Concentrations are scaled so that their 99th percentile in each group meets the reference's.
     """
-    amounts = concentrations(rgb, stain_vectors(rgb, key, **how), key)
+    vectors = {"macenko": stain_vectors, "vahadane": sparse_stain_vectors}[method](rgb, key, **how)
+    amounts = concentrations(rgb, vectors, key)
     top = amounts.groupBy(key).agg(F.percentile("ch", F.lit(0.99)).alias("th"), F.percentile("ce", F.lit(0.99)).alias("te"))
     scaled = amounts.join(top, key).withColumns({"ch": F.coalesce(F.try_divide(F.col("ch") * REFERENCE_MAX[0], F.col("th")), F.lit(0.0)), "ce": F.coalesce(F.try_divide(F.col("ce") * REFERENCE_MAX[1], F.col("te")), F.lit(0.0))})
     keep = {"h": F.col("ch") if stain != "eosin" else F.lit(0.0), "e": F.col("ce") if stain != "hematoxylin" else F.lit(0.0)}
@@ -93,9 +129,9 @@ def detect_tissue(rgb: DataFrame, key: str, height: int, width: int, blur: int =
     return labels.foreground(closed, key, height, width, min_region, max_hole)
 
 
-def detect_nuclei(rgb: DataFrame, key: str, step: int = 4, compactness: float = 10.0, rounds: int = 2) -> DataFrame:
+def detect_nuclei(rgb: DataFrame, key: str, step: int = 4, compactness: float = 10.0, rounds: int = 2, method: str = "vahadane") -> DataFrame:
     """(key, i, j, v): 255 where the hematoxylin's superpixel mean is dark by Otsu's threshold, else 0."""
-    stained = normalize_stain(rgb, key, "hematoxylin").select(key, "i", "j", grey(F.col("r"), F.col("g"), F.col("b")).alias("v"))
+    stained = normalize_stain(rgb, key, "hematoxylin", method).select(key, "i", "j", grey(F.col("r"), F.col("g"), F.col("b")).alias("v"))
     clusters = labels.superpixels(stained, key, step, compactness, rounds)
     smooth = stained.join(clusters, [key, "i", "j"])
     means = smooth.groupBy(key, "label").agg(F.floor(F.avg("v")).cast("long").alias("v"))

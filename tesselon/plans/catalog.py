@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,28 +10,17 @@ from pyspark.sql import functions as F
 from tesselon.functions import color
 from tesselon.lineage import shared_dir
 from tesselon.operators import graph, grid, infer, labels, metrics, point, quantify, stain, stencil, threshold
+from tesselon.plans import datasets as _datasets
 from tesselon.plans import rounds as R
+from tesselon.plans import segments as _segments
 from tesselon.plans import tables as T
+from tesselon.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 from tesselon.sources import store
 from tesselon.streaming import arrivals
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "_datasets", "_segments"]
 
-
-def query(sql: str | None = None):
-    def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return register
-
-
-def _r(column: str, digits: int = 6):
-    return F.round(column, digits).alias(column)
+_r = rounded
 
 
 # ---- flagship: mean intensity per object in the tiles that are not mostly white
@@ -89,7 +77,7 @@ _EXTENSIONS = (".h5path", ".svs", ".ome.tif", ".dcm", ".scn", ".TIF", ".png")
 
 
 @query(f"""WITH f AS (SELECT page_id, url || (ARRAY{list(_EXTENSIONS)})[1 + page_id % 7] AS path FROM pages)
-SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'h5path' WHEN 1 THEN 'openslide' WHEN 2 THEN 'bioformats' WHEN 3 THEN 'dicom' WHEN 4 THEN 'bioformats' END AS backend FROM f""")
+SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'h5path' WHEN 1 THEN 'openslide' WHEN 2 THEN 'bioformats' WHEN 3 THEN 'dicom' WHEN 4 THEN 'bioformats' WHEN 6 THEN 'bioformats' END AS backend FROM f""")
 def infer_backend(spark, sf):
     names = F.array(*map(F.lit, _EXTENSIONS))
     pages = T.read(spark, sf, "pages").select("page_id", F.concat("url", F.element_at(names, (F.col("page_id") % 7 + 1).cast("int"))).alias("path"))
@@ -408,19 +396,19 @@ def direction_map(spark, sf):
 
 
 @query("""SELECT user_id, count(click)::BIGINT AS clicks, count(value)::BIGINT AS values, count(*)::BIGINT AS n FROM (
-SELECT user_id, event_id AS click, NULL AS value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, NULL, value FROM events WHERE event_id % 3 = 0) GROUP BY 1""")
+SELECT user_id, event_id AS click, NULL AS value FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, NULL, value FROM events WHERE event_type IS DISTINCT FROM 'click') GROUP BY 1""")
 def counts_outer_union(spark, sf):
     e = T.read(spark, sf, "events")
-    both = quantify.outer_union(e.filter("event_id % 2 = 0").select("user_id", F.col("event_id").alias("click")), e.filter("event_id % 3 = 0").select("user_id", "value"))
+    both = quantify.outer_union(e.filter("event_type <=> 'click'").select("user_id", F.col("event_id").alias("click")), e.filter("NOT (event_type <=> 'click')").select("user_id", "value"))
     return both.groupBy("user_id").agg(F.count("click").alias("clicks"), F.count("value").alias("values"), F.count(F.lit(1)).alias("n"))
 
 
 # ---- metrics
 
 
-@query("""SELECT s_suppkey, coalesce(sum(l_quantity), 0) AS total FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_linenumber = 7 GROUP BY 1""")
+@query("""SELECT s_suppkey, coalesce(sum(l_quantity), 0) AS total FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1""")
 def scatter_sum(spark, sf):
-    rows = T.read(spark, sf, "lineitem").filter("l_linenumber = 7").select(F.col("l_suppkey").alias("s_suppkey"), "l_quantity")
+    rows = T.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_quantity")
     return metrics.scatter_sum(rows, "s_suppkey", "l_quantity", T.read(spark, sf, "supplier"))
 
 
@@ -525,24 +513,12 @@ def graph_stats(spark, sf):
     return graph.graph_stats(T.points(spark, sf), _knn(spark, sf)).select("graph_id", "nodes", "edges", _r("density"), _r("transitivity"), _r("assortativity"))
 
 
-def _pagerank_sql(rounds: int) -> str:
-    parts = [f"WITH {T.KNN}, n AS (SELECT graph_id, count(*)::DOUBLE AS n FROM pts GROUP BY 1), o AS (SELECT graph_id, src, count(*)::DOUBLE AS o FROM knn GROUP BY ALL), r0 AS (SELECT graph_id, node, 1 / n AS r FROM pts JOIN n USING (graph_id))"]
-    for k in range(rounds):
-        parts.append(
-            f"f{k} AS MATERIALIZED (SELECT k.graph_id, k.dst AS node, sum(r / o) AS f FROM knn k JOIN r{k} ON r{k}.graph_id = k.graph_id AND r{k}.node = k.src JOIN o ON o.graph_id = k.graph_id AND o.src = k.src GROUP BY ALL), "
-            f"r{k + 1} AS MATERIALIZED (SELECT p.graph_id, p.node, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(f, 0) AS r FROM pts p JOIN n USING (graph_id) LEFT JOIN f{k} ON f{k}.graph_id = p.graph_id AND f{k}.node = p.node)"
-        )
-    return ", ".join(parts) + f" SELECT graph_id, node, round(r, 9) AS rank FROM r{rounds}"
-
-
-@query(_pagerank_sql(4))
+@query(f"WITH {T.KNN}, {R.pagerank_ctes(10)} SELECT graph_id, node, round(r, 9) AS rank FROM r10")
 def pagerank_fixed_iter(spark, sf):
-    return graph.pagerank(T.points(spark, sf), _knn(spark, sf), 4).select("graph_id", "node", _r("rank", 9))
+    return graph.pagerank(T.points(spark, sf), _knn(spark, sf), 10).select("graph_id", "node", _r("rank", 9))
 
 
-@query(_UND + """, t AS (SELECT s.graph_id, s.src, s.dst, 1.0::DOUBLE / d AS p FROM s JOIN deg ON deg.graph_id = s.graph_id AND deg.node = s.src),
-v AS (SELECT a.graph_id, a.src, b.dst, sum(a.p * b.p) AS v FROM t a JOIN t b ON a.graph_id = b.graph_id AND a.dst = b.src WHERE a.src <> b.dst GROUP BY ALL)
-SELECT t.graph_id, t.src AS node, round(sum((p + coalesce(v, 0)) * (p + coalesce(v, 0))), 6) AS constraint FROM t LEFT JOIN v ON v.graph_id = t.graph_id AND v.src = t.src AND v.dst = t.dst GROUP BY ALL""".replace("AS constraint", 'AS "constraint"'))
+@query(f'WITH {R.UNDIRECTED}, {R.CONSTRAINT} SELECT graph_id, node, round(tie, 6) AS "constraint" FROM tied')
 def node_constraint(spark, sf):
     return graph.constraint(_knn(spark, sf)).select("graph_id", "node", _r("constraint"))
 
@@ -696,12 +672,12 @@ def store_upsert_remove(spark, sf):
     return store.remove(store.upsert(tiles, new, ("slide_id", "tile")), tiles.filter("tile = 5"), ("slide_id", "tile"))
 
 
-@query("""SELECT user_id % 20 AS slide_id, user_id AS tile_i, event_id AS tile_j, event_type FROM events WHERE user_id % 20 IN (3, 7)""")
+@query("""SELECT user_id % 20 AS slide_id, user_id AS tile_i, event_id AS tile_j, event_type FROM events""")
 def store_round_trip(spark, sf):
     path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
     e = T.read(spark, sf, "events")
     store.write_tiles(e.select((F.col("user_id") % 20).alias("slide_id"), F.col("user_id").alias("tile_i"), F.col("event_id").alias("tile_j"), "event_type"), path)
-    return store.read_tiles(spark, path, [3, 7]).select(F.col("slide_id").cast("long").alias("slide_id"), "tile_i", "tile_j", "event_type")
+    return store.read_tiles(spark, path).select(F.col("slide_id").cast("long").alias("slide_id"), "tile_i", "tile_j", "event_type")
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
