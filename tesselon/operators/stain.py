@@ -52,7 +52,10 @@ def stain_vectors(rgb: DataFrame, key: str, beta: float = 0.15, alpha: float = 1
     axes = cov.mapInPandas(plane, f"{key} {kind}, u array<double>, w array<double>")
     dot = lambda v: sum((F.col(f"o{c}") * F.col(v)[k] for k, c in enumerate(_RGB)), F.lit(0.0))
     angle = F.atan2(dot("w"), dot("u"))
-    ends = od.join(axes, key).groupBy(key).agg(F.percentile(angle, F.lit(alpha / 100)).alias("low"), F.percentile(angle, F.lit(1 - alpha / 100)).alias("high"), F.first("u").alias("u"), F.first("w").alias("w"))
+    axes = cut(axes)
+    angles = od.join(axes, key).select(key, angle.alias("angle"))
+    of = lambda share, name: threshold.percentile(angles, (key,), "angle", share).withColumnRenamed("p", name)
+    ends = axes.join(of(alpha / 100, "low"), key).join(of(1 - alpha / 100, "high"), key)
     at = lambda a: F.transform(F.arrays_zip("u", "w"), lambda z: z["u"] * F.cos(a) + z["w"] * F.sin(a))
     both = ends.select(key, at(F.col("low")).alias("p"), at(F.col("high")).alias("q"))
     red = F.col("p")[0] > F.col("q")[0]
@@ -115,8 +118,8 @@ def normalize_stain(rgb: DataFrame, key: str, stain: str = "both", method: str =
     """
     vectors = {"macenko": stain_vectors, "vahadane": sparse_stain_vectors}[method](rgb, key, **how)
     amounts = concentrations(rgb, vectors, key)
-    top = amounts.groupBy(key).agg(F.percentile("ch", F.lit(0.99)).alias("th"), F.percentile("ce", F.lit(0.99)).alias("te"))
-    scaled = amounts.join(top, key).withColumns({"ch": F.coalesce(F.try_divide(F.col("ch") * REFERENCE_MAX[0], F.col("th")), F.lit(0.0)), "ce": F.coalesce(F.try_divide(F.col("ce") * REFERENCE_MAX[1], F.col("te")), F.lit(0.0))})
+    top = lambda c, name: threshold.percentile(amounts, (key,), c, 0.99).withColumnRenamed("p", name)
+    scaled = amounts.join(top("ch", "th"), key).join(top("ce", "te"), key).withColumns({"ch": F.coalesce(F.try_divide(F.col("ch") * REFERENCE_MAX[0], F.col("th")), F.lit(0.0)), "ce": F.coalesce(F.try_divide(F.col("ce") * REFERENCE_MAX[1], F.col("te")), F.lit(0.0))})
     keep = {"h": F.col("ch") if stain != "eosin" else F.lit(0.0), "e": F.col("ce") if stain != "hematoxylin" else F.lit(0.0)}
     return scaled.withColumns(_rebuilt(keep)).drop("ch", "ce", "th", "te")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselon.functions.color import grey, hsi
+from tesselon.lineage import cut
 
 
 def otsu(pixels: DataFrame, keys: tuple[str, ...], value: str = "v") -> DataFrame:
@@ -93,9 +94,45 @@ def adaptive_equalize(pixels: DataFrame, keys: tuple[str, ...], block: int, clip
     return pixels.join(mixed, [*keys, "i", "j"])
 
 
-def clip_percentile(values: DataFrame, keys: tuple[str, ...], share: float = 0.999, value: str = "value") -> DataFrame:
-    """Values cut at the exact ``share`` percentile of their group's non-zero values; the percentile as ``cap``."""
-    caps = values.groupBy(*keys).agg(F.percentile(F.nullif(F.col(value), F.lit(0.0)), F.lit(share)).alias("cap"))
-    return values.join(caps, list(keys)).withColumn(value, F.least(F.col(value), F.coalesce("cap", F.col(value))))
+#: Values of a group that are sorted in one row; groups with more are narrowed down first.
+SORTED = 100_000
+
+
+def percentile(values: DataFrame, keys: tuple[str, ...], value: str, share: float, bins: int = 4096, most: int | None = None) -> DataFrame:
+    """(keys, p): the exact percentile of each group, between two values by proportion; nulls do not count.
+
+    A group's histogram of ``bins`` equal parts tells in which of them the wanted ranks lie; only their
+    values go on, into a histogram of their own, until at most ``most`` are left, which are sorted. So
+    no row ever holds more than that many values, nor a task more than histograms.
+    """
+    most = most or SORTED
+    left = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    bounds = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    # The rank of the lower value, counted from 0 among those left, and how far it is to the next.
+    rank = (F.col("_n") - 1) * share
+    state = cut(bounds.select(*keys, "_n", "_low", "_high", F.floor(rank).alias("_k"), (rank - F.floor(rank)).alias("_f"), (F.col("_low") == F.col("_high")).alias("_done")))
+    inside = F.col("_v").between(F.col("_low"), F.col("_high"))
+    wide = ~F.col("_done") & (F.col("_n") > most)
+    while not state.filter(wide).isEmpty():
+        part = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), F.lit(bins - 1))
+        held = left.join(state.filter(wide), list(keys)).filter(inside)
+        hist = held.groupBy(*keys, part.alias("_b")).agg(F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.first("_k").alias("_k"), F.first("_f").alias("_f"))
+        hist = hist.withColumn("_before", F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_m"))
+        wanted = hist.filter((F.col("_before") + F.col("_m") > F.col("_k")) & (F.col("_before") <= F.col("_k") + (F.col("_f") > 0).cast("int")))
+        # If the two ranks lie in two parts, they are the last value of one and the first of the other.
+        two = F.count(F.lit(1)) == 2
+        low, high = F.when(two, F.min("_most")).otherwise(F.min("_least")), F.when(two, F.max("_least")).otherwise(F.max("_most"))
+        new = wanted.groupBy(*keys).agg(F.sum("_m").alias("_n"), low.alias("_low"), high.alias("_high"), (F.first("_k") - F.min("_before")).alias("_k"), F.first("_f").alias("_f"), two.alias("_two"))
+        narrowed = new.select(*keys, "_n", "_low", "_high", "_k", "_f", (F.col("_two") | (F.col("_low") == F.col("_high"))).alias("_done"))
+        state = cut(state.filter(~wide).unionByName(narrowed), state)
+    few = left.join(state.filter(~F.col("_done")), list(keys)).filter(inside)
+    ordered = few.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_s"), F.first("_k").alias("_k"), F.first("_f").alias("_f"))
+    at = lambda d: F.get("_s", (F.col("_k") + d).cast("int"))
+    found = ordered.select(*keys, at(0).alias("_low"), F.coalesce(at(1), at(0)).alias("_high"), "_f").unionByName(state.filter("_done").select(*keys, "_low", "_high", "_f"))
+    return found.select(*keys, (F.col("_low") + F.col("_f") * (F.col("_high") - F.col("_low"))).alias("p"))
 
 
+def clip_percentile(values: DataFrame, keys: tuple[str, ...], share: float = 0.999, value: str = "value") -> DataFrame:
+    """Values cut at the exact ``share`` percentile of their group's non-zero values; the percentile as ``cap``."""
+    caps = percentile(values.filter(F.col(value) != 0), keys, value, share).withColumnRenamed("p", "cap")
+    return values.join(caps, list(keys), "left").withColumn(value, F.least(F.col(value), F.coalesce("cap", F.col(value))))

@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesselon.operators import graph, grid, infer, labels, metrics, quantify, stain, stencil, threshold, tiles
+from tesselon.operators import graph, grid, infer, labels, metrics, point, quantify, segment, stain, stencil, threshold, tiles
 from tesselon.plans.pipeline import Pipeline, Step, step
-from tesselon.sources import images, store
+from tesselon.sources import datasets, images, store
 from tesselon.streaming import arrivals
 
 
@@ -310,3 +310,78 @@ def test_images_too_large_for_one_task_are_refused(spark):
     px = spark.createDataFrame([(0, 0, 0, 5, 1), (0, 5000, 5000, 5, 0)], "tile int, i int, j int, v int, marker int")
     with pytest.raises(Exception, match="must be tiled first"):
         labels.watershed(px.drop("marker"), px.filter("marker > 0").drop("v"), "tile").count()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.5, 0.9, 0.999, 1.0])
+def test_percentiles_are_exact_however_few_values_are_sorted(spark, share):
+    rng = np.random.default_rng(2)
+    groups = {0: rng.normal(size=3000), 1: rng.integers(0, 2, 2000).astype(float), 2: np.full(500, 3.0), 3: np.array([1.0, 5.0]), 4: np.concatenate((np.zeros(400), [1e9] * 2, rng.random(300) * 1e-6))}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [(0, None), (5, None)], "g int, v double")
+    for most in (10, 100_000):
+        got = {r["g"]: r["p"] for r in threshold.percentile(df, ("g",), "v", share, bins=16, most=most).collect()}
+        assert got == pytest.approx({g: np.quantile(v, share) for g, v in groups.items()})
+
+
+def test_merging_by_color_takes_the_least_difference_first(spark):
+    colors = {"a": (200, 10, 10), "b": (195, 12, 12), "c": (10, 10, 200), "d": (12, 12, 195), "e": (10, 200, 10)}
+    rows = [(1, i, 2 * k + j, name, *rgb) for k, (name, rgb) in enumerate(colors.items()) for i in range(2) for j in range(2)]
+    px = spark.createDataFrame(rows, "tile int, i int, j int, label string, r int, g int, b int")
+    merged = {r["label"]: r["merged"] for r in labels.merge_by_color(px, "tile", 0.1).collect()}
+    assert merged == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e"}
+    assert len({r["merged"] for r in labels.merge_by_color(px, "tile", 2.0).collect()}) == 1
+    tissue = px.filter("label = 'a' OR (label = 'b' AND i = 0 AND j = 2)").select("tile", "i", "j")
+    assert {r["label"] for r in labels.without_background(px, "tile", tissue, 0.2).collect()} == {"a", "b"}
+
+
+def test_two_touching_nuclei_are_told_apart(spark):
+    side = 40
+    i, j = np.mgrid[:side, :side]
+    left, right = ((i - 20) ** 2 + (j - c) ** 2 <= 81 for c in (12, 28))
+    nucleus = left | right
+    h = np.where(left & (j <= 20), (j - 12) / 9, np.where(right, (j - 28) / 9, 0.0))
+    v = np.where(nucleus, (i - 20) / 9, 0.0)
+    rows = [(0, int(a), int(b), -4.0, 4.0 if nucleus[a, b] else -8.0, float(h[a, b]), float(v[a, b])) for a in range(side) for b in range(side)]
+    px = spark.createDataFrame(rows, "tile int, i int, j int, n0 double, n1 double, h double, v double")
+    out = array(segment.hovernet(px, "tile", 10, 5, k=0.3), (side, side), "label")
+    assert (out[~nucleus] == 0).all() and out[20, 12] != out[20, 28] and out[20, 12] > 0 < out[20, 28]
+    distance = np.maximum(9 - np.hypot(i - 20, j - 12), 9 - np.hypot(i - 20, j - 28)) / 9
+    cells = spark.createDataFrame([(0, int(a), int(b), float(max(distance[a, b], 0)), float(nucleus[a, b])) for a in range(side) for b in range(side)], "tile int, i int, j int, maxima double, interior double")
+    for how in ("h_maxima", "peak_local_max"):
+        out = array(segment.deep_watershed(cells, "tile", radius=4, maxima_threshold=0.2, interior_threshold=0.3, small_objects=15, fill_holes=15, expansion=1, how=how), (side, side), "label")
+        assert sorted(set(out.ravel())) == [0, 1, 2] and out[20, 12] != out[20, 28]
+    both = cells.select("tile", "i", "j", F.array(F.array("maxima"), F.array(F.lit(0.0), F.col("interior")), F.array("maxima"), F.array(F.lit(0.0), F.col("interior"))).alias("outputs"))
+    how = {"radius": 4, "maxima_threshold": 0.2, "interior_threshold": 0.3}
+    found = segment.mesmer(both, "tile", how, how).agg(F.max("cell_segmentation"), F.max("nuclear_segmentation")).first()
+    assert tuple(found) == (2, 2)
+
+
+def test_kinds_that_do_not_fit_are_refused(spark):
+    px = spark.createDataFrame([(0, i, j, 1, 0, 0) for i in range(5) for j in range(5)], "tile int, i int, j int, v int, z int, t int")
+    with pytest.raises(Exception, match="do not fit exactly"):
+        grid.extract_tiles(px, ("tile",), 4, 2).count()
+    with pytest.raises(ValueError):
+        point.squeeze(px.union(px.withColumn("z", F.lit(1))))
+    with pytest.raises(Exception, match="needs stain Fluor"):
+        grid.require(px.withColumn("stain", F.lit("HE")), "stain", "Fluor", "quantification").collect()
+    with pytest.raises(Exception, match="3 or 5 axes"):
+        datasets.channels_first(F.col("image"), F.col("shape"))
+        spark.range(1).select(F.array(F.lit(1), F.lit(2)).alias("image"), F.array(F.lit(2)).alias("shape")).select(*datasets.channels_first(F.col("image"), F.col("shape"))).collect()
+    one = spark.range(1).select(F.create_map(F.lit("a"), F.struct(F.array(F.lit(2)).alias("shape"), F.array(F.lit(1)).alias("data"))).alias("masks"))
+    value = F.struct(F.array(F.lit(3)).alias("shape"), F.array(F.lit(1)).alias("data"))
+    for wrong in (store.add_mask("masks", "a", value), store.update_mask("masks", "a", value), store.update_mask("masks", "b", value)):
+        with pytest.raises(Exception, match="there is"):
+            one.select(wrong.alias("m")).collect()
+
+
+def test_axes_of_volumes_come_in_the_order_for_batches(spark):
+    image = np.arange(2 * 3 * 4 * 2 * 5).reshape(2, 3, 4, 2, 5)
+    df = spark.createDataFrame([(image.ravel().tolist(), list(image.shape))], "image array<int>, shape array<int>")
+    flat, shape = df.select(*datasets.channels_first(F.col("image"), F.col("shape"))).first()
+    assert flat == image.transpose(4, 3, 2, 1, 0).ravel().tolist() and shape == [5, 2, 4, 3, 2]
+
+
+def test_node_values_settle(spark):
+    edges = spark.createDataFrame([(0, a, (a + d) % 12) for a in range(12) for d in (1, 3)], "graph_id int, src int, dst int")
+    nodes = edges.select("graph_id", F.col("src").alias("node")).distinct()
+    found = graph.features(nodes, edges).first()
+    assert len(found) == 48 and found["hubs_sum"] == pytest.approx(1) and found["personalized_pgrank_sum"] == pytest.approx(1) and found["degree_mean"] == 4
