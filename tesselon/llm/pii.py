@@ -290,7 +290,9 @@ def find(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE,
     extra = _extra(scan, rounds, confidence, support).select(F.col("doc_id").alias("d"), F.col("h").alias("e"), "extra")
     joined = scan.join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("e")), "left")
     none = F.array().cast(_SPAN)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    # One argument only: a second one would be an element's position.
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     every = F.array_sort(F.concat("base", F.coalesce("extra", none)))
     return joined.select("doc_id", *counts, F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"), _written(every).alias("spans"), F.coalesce(F.size("extra"), F.lit(0)).cast("long").alias("n_found"))
 

@@ -54,6 +54,7 @@ def test_find_equals_brute_force(documents):
     for r in documents.collect():
         spans = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute(r["text"] or ""))
         assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+        assert [got[r["doc_id"]][f"n_{k}"] for k in pii.KINDS] == [spans.count(k) for k in pii.KINDS]
         assert set(filter(None, spans.split(","))) <= set(got[r["doc_id"]]["spans"].split(","))
 
 
