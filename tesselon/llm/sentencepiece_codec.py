@@ -4,8 +4,9 @@ The agenda holds the adjacent symbol pairs that form a piece, best score first a
 equals; the best pair is merged, and the pairs it forms with its neighbours join the agenda (a heap,
 or for short words the plain list of pair scores). No piece of the vocabulary spans the end of a word,
 or a line feed, or the step from a letter to some marks, so these parts are merged on their own and
-remembered. The ids of all newly met parts of an Arrow batch are checked against the sentencepiece
-library, and so is that decoding them gives the part back.
+remembered. Within each Arrow batch the ids of all newly met parts, and the text that they are decoded to,
+are checked against the sentencepiece library; where they should differ, the library's are taken. A text's
+ids and its decoded text are put together from those of its parts.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -26,8 +28,8 @@ from sentencepiece import sentencepiece_model_pb2
 from tesselon.llm.common import chunks, text_or_empty
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Parts of words that a worker remembers at most; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Words, and parts of words, that a worker remembers at most, and the longest of them that it does; a memory is emptied when it is full.
+REMEMBERED, LONGEST = 600_000, 64
 SPACE = "▁"
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SHORT = 40
@@ -58,6 +60,10 @@ class PieceCodec:
         self.parts = regex.compile(rf"{SPACE}*\p{{L}}+(?=[{SPACE}\n{marks}]|$)|\n+|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.line_feed = self.library.encode("\n")
         self.known: dict[str, str] = {}
+        self.known_parts: dict[str, str] = {}
+        self.fresh: list[str] = []
+        self.otherwise: dict[str, str] = {}
+        self.irregular = f"^$|^ |  |{SPACE}"
 
     def ids(self, word: str) -> list[int]:
         """The ids of one part of a text in which spaces are already escaped."""
@@ -111,36 +117,78 @@ class PieceCodec:
     def decode(self, ids: list[int]) -> str:
         """The text of ids, with spaces restored and bytes put together, the leading space included."""
         pieces = [self.of_id[i] for i in ids]
-        if all(isinstance(p, str) for p in pieces):
+        try:
             return "".join(pieces).replace(SPACE, " ")
-        return b"".join(p if isinstance(p, bytes) else p.replace(SPACE, " ").encode() for p in pieces).decode("utf-8", errors="replace")
+        except TypeError:  # some are bytes
+            return b"".join(p if isinstance(p, bytes) else p.replace(SPACE, " ").encode() for p in pieces).decode("utf-8", errors="replace")
 
-    def words(self, text: str) -> list[str]:
-        return self.parts.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of new parts after a check against the library."""
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Remember the ids of new parts, and those that are decoded to another text, after a check against the library."""
         # The library puts a space in front of each text: a part's own first space is left out, and
         # a part without one follows a line feed, which no piece holds.
-        held = self.library.encode([w[1:].replace(SPACE, " ") if w[0] == SPACE else "\n" + w.replace(SPACE, " ") for w in words], num_threads=1)
-        for word, expected in zip(words, held, strict=True):
-            ids = self.ids(word)
-            if word != SPACE and ids != (expected if word[0] == SPACE else expected[len(self.line_feed) :]):
-                raise AssertionError(f"ids of {word[:80]!r} differ from the library's")
-            if self.decode(ids) != word.replace(SPACE, " "):
-                raise AssertionError(f"ids of {word[:80]!r} decode to another text")
-            self.known[word] = ",".join(map(str, ids))
-
-    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
-        """The ids as decimal text joined by commas, and the decoded text, of each text."""
-        split = [self.words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set().union(*split).difference(self.known)
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [(",".join(map(get, words)), "".join(words).replace(SPACE, " ")[1:]) for words in split]
+        held = self.library.encode([w[1:].replace(SPACE, " ") if w[0] == SPACE else "\n" + w.replace(SPACE, " ") for w in parts], num_threads=1)
+        found = []
+        for part, expected in zip(parts, held, strict=True):
+            ids = self.ids(part)
+            if part != SPACE:
+                expected = expected if part[0] == SPACE else expected[len(self.line_feed) :]
+                ids = ids if ids == expected else expected
+            found.append(ids)
+            self.known_parts[part] = ",".join(map(str, ids))
+        # The library leaves out one leading space.
+        for part, ids, text in zip(parts, found, self.library.decode(found, num_threads=1), strict=True):
+            held = " " + text if part[0] == SPACE else text
+            if self.decode(ids) != held or held != part.replace(SPACE, " "):
+                self.otherwise[part] = held
+        self.fresh += parts
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of new words, each with the space in front of it."""
+        split = [self.parts.findall(SPACE + w) for w in words]
+        self._learn_parts(list(set().union(*split).difference(self.known_parts)))
+        get = self.known_parts.__getitem__
+        self.known.update((w, ",".join(map(get, parts))) for w, parts in zip(words, split, strict=True))
+
+    def _text(self, parts: list[str]) -> str:
+        """What the parts of a text, or of a word, are decoded to."""
+        return "".join([self.otherwise.get(p, p) for p in parts] if self.otherwise else parts).replace(SPACE, " ")[1:]
+
+    def encode(self, texts: pa.StringArray) -> tuple[list[bytes], list[bytes]]:
+        """The ids as decimal text joined by commas, and the decoded text in UTF-8, of each text."""
+        # Other texts, such as those with two spaces in a row, are cut at their parts instead of at spaces.
+        irregular = pc.match_substring_regex(texts, self.irregular)
+        cut = pc.split_pattern(texts.filter(pc.invert(irregular)), " ")
+        others = [[] if not t else self.parts.findall(SPACE + t.replace(" ", SPACE)) for t in texts.filter(irregular).to_pylist()]
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        for memory in (self.known, self.known_parts):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        if not self.known_parts:
+            self.otherwise.clear()
+        new = [w for w in words if w not in self.known]
+        self._learn(new)
+        self._learn_parts(list(set().union(*others).difference(self.known_parts)))
+        starts = pa.array(cut.offsets.to_numpy() - cut.offsets[0].as_py(), pa.int32())
+
+        def joined(of_word: list[str], by: str) -> list[bytes]:
+            taken = pa.array(of_word, pa.string()).take(coded.indices)
+            return pc.binary_join(pa.ListArray.from_arrays(starts, taken), by).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+        ids = iter(joined([self.known[w] for w in words], ","))
+        text = iter(joined([self._text(self.parts.findall(SPACE + w)) for w in words] if self.otherwise else words, " "))
+        rest, out_ids, out_text = iter(others), [], []
+        for apart in irregular.to_pylist():
+            parts = next(rest) if apart else None
+            out_ids.append(",".join(map(self.known_parts.__getitem__, parts)).encode() if apart else next(ids))
+            out_text.append(self._text(parts).encode() if apart else next(text))
+        for memory, fresh in ((self.known, new), (self.known_parts, self.fresh)):
+            for word in fresh:
+                if len(word) > LONGEST:
+                    del memory[word]
+                    self.otherwise.pop(word, None)
+        self.fresh = []
+        return out_ids, out_text
 
 
 @lru_cache(maxsize=2)
@@ -155,14 +203,14 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     text. Null ids and repeated rows stay; an empty table gives an empty result; other columns are
     ignored.
     """
-    return _run(docs, path, "ids array<int>, decoded string", lambda ids, text: ([int(x) for x in ids.split(",")] if ids else [], text), [pa.list_(pa.int32()), pa.string()])
+    return _run(docs, path, "ids array<int>, decoded string", lambda ids, text: ([int(x) for x in ids.split(b",")] if ids else [], text.decode()), [pa.list_(pa.int32()), pa.string()])
 
 
 def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): ``encode_documents`` reduced to digests in the batch."""
 
-    def digest(ids: str, text: str) -> tuple[int, str, str]:
-        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    def digest(ids: bytes, text: bytes) -> tuple[int, str, str]:
+        return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
 
     return _run(docs, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", digest, [pa.int64(), pa.string(), pa.string()])
 
@@ -173,7 +221,7 @@ def _run(docs: DataFrame, path: str | None, schema: str, row, types: list[pa.Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            rows = [row(*x) for x in codec(where).encode(part.column("text").to_pylist())]
+            rows = [row(*x) for x in zip(*codec(where).encode(part.column("text")), strict=True)]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.record_batch([part.column("doc_id"), *columns], names)
 

@@ -43,10 +43,23 @@ def test_pieces_equal_the_library(monkeypatch):
     library, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.codec(path)
     texts = odd_texts()
     ids = library.encode(texts, num_threads=1)
-    assert codec.encode(texts) == [(",".join(map(str, i)), library.decode(i)) for i in ids]
+    expected = [",".join(map(str, i)).encode() for i in ids], [library.decode(i).encode() for i in ids]
+    assert codec.encode(pa.array(texts)) == expected
     monkeypatch.setattr(sentencepiece_codec, "_SHORT", 0)
     codec.known.clear()
-    assert codec.encode(texts) == [(",".join(map(str, i)), library.decode(i)) for i in ids]
+    codec.known_parts.clear()
+    assert codec.encode(pa.array(texts)) == expected == codec.encode(pa.array(texts))
+    assert max(map(len, [*codec.known, *codec.known_parts])) <= sentencepiece_codec.LONGEST
+
+
+def test_the_library_decides_where_ids_should_differ(monkeypatch):
+    path = public_tokenizers.path(sentencepiece_codec.VOCABULARY)
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.PieceCodec(path)
+    monkeypatch.setattr(codec, "ids", lambda word: [codec.byte[x] for x in word.encode()])
+    monkeypatch.setattr(codec, "decode", lambda ids: "wrong")
+    texts = ["some words, here", "two  spaces", "", "日本 x\n\ny"]
+    ids = library.encode(texts)
+    assert codec.encode(pa.array(texts)) == ([",".join(map(str, i)).encode() for i in ids], [library.decode(i).encode() for i in ids])
 
 
 def test_pieces_over_documents(documents, awkward, empty):
