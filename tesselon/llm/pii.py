@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesselon.lineage import cut as written
 from tesselon.llm.common import chunks, cut, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
@@ -287,7 +288,8 @@ def find(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE,
     columns are ignored.
     """
     scan = cut(_scan(docs))
-    extra = _extra(scan, rounds, confidence, support).select(F.col("doc_id").alias("d"), F.col("h").alias("e"), "extra")
+    # A table has a size by which Spark decides whether to send it to all tasks.
+    extra = written(_extra(scan, rounds, confidence, support).select(F.col("doc_id").alias("d"), F.col("h").alias("e"), "extra"))
     joined = scan.join(extra, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("e")), "left")
     none = F.array().cast(_SPAN)
     # One argument only: a second one would be an element's position.
@@ -303,7 +305,7 @@ def mask(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE,
     The columns stay those of ``docs``; where there is an ``n_chars`` it is that of the new text.
     """
     scan = cut(_scan(docs))
-    extra = cut(_extra(scan, rounds, confidence, support).select(F.col("doc_id").alias("__d"), F.col("h").alias("__e"), F.col("extra").alias("__extra")))
+    extra = written(_extra(scan, rounds, confidence, support).select(F.col("doc_id").alias("__d"), F.col("h").alias("__e"), F.col("extra").alias("__extra")))
     joined = docs.join(extra, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(text_or_empty()) == F.col("__e")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
