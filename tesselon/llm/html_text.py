@@ -43,11 +43,14 @@ _TABLE_TAGS = _TABLE | frozenset("tr tbody thead tfoot".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTENT = frozenset("p li dd dt td th blockquote pre figure figcaption".split())
 # Words in names that mark other things than the article; the second kind may also be what an article is about.
-_STRONG = r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|newsletters?|subscri\w+|popup|modal|side-?bars?|menus?|nav\w*|breadcrumbs?|footer|masthead|comments?|disqus|pager|pagination|toolbar|skip|contentinfo|complementary|shar(?:e|ing)|social|log-?in"
+_STRONG = r"ads?|adsby\w+|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|newsletters?|subscri\w+|popup|modal|side-?bars?|menus?|nav\w*|breadcrumbs?|footer|masthead|comments?|disqus|pager|pagination|toolbar|skip|contentinfo|complementary|shar(?:e|ing)|social|log-?in"
 _WEAK = r"notices?|alerts?|related|recommend\w*|widgets?|discussion|repl(?:y|ies)|search|sign-?up"
+_JOINED_BEFORE, _JOINED_AFTER = r"(?:post|page|site|user|reader|blog|article|main|top|left|right|header)?", r"(?:list|box|block|wrap(?:per)?|area|section|bar|form|thread|slot|unit|body|links?|container)?"
 _FILLER = r"list|block|box|wrap(?:per)?|container|area|section|bar|links?|items?|inner|outer|body|text|header|title|post|entry|article|site|main|page|top|bottom|left|right|global|slot|unit|\d+"
-_HINT = re.compile(rf"(?<![a-z])(?:{_STRONG}|{_WEAK})(?![a-z])")
-_WHOLE = re.compile(rf"(?:(?:{_FILLER})[-_]+)*(?:{_STRONG})(?:[-_]+(?:{_STRONG}|{_WEAK}|{_FILLER}))*")
+_HINT = re.compile(rf"(?<![a-z]){_JOINED_BEFORE}(?:{_STRONG}|{_WEAK}){_JOINED_AFTER}(?![a-z])")
+_WHOLE = re.compile(rf"(?:(?:{_FILLER})[-_]+)*{_JOINED_BEFORE}(?:{_STRONG}){_JOINED_AFTER}(?:[-_]+(?:{_STRONG}|{_WEAK}|{_FILLER}))*")
+_AD_ATTRIBUTE = re.compile(r"""(?:^|\s)data-(?:ads?|advert\w*|sponsor\w*)(?:-[\w-]*)?(?=[\s=/]|$)""")
+_VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WHITE = re.compile(r"\s+")
@@ -63,12 +66,16 @@ class Block(NamedTuple):
 
 
 def _hint(tag: str, attributes: str) -> int:
-    """2 if a name says nothing but a word for other things, 1 if one holds such a word, else 0.
+    """2 if a name says nothing but a word for other things or an attribute names an advert, 1 if a name holds such a word, else 0.
 
     Names of headings are made from their words and mean nothing; those of paragraphs and the like are
     seldom a place's.
     """
-    if tag in _HEADING or tag in ("html", "body") or not _HINT.search(attributes):
+    if tag in _HEADING or tag in ("html", "body"):
+        return 0
+    if "data-" in attributes and _AD_ATTRIBUTE.search(_VALUE.sub("=", attributes)):
+        return 2
+    if not _HINT.search(attributes):
         return 0
     names = [name for value in _ATTRIBUTE.findall(attributes) for name in value.strip("\"'").split()]
     if tag not in _CONTENT and any(map(_WHOLE.fullmatch, names)):
@@ -275,6 +282,12 @@ LABELLED = """
 9 0.0 0 0.0 7 0.0 1 0 1
 7 0.0 9 0.0 8 0.0 1 0 1
 4 0.0 7 0.0 5 0.0 1 0 1
+4 0.0 2 1.0 3 0.0 1 0 0
+3 0.0 1 1.0 2 0.0 1 0 0
+5 0.0 3 1.0 6 0.0 1 0 0
+2 0.0 1 1.0 4 0.0 1 0 0
+4 0.0 2 1.0 40 0.0 1 0 1
+3 0.0 1 1.0 25 0.0 1 0 1
 8 0.0 7 0.0 0 0.0 1 0 1
 4 1.0 60 0.0 3 1.0 2 0 0
 3 1.0 4 1.0 3 1.0 2 0 0
@@ -304,8 +317,13 @@ LABELLED = """
 3 1.0 75 0.0 70 0.0 1 0 0
 3 0.0 60 0.0 70 0.0 2 1 0
 4 0.0 35 0.0 20 0.0 2 1 0
-12 0.0 40 0.0 6 1.0 2 1 0
-18 0.2 50 0.0 45 0.0 2 1 0
+9 0.0 40 0.0 6 1.0 2 1 1
+10 0.0 60 0.0 60 0.0 2 1 1
+14 0.0 70 0.0 60 0.0 2 1 1
+21 0.0 60 0.0 60 0.0 2 1 1
+7 0.0 50 0.0 60 0.0 2 1 0
+18 0.1 50 0.0 45 0.0 2 1 1
+18 0.6 50 0.0 45 0.0 2 1 0
 6 1.0 40 0.0 5 1.0 2 1 0
 5 1.0 6 1.0 30 0.0 2 1 0
 9 0.5 70 0.0 60 0.0 2 1 0

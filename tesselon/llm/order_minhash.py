@@ -77,7 +77,7 @@ def fingerprint(signature: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal tuples as a share of the buckets that are not empty in both; 1 for two empty signatures."""
+    """Equal tuples as a share of the buckets that are not empty in either; 1 for two empty signatures."""
     bucket = lambda s: F.transform(s, lambda x: F.shiftright(x, 32))
     filled = F.size(F.array_union(bucket(a), bucket(b)))
     return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)

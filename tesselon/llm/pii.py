@@ -52,6 +52,7 @@ _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 _LETTER = re.compile(r"[^\W\d_]|@")
 _AT = re.compile(r"(?<!\S)at(?!\S)|[\[({<]\s?(?:at|@)\s?[\])}>]|@", re.IGNORECASE)
 _BEFORE_AT = re.compile(r"(?<![^\s\"'(<\[{,;:])(?:[\w.%+-]+\sdot\s){0,3}[\w.%+-]+\s{0,2}\Z", re.IGNORECASE)
+_MORE_BEFORE = re.compile(r"\sdot\s\Z", re.IGNORECASE)
 _AFTER_AT = re.compile(r"\s{0,2}[A-Z0-9-]{1,63}(?:(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)[A-Z0-9-]{1,63})*(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)[A-Z]{2,63}(?![\w@])", re.IGNORECASE)
 # A number begins after white space or a sign that no number holds, which keeps long runs linear.
 _NUMBER = r"[(\[+]{0,2}+[0-9][0-9().\[\]/+-]*+(?![^\s\"'>},;:!?*#$%&])"
@@ -146,11 +147,11 @@ def _spelled(text: str) -> Iterator[tuple[int, int]]:
     """E-mail addresses with "at" or "dot" in words, in brackets or between blanks."""
     free = 0
     for m in _AT.finditer(text):
-        base = max(free, m.start() - _LOCAL_PART)
-        local = _BEFORE_AT.search(text[base : m.start()])
-        domain = local and _AFTER_AT.match(text, m.end())
+        # Looking behind sees what lies before the bound, so a longer local part is no candidate, nor is its end.
+        local = _BEFORE_AT.search(text, max(free, m.start() - _LOCAL_PART), m.start())
+        domain = local and not _MORE_BEFORE.search(text, max(free, local.start() - 5), local.start()) and _AFTER_AT.match(text, m.end())
         if domain:
-            yield base + local.start(), domain.end()
+            yield local.start(), domain.end()
             free = domain.end()
 
 
@@ -264,10 +265,22 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED
     return scored.drop("before")
 
 
+def _reachable(edges: DataFrame) -> DataFrame:
+    """(pattern, kind, support, seeded, most): what is known of a pattern before any round; ``most`` bounds its confidence."""
+    total = edges.groupBy("pattern").agg(F.sum("n").alias("total")).filter("total > 1")
+    seeds = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("support"), F.sum("n").alias("seeds"))
+    return seeds.join(total, "pattern").select("pattern", "kind", "support", (F.col("seeds") / F.col("total")).alias("seeded"), (F.col("total") / (F.col("total") + _Z**2)).alias("most"))
+
+
 def _extra(scan: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
     """(doc_id, h, extra): the spans that trusted patterns add, for documents that have any."""
     seen = scan.select("doc_id", "h", F.explode("seen").alias("o")).select("doc_id", "h", "o.start", "o.end", "o.kind", "o.instance", F.explode("o.patterns").alias("pattern"))
     edges = cut(seen.groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")))
+    # Rounds change neither support nor majority nor the highest confidence that so many occurrences allow.
+    able = _reachable(edges).filter((F.col("most") >= confidence) & (F.col("support") >= support) & (F.col("seeded") > MAJORITY))
+    if able.isEmpty():
+        none = scan.select("doc_id", "h").limit(0)
+        return none.withColumn("extra", F.array().cast(_SPAN))
     trusted = score_graph(edges, rounds).filter((F.col("confidence") >= confidence) & (F.col("support") >= support) & (F.col("seeded") > MAJORITY))
     found = seen.filter("kind < 0").drop("kind").join(trusted, "pattern").groupBy("doc_id", "h", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     return found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))

@@ -161,11 +161,10 @@ class PieceCodec:
         others = [[] if not t else self.parts.findall(SPACE + t.replace(" ", SPACE)) for t in texts.filter(irregular).to_pylist()]
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        for memory in (self.known, self.known_parts):
-            if len(memory) > REMEMBERED:
+        # What words are made of and decoded to is known together or not at all.
+        if max(len(self.known), len(self.known_parts)) > REMEMBERED:
+            for memory in (self.known, self.known_parts, self.otherwise):
                 memory.clear()
-        if not self.known_parts:
-            self.otherwise.clear()
         new = [w for w in words if w not in self.known]
         self._learn(new)
         self._learn_parts(list(set().union(*others).difference(self.known_parts)))

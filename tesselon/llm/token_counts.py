@@ -21,8 +21,8 @@ from tesselon.llm.common import chunks, text_or_empty
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-#: Pre-tokens that a worker remembers at most; the memory is emptied when it is full.
-REMEMBERED = 1 << 18
+#: Pre-tokens that a worker remembers at most, and the longest of them that it does; the memory is emptied when it is full.
+REMEMBERED, LONGEST = 1 << 18, 64
 # The published split pattern of this vocabulary (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = np.iinfo(np.int64).max
@@ -101,7 +101,11 @@ class PairMerger:
         new = list(set().union(*pieces).difference(self.known))
         if new:
             self.known.update(zip(new, self.count([w.encode() for w in new]).tolist(), strict=True))
-        return [n + sum(map(self.known.__getitem__, words)) for n, words in zip(extra, pieces, strict=True)]
+        out = [n + sum(map(self.known.__getitem__, words)) for n, words in zip(extra, pieces, strict=True)]
+        for word in new:
+            if len(word) > LONGEST:
+                del self.known[word]
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -215,6 +215,8 @@ class WordTokenizer:
         self.known.update(zip(odd, self._ids(self.library, odd), strict=True))
         if odd:
             words = [w for w in words if w not in self.known]
+        if not words:
+            return
         # No word holds a line feed; between the parts of the words it has no ids, all others have some.
         found = _PARTS.findall("\n".join([*words, ""]).lower())
         self.known_parts["\n"] = b""

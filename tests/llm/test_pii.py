@@ -201,6 +201,19 @@ def test_precision_and_recall_of_planted_identifiers(spark):
     assert len(planted) > 80 and hit >= 0.95 * len(found) and hit >= 0.95 * len(planted), (hit, len(found), len(planted))
 
 
+def test_local_parts_are_taken_whole_or_not():
+    spans = lambda t: [t[a:b] for a, b in pii._spelled(t)]
+    assert spans("q" * 80 + " at example dot com") == [] == spans("foo dot " + "q" * 60 + " at example dot com")
+    assert spans("see " + "q" * 60 + " at example dot com") == ["q" * 60 + " at example dot com"]
+    assert spans("see foo dot bar at example dot com, a at b dot org") == ["foo dot bar at example dot com", "a at b dot org"]
+
+
+def test_no_round_where_no_pattern_can_be_trusted(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"x{chr(97 + i)} some.one{i}@example.com y{chr(97 + i)} {i}0077") for i in range(26)], "doc_id int, text string")
+    monkeypatch.setattr(pii, "score_graph", lambda *a: 1 / 0)
+    assert {r["n_found"] for r in pii.find(docs).collect()} == {0}
+
+
 def test_long_context_words_are_told_apart(spark):
     text = lambda c: f"{'x' * 100}{c} 5.5 end of it"
     a, b = (pii.occurrences(text(c), [])[0][4] for c in "ab")

@@ -37,15 +37,29 @@ def test_stages_do_what_they_say(spark, documents):
     assert sorted(map(tuple, ran)) == sorted(map(tuple, out))
 
 
+def test_awkward_and_empty_documents(spark, awkward, tmp_path):
+    """Nulls, ties, repeated rows and clashing names go through all stages; an empty table gives an empty result."""
+    docs = awkward.selectExpr("doc_id", "text", "CASE WHEN doc_id > 2 THEN 'en' END AS lang", "source", "cast(length(text) AS long) AS n_chars", "h", "target")
+    for name, df in (("rows", docs), ("none", docs.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/rows").collect()
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs, f"{tmp_path}/rows").collect()}
+    assert {r["doc_id"] for r in out} <= kept and all(len(r["ids_sha256"]) == 64 for r in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_rest_works_without_the_subpackage(tmp_path):
-    """Also where the pipeline's file is left: the other queries are registered and their tests found."""
+    """Also where the pipeline's file is left: the other queries are registered, and the other tests import and pass."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     subprocess.run(["cp", "-r", *(f"{root}/{x}" for x in ("tesselon", "tests", "__spark_entry__.py", "corpus_pipeline.py")), str(tmp_path)], check=True)
     for folder in ("tesselon", "tests"):
         subprocess.run(["mv", f"{tmp_path}/{folder}/llm", f"{tmp_path}/unused-{folder}"], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not [k for k in q if k.startswith('op') or k == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"
-    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join([str(tmp_path), *(p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and not os.path.samefile(p, root))])}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
-    subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests", "-k", "test_entry_and_registry or rgb_grey"], cwd=tmp_path, check=True, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests", "--deselect", "tests/test_entry.py::test_query_equals_sql"], cwd=tmp_path, check=True, env=env)
+    found = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests", "--collect-only"], cwd=tmp_path, check=True, env=env, capture_output=True, text=True)
+    assert "test_query_equals_sql" in found.stdout and "tests/llm" not in found.stdout
     os.remove(tmp_path / "corpus_pipeline.py")
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)

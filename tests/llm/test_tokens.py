@@ -87,6 +87,32 @@ def test_word_tokenizer_equals_the_library():
     assert max(map(len, [*words.known, *words.known_parts])) <= token_files.LONGEST
 
 
+def test_chunks_without_a_new_word(spark):
+    """Words that are all known already, only odd ones, and none at all."""
+    words, library = token_files.WordTokenizer(public_tokenizers.path(token_files.VOCABULARY)), Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
+    for texts in (["hello world"], ["hello world"], ["hello"], ["\U0001f389"] * 3, ["\U0001f389 hello"], ["", " "], [""], ["\U0001f389"]):
+        expected = [e.ids + [token_files.END_ID] for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, words.width).tolist() for x in words.encode(pa.array(texts)).to_pylist()] == expected
+    n = len(library.encode("hello world", add_special_tokens=False).ids) + 1
+    same = spark.range(20_001).selectExpr("id AS doc_id", "'hello world' AS text").coalesce(1)
+    emoji = spark.range(3).selectExpr("id AS doc_id", "'\U0001f389' AS text").coalesce(1)
+    for _ in range(2):
+        got = token_files.store_and_read(same).collect()
+        assert len(got) == 20_001 and {r["n_tokens"] for r in got} == {n} and max(r["start"] for r in got) == 20_000 * n
+        assert token_files.store_and_read(emoji).count() == 3
+
+
+def test_the_query_runs_twice_in_a_session(documents):
+    first, second = (sorted(map(tuple, token_files.store_and_read(documents).collect())) for _ in range(2))
+    assert first == second
+
+
+def test_count_memory_forgets_long_parts():
+    merger = token_counts.PairMerger(public_tokenizers.path(token_counts.VOCABULARY))
+    long = "x" * 5000
+    assert merger.tokens([long, f"a {long}"]) == merger.tokens([long, f"a {long}"]) and max(map(len, merger.known)) <= token_counts.LONGEST
+
+
 def test_other_vocabularies_are_refused(tmp_path):
     for module, kind in ((token_files, token_files.WordTokenizer), (token_counts, token_counts.PairMerger)):
         with open(public_tokenizers.path(module.VOCABULARY), encoding="utf-8") as f:
