@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import html_text, mixing, order_minhash, pii, quality, sentencepiece_codec, simhash, token_counts, token_files, topk
+from tesselon.llm import html_text, lexical, mixing, order_minhash, packing, phrases, pii, quality, sentencepiece_codec, simhash, token_counts, token_files, topk
 from tesselon.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_personal_data": op1_personal_data,
     "op2_mix_sources": op2_mix_sources,
@@ -63,10 +75,15 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_token_files": op9_token_files,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_phrases": op12_phrases,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.mix_sql(),
     "op4_top_k": topk.top_k_sql(),
     "op5_html_text": html_text.EXTRACT_SQL,
+    "op11_ranked_search": lexical.search_sql(),
+    "op12_phrases": phrases.mine_sql(),
 }
