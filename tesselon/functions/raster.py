@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 
 FOUR = ((0, 1), (1, 0))
@@ -12,6 +14,8 @@ def moved(a: np.ndarray, di: int, dj: int, fill) -> np.ndarray:
     """``a`` at (i + di, j + dj) for each place; ``fill`` outside."""
     out = np.full(a.shape, fill, a.dtype)
     h, w = a.shape
+    if abs(di) >= h or abs(dj) >= w:
+        return out
     rows, columns = slice(max(0, di), min(h, h + di)), slice(max(0, dj), min(w, w + dj))
     out[max(0, -di) : min(h, h - di), max(0, -dj) : min(w, w - dj)] = a[rows, columns]
     return out
@@ -56,32 +60,120 @@ def holes(mask: np.ndarray, most: int | None = None) -> np.ndarray:
     return inside if most is None else inside & (size[root] <= most)
 
 
+#: Places at which a flood's front is followed one by one rather than as arrays.
+_FEW = 24
+
+
 def flood(height: np.ndarray, marker: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """The marker (above 0) that reaches each place of the mask over the lowest pass; 0 where none does.
 
-    All places look at their four neighbours at once, round after round: the lower pass wins, then the
-    fewer steps, then the smaller marker, until no place changes.
+    Places look at their four neighbours: the lower pass wins, then the fewer steps, then the smaller
+    marker. The queue is ordered by steps and holds the places that changed in the last one; only they
+    can change their neighbours, so each place is met once for every lower pass by which it is reached,
+    and not once for every step of the longest path.
     """
     start = (marker > 0) & mask
-    cost, steps = np.where(start, height, np.inf), np.where(start, 0, np.iinfo(np.int64).max // 2)
-    held = np.where(start, marker, 0)
-    level = np.where(mask, height, np.inf)
-    while True:
-        best = (np.full(cost.shape, np.inf), np.full(cost.shape, np.iinfo(np.int64).max // 2), np.zeros(cost.shape, held.dtype))
-        for di, dj in ((-1, 0), (1, 0), (0, -1), (0, 1)):
-            best = _least(best, (moved(cost, di, dj, np.inf), moved(steps, di, dj, np.iinfo(np.int64).max // 2), moved(held, di, dj, 0)))
-        found = (best[2] > 0) & mask
-        new = _least((cost, steps, held), (np.where(found, np.maximum(best[0], level), np.inf), best[1] + 1, np.where(found, best[2], 0)))
-        if all((x == y).all() for x, y in zip(new, (cost, steps, held), strict=True)):
-            return held
-        cost, steps, held = new
-
-
-def _least(a, b):
-    """The smaller of two (cost, steps, marker) at each place; marker 0 is none."""
-    less = (b[0] < a[0]) | ((b[0] == a[0]) & ((b[1] < a[1]) | ((b[1] == a[1]) & (b[2] < a[2]))))
-    take = (b[2] > 0) & ((a[2] == 0) | less)
-    return tuple(np.where(take, y, x) for x, y in zip(a, b, strict=True))
+    level = np.pad(np.where(mask, height, np.inf).astype(float), 1, constant_values=np.inf).ravel()
+    cost = np.pad(np.where(start, height, np.inf).astype(float), 1, constant_values=np.inf).ravel()
+    held = np.pad(np.where(start, marker, 0).astype(np.int64), 1).ravel()
+    wide = height.shape[1] + 2
+    around = (-wide, wide, -1, 1)
+    front = np.flatnonzero(held)
+    views = memoryview(level), memoryview(cost), memoryview(held)
+    while len(front):
+        if len(front) <= _FEW:
+            front = _few_steps(list(map(int, front)), around, *views)
+            continue
+        to = np.concatenate([front + d for d in around])
+        source, by = np.tile(cost[front], 4), np.tile(held[front], 4)
+        good = np.flatnonzero(np.maximum(source, level[to]) < cost[to])
+        to, source, by = to[good], source[good], by[good]
+        # Of the neighbours that changed, the one with the lowest pass counts, then that with the smallest marker.
+        order = np.lexsort((by, source, to))
+        to, source, by = to[order], source[order], by[order]
+        first = np.concatenate(([True], to[1:] != to[:-1]))[: len(to)]
+        front, source = to[first], source[first]
+        cost[front] = np.maximum(source, level[front])
+        held[front] = by[first]
+    return held.reshape(height.shape[0] + 2, wide)[1:-1, 1:-1].astype(marker.dtype)
+
+
+def _few_steps(front: list[int], around: tuple[int, ...], level: memoryview, cost: memoryview, held: memoryview) -> np.ndarray:
+    """Steps of a flood as long as few places change in each."""
+    while 0 < len(front) <= _FEW:
+        best: dict[int, tuple[float, int]] = {}
+        for place in front:
+            own = cost[place], held[place]
+            for d in around:
+                to = place + d
+                if own[0] < cost[to] and level[to] < cost[to] and (to not in best or own < best[to]):
+                    best[to] = own
+        for to, (source, by) in best.items():
+            cost[to], held[to] = max(source, level[to]), by
+        front = list(best)
+    return np.array(front, np.int64)
+
+
+def _disk_maximum(a: np.ndarray, radius: int) -> np.ndarray:
+    """The greatest value of the disk around each place, its lines' maxima put together from windows of lengths that are powers of two."""
+    high, wide = a.shape
+    padded = np.pad(a, ((radius, radius), (radius, radius)), constant_values=-np.inf)
+    windows = [padded]
+    while 2 << len(windows) - 1 <= 2 * radius + 1:
+        step = 1 << len(windows) - 1
+        windows.append(np.maximum(windows[-1][:, :-step], windows[-1][:, step:]))
+    out = np.full(a.shape, -np.inf)
+    for d in range(-radius, radius + 1):
+        half = int((radius * radius - d * d) ** 0.5 + 1e-9)
+        k = (2 * half + 1).bit_length() - 1
+        line = windows[k][radius + d : radius + d + high]
+        left, right = radius - half, radius + half + 1 - (1 << k)
+        np.maximum(out, np.maximum(line[:, left : left + wide], line[:, right : right + wide]), out=out)
+    return out
+
+
+#: Side of the squares that a reconstruction looks at one by one.
+_SQUARE = 64
+
+
+def reconstructed(seed: np.ndarray, limit: np.ndarray, radius: int) -> np.ndarray:
+    """``seed`` grown by disks of ``radius`` under ``limit`` until nothing changes.
+
+    Squares are taken from a queue and grown by themselves until they rest; only when a place near a
+    side has changed do the squares beyond it join the queue again.
+    """
+    out = np.minimum(seed, limit)
+    if radius < 1:
+        return out
+    side = max(_SQUARE, 2 * radius)
+    rows, columns = -(-out.shape[0] // side), -(-out.shape[1] // side)
+    queue = deque((r, c) for r in range(rows) for c in range(columns))
+    queued = set(queue)
+    while queue:
+        r, c = queue.popleft()
+        queued.discard((r, c))
+        top, left = r * side, c * side
+        at = slice(max(0, top - radius), top + side + radius), slice(max(0, left - radius), left + side + radius)
+        own = slice(top - at[0].start, top - at[0].start + side), slice(left - at[1].start, left - at[1].start + side)
+        part, most = out[at].copy(), limit[top : top + side, left : left + side]
+        before = part[own].copy()
+        while True:
+            grown = np.minimum(most, _disk_maximum(part, radius)[own])
+            if (grown == part[own]).all():
+                break
+            part[own] = np.maximum(part[own], grown)
+        changed = part[own] != before
+        if not changed.any():
+            continue
+        out[top : top + side, left : left + side] = part[own]
+        near = {0: changed.any(), -1: changed[:radius].any(), 1: changed[-radius:].any()}, {0: True, -1: changed[:, :radius].any(), 1: changed[:, -radius:].any()}
+        for dr in (-1, 0, 1):
+            for dc in (-1, 0, 1):
+                beside = r + dr, c + dc
+                if (dr or dc) and near[0][dr] and near[1][dc] and 0 <= beside[0] < rows and 0 <= beside[1] < columns and beside not in queued:
+                    queue.append(beside)
+                    queued.add(beside)
+    return out
 
 
 def correlate(a: np.ndarray, weights: list[tuple[int, int, float]]) -> np.ndarray:

@@ -44,6 +44,15 @@ def label_regions(mask: DataFrame, key: str, diagonal: bool = True, size: int =
     return found.join(merged, [key, "ri", "rj"], "left").select(key, "i", "j", F.coalesce("_i", "ri").alias("ri"), F.coalesce("_j", "rj").alias("rj"))
 
 
+def tile_regions(mask: DataFrame, keys: tuple[str, ...], diagonal: bool = True) -> DataFrame:
+    """(keys, i, j, label): the connected regions of each image on its own, which must be a tile, numbered from 1 by their first pixels' places."""
+
+    def local(tile: tiles.Tile) -> dict:
+        return {"label": raster.regions(tile.present(), diagonal)[tile.at] + 1}
+
+    return tiles.per_tile(mask.select(*keys, "i", "j"), keys, (), local, "label long")
+
+
 def remove_small(mask: DataFrame, key: str, least: int) -> DataFrame:
     """(key, i, j, ri, rj): the regions with at least ``least`` pixels."""
     regions = label_regions(mask, key)

@@ -7,12 +7,16 @@ Labels are numbered from 1 in the order of their first pixels' places (or of the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.functions import raster
+from tesselon.lineage import cut
 from tesselon.operators import stencil, threshold, tiles
+from tesselon.operators.graph import connected_components
 from tesselon.operators.point import rescale_intensity
 
 
@@ -45,7 +49,11 @@ def _kept(labels: np.ndarray, least: int) -> np.ndarray:
     return np.where(size[labels] >= least, labels, 0)
 
 
-def hovernet(pixels: DataFrame, key: str, least: int = 10, size: int = 21, h: float = 0.5, k: float = 0.5) -> DataFrame:
+def _keys(key: str | tuple[str, ...]) -> tuple[str, ...]:
+    return (key,) if isinstance(key, str) else tuple(key)
+
+
+def hovernet(pixels: DataFrame, key: str | tuple[str, ...], least: int = 10, size: int = 21, h: float = 0.5, k: float = 0.5) -> DataFrame:
     """(key, i, j, label) of nuclei from logits and distance maps: ``pixels`` are (key, i, j, n0, n1, h, v).
 
     Pixels whose probability (softmax of n0, n1) reaches ``h`` form the mask, without regions of fewer
@@ -72,7 +80,39 @@ def hovernet(pixels: DataFrame, key: str, least: int = 10, size: int = 21, h: fl
         height = 1 - _lines(_lines(energy, soft, 0, "reflect"), soft, 1, "reflect")
         return {"label": _numbered(raster.flood(np.round(height * 1e9), root + 1, mask))[tile.at]}
 
-    return tiles.per_tile(pixels, (key,), ("n0", "n1", "h", "v"), run, "label long")
+    return tiles.per_tile(pixels, _keys(key), ("n0", "n1", "h", "v"), run, "label long")
+
+
+def across_tiles(pixels: DataFrame, key: str, size: int, halo: int, segmented: Callable[[DataFrame, tuple[str, ...]], DataFrame], share: float = 0.5) -> DataFrame:
+    """(key, i, j, ri, rj): the instances of whole images that are segmented in tiles, each named by its first pixel.
+
+    Tiles of ``size`` are widened by ``halo`` on each side. ``segmented`` labels their pixels: from pixels
+    and the columns that name a tile to (those columns, i, j, label), 0 for background. Instances of
+    two tiles are the same where, among the pixels that both tiles hold, they have at least ``share`` of
+    the smaller one's pixels in common; what is the same as another goes on over any number of tiles. A
+    pixel belongs to the instance that its own tile gave it.
+    """
+    names = (key, "_ti", "_tj")
+    found = cut(segmented(tiles.overlapping(pixels, size, halo), names).select(*names, "i", "j", "label"))
+    node = F.struct("_ti", "_tj", "label")
+    # Only pixels near a tile's edge lie in several tiles.
+    near = lambda c: (F.pmod(F.col(c), F.lit(size)) < halo) | (F.pmod(F.col(c), F.lit(size)) >= size - halo)
+    strip = found.filter(near("i") | near("j")).select(key, "i", "j", "_ti", "_tj", "label")
+    other = strip.select(key, "i", "j", F.col("_ti").alias("_ui"), F.col("_tj").alias("_uj"), F.col("label").alias("_other"))
+    pairs = strip.join(other, [key, "i", "j"]).filter((F.struct("_ti", "_tj") < F.struct("_ui", "_uj")) & ((F.col("label") > 0) | (F.col("_other") > 0)))
+    counts = cut(pairs.groupBy(key, "_ti", "_tj", "label", "_ui", "_uj", "_other").agg(F.count(F.lit(1)).alias("n")))
+    both = [key, "_ti", "_tj", "_ui", "_uj"]
+    left = counts.filter("label > 0").groupBy(*both, "label").agg(F.sum("n").alias("_left"))
+    right = counts.filter("_other > 0").groupBy(*both, "_other").agg(F.sum("n").alias("_right"))
+    met = counts.filter("label > 0 AND _other > 0").join(left, [*both, "label"]).join(right, [*both, "_other"]).filter(F.col("n") >= share * F.least("_left", "_right"))
+    end = lambda i, j, label: F.struct(key, F.struct(F.col(i).alias("_ti"), F.col(j).alias("_tj"), F.col(label).alias("label")).alias("at"))
+    same = cut(met.select(end("_ti", "_tj", "label").alias("src"), end("_ui", "_uj", "_other").alias("dst")))
+    own = found.filter((F.col("label") > 0) & (F.floor(F.col("i") / size) == F.col("_ti")) & (F.floor(F.col("j") / size) == F.col("_tj"))).select(key, "i", "j", node.alias("at"))
+    if not same.isEmpty():
+        merged = connected_components(same).select(f"node.{key}", "node.at", F.col("label.at").alias("_to"))
+        own = own.join(merged, [key, "at"], "left").select(key, "i", "j", F.coalesce("_to", "at").alias("at"))
+    first = own.groupBy(key, "at").agg(F.min(F.struct("i", "j")).alias("f"))
+    return own.join(first, [key, "at"]).select(key, "i", "j", F.col("f.i").alias("ri"), F.col("f.j").alias("rj"))
 
 
 def _dilated(a: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
@@ -89,13 +129,7 @@ def _box(radius: int) -> list[tuple[int, int]]:
 def _peaks(maxima: np.ndarray, how: str, radius: int, level: float) -> np.ndarray:
     if how == "peak_local_max":
         return (maxima == _dilated(maxima, _box(radius))) & (maxima > level)
-    disk = [(a, b) for a, b in _box(radius) if a * a + b * b <= radius * radius]
-    grown = maxima - level
-    while True:
-        new = np.minimum(maxima, _dilated(grown, disk))
-        if (new == grown).all():
-            return np.round(maxima - grown, 9) >= level
-        grown = new
+    return np.round(maxima - raster.reconstructed(maxima - level, maxima, radius), 9) >= level
 
 
 def _smoothed(a: np.ndarray, sigma: float) -> np.ndarray:

@@ -67,6 +67,44 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Rec
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def overlapping(pixels: DataFrame, size: int, halo: int) -> DataFrame:
+    """``pixels`` with the tile (_ti, _tj) of each, those within ``halo`` of another tile also with that one's."""
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / size), F.floor((F.col(c) + halo) / size)))
+    return pixels.withColumn("_ti", near("i")).withColumn("_tj", near("j"))
+
+
+def _own(rows: pa.RecordBatch, size: int | None) -> np.ndarray:
+    """Which of a tile's pixels lie in it and not only near it."""
+    if not size:
+        return np.ones(rows.num_rows, bool)
+    return np.logical_and(*(rows.column(c).to_numpy() // size == rows.column(t)[0].as_py() for c, t in (("i", "_ti"), ("j", "_tj"))))
+
+
+def per_tile_rows(pixels: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], function: Callable[[Tile, np.ndarray], dict[str, np.ndarray]], schema: str, size: int, halo: int = 0) -> DataFrame:
+    """(keys, ...): any number of rows from each tile and the pixels within ``halo`` of it.
+
+    ``function`` also gets a grid of which places are the tile's own pixels.
+    """
+    by, kinds = [*keys, "_ti", "_tj"], {f.name: f.dataType.simpleString() for f in pixels.select(*keys).schema}
+    new = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, by):
+            own = _own(rows, size)
+            if not own.any():
+                continue
+            tile = Tile(rows)
+            grid = np.zeros(tile.shape, bool)
+            grid[tile.at] = own
+            found = function(tile, grid)
+            n = len(found[new[0]])
+            columns = [*(pa.array([rows.column(k)[0].as_py()] * n, rows.schema.field(k).type) for k in keys), *(pa.array(found[c]) for c in new)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, *new])
+
+    ordered = overlapping(pixels.select(*keys, "i", "j", *values), size, halo).repartition(*by).sortWithinPartitions(*by)
+    return ordered.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in keys), schema]))
+
+
 def per_tile(pixels: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], function: Callable[[Tile], dict[str, np.ndarray]], schema: str, size: int | None = None, halo: int = 0) -> DataFrame:
     """(keys, i, j, ...): new values of every pixel from the tile that it lies in.
 
@@ -76,18 +114,15 @@ def per_tile(pixels: DataFrame, keys: tuple[str, ...], values: tuple[str, ...],
     names = [*keys, "i", "j"]
     sent, by = pixels.select(*names, *values), list(keys)
     if size:
-        near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / size), F.floor((F.col(c) + halo) / size)))
-        sent, by = sent.withColumn("_ti", near("i")).withColumn("_tj", near("j")), [*keys, "_ti", "_tj"]
+        sent, by = overlapping(sent, size, halo), [*keys, "_ti", "_tj"]
     kinds = {f.name: f.dataType.simpleString() for f in pixels.select(*names).schema}
     new = [c.split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, by):
-            own = np.ones(rows.num_rows, bool)
-            if size:
-                own = np.logical_and(*(rows.column(c).to_numpy() // size == rows.column(t)[0].as_py() for c, t in (("i", "_ti"), ("j", "_tj"))))
-                if not own.any():
-                    continue
+            own = _own(rows, size)
+            if not own.any():
+                continue
             found = function(Tile(rows))
             columns = [*(rows.column(c) for c in names), *(pa.array(found[c]) for c in new)]
             out = pa.RecordBatch.from_arrays(columns, [*names, *new])

@@ -11,6 +11,7 @@ from tesselon.functions import color
 from tesselon.lineage import shared_dir
 from tesselon.operators import graph, grid, infer, labels, metrics, point, quantify, stain, stencil, threshold
 from tesselon.plans import datasets as _datasets
+from tesselon.plans import outlines as _outlines
 from tesselon.plans import rounds as R
 from tesselon.plans import segments as _segments
 from tesselon.plans import tables as T
@@ -18,7 +19,7 @@ from tesselon.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 from tesselon.sources import store
 from tesselon.streaming import arrivals
 
-__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "_datasets", "_segments"]
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "_datasets", "_outlines", "_segments"]
 
 _r = rounded
 
