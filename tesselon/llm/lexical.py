@@ -1,8 +1,8 @@
 """Ranked lexical search over an index whose documents are grouped by equal length normaliser.
 
 Queries are items of text. Each batch of items has a vocabulary of bounded size; documents are scanned
-once a batch and become bags of those terms. Bags are sorted by the normaliser m, so that a block of
-them holds whole runs of equal m, the strata. Within a stratum a term's postings stand by frequency, and
+once a batch and become bags of those terms. Bags are dealt into shards that hold about as many postings
+each, and sorted by the normaliser m there: documents of equal m are a stratum. Within a stratum a term's postings stand by frequency, and
 as m is the same for all of them the impact of a frequency is computed once. A term's last posting in a
 stratum has its greatest impact; the sum over an item's terms bounds the scores of the stratum. An item
 visits the strata from the highest bound down and stops at the first one whose bound is below the score
@@ -226,7 +226,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, batch_bytes: int = BAT
         weights = np.array([weight(documents, int(df)) for df in holding])
         m = F.expr(f"100 - 90 + (cast(n AS decimal(19, 0)) * cast({90 * documents} AS decimal(19, 0))) div cast({words} AS decimal(19, 0))").cast("long")
         parts = max(spark.sparkContext.defaultParallelism, -(-postings // BLOCK))
-        placed = bags.filter(F.size("terms") > 0).select("doc_id", "place", "terms", "times", m.alias("m")).repartitionByRange(parts, "m", "place").sortWithinPartitions("m", "place")
+        # Long documents have many postings, so that ranges of m would be uneven.
+        placed = bags.filter(F.size("terms") > 0).select("doc_id", "place", "terms", "times", m.alias("m")).repartition(parts, "place").sortWithinPartitions("m", "place")
         queries = [np.array([at[t] for t in r["terms"]], np.int64) for r in rows]
         found.append(_best_of_tasks(placed.select("doc_id", "m", "terms", "times"), [r["item_id"] for r in rows], to_arrow_type(kinds["item_id"]), queries, weights, k, shape))
     if not found:
