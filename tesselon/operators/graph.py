@@ -225,20 +225,46 @@ def constraint(edges: DataFrame) -> DataFrame:
     return tied.groupBy("graph_id", F.col("src").alias("node")).agg(F.sum(F.col("t") * F.col("t")).alias("constraint"))
 
 
-def eccentricities(edges: DataFrame) -> DataFrame:
-    """(graph_id, node, eccentricity) in each connected part, by breadth-first rounds from all nodes at once.
+#: Words of 64 bits in which the sources of a block are kept, and blocks that are searched from at a time.
+_SEARCH_WORDS, _SEARCH_BLOCKS = 16, 8
 
-    Meant for the graph of one image or tile: the reached pairs grow with the square of a graph's nodes.
+
+def eccentricities(edges: DataFrame, words: int = _SEARCH_WORDS, at_once: int = _SEARCH_BLOCKS) -> DataFrame:
+    """(graph_id, node, eccentricity) in each connected part, by breadth-first search from many nodes at once.
+
+    The nodes of a graph are numbered and dealt into blocks of 64 times ``words`` sources. For each node
+    and block there is one row, whose bits say from which of the block's sources the node has been
+    reached; a round joins the rows that changed with the edges and takes the union of what arrives. As
+    paths lead both ways, a node's eccentricity is the last round in which one of its rows changed.
+    ``at_once`` blocks are searched from together, so that the rows of a search are at most as many
+    times the nodes.
     """
     both = cut(symmetric(edges))
-    reached = cut(both.select("graph_id", F.col("src").alias("node"), F.col("src").alias("at")).distinct().withColumn("hops", F.lit(0)))
-    front, hops = reached, 0
-    while not front.isEmpty():
-        hops += 1
-        step = front.select("graph_id", "node", F.col("at").alias("src")).join(both, ["graph_id", "src"]).select("graph_id", "node", F.col("dst").alias("at")).distinct()
-        front = cut(step.join(reached, ["graph_id", "node", "at"], "left_anti").withColumn("hops", F.lit(hops)))
-        reached = cut(reached.unionByName(front))
-    return reached.groupBy("graph_id", "node").agg(F.max("hops").alias("eccentricity"))
+    number = F.row_number().over(Window.partitionBy("graph_id").orderBy("node")) - 1
+    numbered = cut(both.select("graph_id", F.col("src").alias("node")).distinct().withColumn("_k", number.cast("long")))
+    bits, size = [f"_b{w}" for w in range(words)], 64 * words
+    highest = numbered.agg(F.max("_k")).first()[0]
+    keys, found = ["graph_id", "node", "_block"], []
+    for low in range(0, 0 if highest is None else highest // size + 1, at_once):
+        own = numbered.withColumn("_block", F.floor(F.col("_k") / size)).filter(F.col("_block").between(low, low + at_once - 1))
+        first = [F.when(F.floor(F.col("_k") % size / 64) == w, F.expr("shiftleft(1L, cast(_k % 64 AS int))")).otherwise(F.lit(0).cast("long")).alias(b) for w, b in enumerate(bits)]
+        state, hops = cut(own.select(*keys, *first, F.lit(0).alias("last"))), 0
+        while True:
+            front = state.filter(F.col("last") == hops)
+            hops += 1
+            sent = front.select("graph_id", F.col("node").alias("src"), "_block", *bits).join(both, ["graph_id", "src"])
+            met = sent.groupBy("graph_id", F.col("dst").alias("node"), "_block").agg(*(F.bit_or(b).alias(f"_n{b}") for b in bits))
+            held = lambda b: F.coalesce(b, F.lit(0).cast("long"))
+            joined = state.join(met, keys, "full_outer")
+            changed = reduce(lambda x, y: x | y, (held(b).bitwiseOR(held(f"_n{b}")) != held(b) for b in bits))
+            new = joined.select(*keys, *(held(b).bitwiseOR(held(f"_n{b}")).alias(b) for b in bits), F.when(changed, hops).otherwise(F.col("last")).alias("last"))
+            state = cut(new, state)
+            if state.filter(F.col("last") == hops).isEmpty():
+                break
+        found.append(state.groupBy("graph_id", "node").agg(F.max("last").alias("last")))
+    if not found:
+        return both.select("graph_id", F.col("src").alias("node"), F.lit(0).alias("eccentricity"))
+    return reduce(DataFrame.unionAll, found).groupBy("graph_id", "node").agg(F.max("last").alias("eccentricity"))
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:

@@ -681,6 +681,36 @@ def store_round_trip(spark, sf):
     return store.read_tiles(spark, path).select(F.col("slide_id").cast("long").alias("slide_id"), "tile_i", "tile_j", "event_type")
 
 
+@query("""SELECT user_id % 20 AS slide_id, user_id AS tile_i, event_id AS tile_j, CASE WHEN user_id % 20 IN (3, 7) AND event_id % 3 = 0 THEN 'changed' ELSE event_type END AS event_type
+FROM events WHERE user_id % 20 <> 5 AND NOT (user_id % 20 = 7 AND event_id % 5 = 0) UNION ALL SELECT 99, user_id, event_id, event_type FROM events WHERE user_id % 20 = 3 AND event_id % 4 = 0""")
+def store_rewrites(spark, sf):
+    """A store read back after tiles were replaced, added to a new slide, and removed, one slide with all its tiles."""
+    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    slide = F.col("user_id") % 20
+    tiles = T.read(spark, sf, "events").select(slide.alias("slide_id"), F.col("user_id").alias("tile_i"), F.col("event_id").alias("tile_j"), "event_type")
+    store.write_tiles(tiles, path)
+    changed = tiles.filter("slide_id IN (3, 7) AND tile_j % 3 = 0").withColumn("event_type", F.lit("changed"))
+    added = tiles.filter("slide_id = 3 AND tile_j % 4 = 0").withColumn("slide_id", F.lit(99).cast(tiles.schema["slide_id"].dataType))
+    store.write_upsert(spark, path, changed.unionAll(added))
+    store.write_remove(spark, path, tiles.filter("slide_id = 5 OR slide_id = 7 AND tile_j % 5 = 0"))
+    return store.read_tiles(spark, path).select(F.col("slide_id").cast("long").alias("slide_id"), "tile_i", "tile_j", "event_type")
+
+
+@query("""SELECT user_id AS slide_id, count(DISTINCT event_id % 4)::BIGINT AS tiles, 4::BIGINT AS expected FROM events GROUP BY user_id HAVING count(DISTINCT event_id % 4) = 4""")
+def stream_finished_slides(spark, sf):
+    """Slides of four tiles all of which have come; each event is a tile, and tiles come again and again."""
+    folder, name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    stream = arrivals.arrivals(spark, sf, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string", "events.parquet*")
+    tiles = stream.select(F.col("user_id").alias("slide_id"), (F.col("event_id") % 4).alias("tile_i"), F.lit(0).alias("tile_j"), F.lit(4).alias("expected"), F.col("ts").alias("at"))
+    before = spark.conf.get(name)
+    spark.conf.set(name, arrivals.STORE)
+    try:
+        arrivals.once(arrivals.finished(tiles, "3650 days"), f"{folder}/out", f"{folder}/checkpoint")
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(f"{folder}/out").filter("complete").select("slide_id", "tiles", "expected")
+
+
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def stream_windows(spark, sf):
     """The stream's own result after it has read all that is there; complete mode keeps every window."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.operators import graph, labels, metrics, quantify, segment, stain
+from tesselon.operators import gnn, graph, labels, metrics, quantify, segment, stain
 from tesselon.plans import rounds as R
 from tesselon.plans import tables as T
 from tesselon.plans.registry import query
@@ -176,6 +177,20 @@ def graph_mean_pool(spark, sf):
     return metrics.mean_pool(T.points(spark, sf), ("x", "y")).select("graph_id", _r("x"), _r("y"))
 
 
+@query(f"""WITH {T.KNN}, deg AS (SELECT pts.graph_id, node, x / 1000.0::DOUBLE AS x, y / 1000.0::DOUBLE AS y, 1 + count(src) AS d FROM pts LEFT JOIN knn ON knn.graph_id = pts.graph_id AND knn.dst = pts.node GROUP BY ALL),
+met AS (SELECT graph_id, node, x / d AS x, y / d AS y FROM deg UNION ALL SELECT b.graph_id, b.node, a.x / sqrt(a.d * b.d::DOUBLE), a.y / sqrt(a.d * b.d::DOUBLE)
+  FROM knn JOIN deg a ON a.graph_id = knn.graph_id AND a.node = src JOIN deg b ON b.graph_id = knn.graph_id AND b.node = dst),
+one AS (SELECT graph_id, node, greatest(0.5 * sum(x) - 0.25 * sum(y) + 0.1, -1e9) AS a, 0.75 * sum(x) + 1.5 * sum(y) - 0.2 AS b, 2.0 * sum(y) + 0.3 AS c FROM met GROUP BY ALL)
+SELECT graph_id, node, round(((a - 0.5) / sqrt(4 + 1e-5::DOUBLE))::DOUBLE, 5) AS a, round(((b - 0.5) / sqrt(4 + 1e-5::DOUBLE))::DOUBLE, 5) AS b, round(((c - 0.5) / sqrt(4 + 1e-5::DOUBLE))::DOUBLE, 5) AS c FROM one""")
+def gnn_layer(spark, sf):
+    """One graph convolution over nearest neighbours with normalisation, two channels to three."""
+    points = T.points(spark, sf)
+    nodes = points.select("graph_id", "node", F.array(F.col("x") / 1000.0, F.col("y") / 1000.0).alias("x"))
+    weights = {"weight": np.array([[0.5, 0.75, 0.0], [-0.25, 1.5, 2.0]]), "bias": np.array([0.1, -0.2, 0.3]), "mean": np.full(3, 0.5), "variance": np.full(3, 4.0)}
+    out = gnn.convolve(nodes, graph.knn_graph(points, 5), gnn.Layer("gcn", weights), 2)
+    return out.select("graph_id", "node", *(F.round(F.col("x")[k], 5).alias(c) for k, c in enumerate("abc")))
+
+
 @query(f"""WITH {T.KNN}, n AS (SELECT graph_id, node, row_number() OVER (ORDER BY graph_id, node) - 1 AS number FROM pts)
 SELECT knn.graph_id, a.number AS src, b.number AS dst FROM knn JOIN n a ON a.graph_id = knn.graph_id AND a.node = src JOIN n b ON b.graph_id = knn.graph_id AND b.node = dst""")
 def graph_batch(spark, sf):
