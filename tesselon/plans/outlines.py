@@ -1,14 +1,15 @@
-"""Queries over contours of regions and over instances of images that are segmented in tiles."""
+"""Queries over contours of regions, instances of images that are segmented in tiles, and pyramids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.operators import contours, labels, segment
+from tesselon.operators import contours, labels, pyramid, segment
 from tesselon.plans import rounds as R
 from tesselon.plans import tables as T
 from tesselon.plans.registry import query
+from tesselon.sources import images
 
 #: Four embeddings are an image of 16 by 16 pixels.
 _IMAGE = "img AS (SELECT vec_id // 4 AS vec_id, (vec_id % 4 // 2 * 8 + i)::INT AS i, (vec_id % 2 * 8 + j)::INT AS j, v FROM px)"
@@ -60,3 +61,17 @@ def contour_vertices(spark, sf):
     steps = vertices.join(n, ["image", "contour"]).withColumn("_p", F.when(F.col("place") == F.col("last"), 0).otherwise(F.col("place") + 1)).join(after, ["image", "contour", "_p"])
     moved = F.count(F.when((F.col("i") != F.col("ni")) | (F.col("j") != F.col("nj")), 1)).alias("steps")
     return steps.groupBy("image").agg(moved, (F.sum(F.col("j") * F.col("ni") - F.col("nj") * F.col("i")).cast("double") / 2).alias("area"))
+
+
+@query(f"""WITH {T.PX}, l0 AS (SELECT vec_id // 16 AS slide_id, (vec_id % 16 // 4 * 8 + i)::INT AS y, (vec_id % 4 * 8 + j)::INT AS x, v FROM px),
+l1 AS (SELECT slide_id, y // 2 AS y, x // 2 AS x, (2 * sum(v) + count(*)) // (2 * count(*)) AS v FROM l0 GROUP BY ALL), l2 AS (SELECT slide_id, y // 2 AS y, x // 2 AS x, (2 * sum(v) + count(*)) // (2 * count(*)) AS v FROM l1 GROUP BY ALL)
+SELECT slide_id, 0 AS level, y, x, v::INT AS v FROM l0 UNION ALL SELECT slide_id, 1, y, x, v::INT FROM l1 UNION ALL SELECT slide_id, 2, y, x, v::INT FROM l2""")
+def pyramid_levels(spark, sf):
+    """Slides of four by four tiles and two levels above; a slide without its last tiles has uneven levels."""
+    place = F.pmod("vec_id", F.lit(16))
+    packed = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "v"))), lambda s: F.lpad(F.hex(s["v"].cast("long")), 2, "0")), ""))
+    tiles = T.pixels(spark, sf).groupBy("vec_id").agg(packed.alias("image"))
+    index = {"slide_id": F.floor(F.col("vec_id") / 16), "ti": F.floor(place / 4).cast("int"), "tj": F.pmod("vec_id", F.lit(4)).cast("int"), **{c: F.lit(n) for c, n in (("height", 8), ("width", 8), ("channels", 1))}}
+    found = images.pixels(pyramid.levels(tiles.withColumns(index), 2, 1), ("slide_id", "level", "ti", "tj"))
+    side = lambda t, at: F.col(t) * 8 + F.col(at)
+    return found.select("slide_id", "level", side("ti", "i").alias("y"), side("tj", "j").alias("x"), "v")
