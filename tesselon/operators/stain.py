@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -106,22 +107,44 @@ def concentrations(rgb: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     return out.drop("h", "e", *(f"o{c}" for c in _RGB))
 
 
-def _rebuilt(amounts: dict[str, Column], target=REFERENCE) -> dict[str, Column]:
+def _rebuilt(amounts: dict[str, Column], target: tuple) -> dict[str, Column]:
     total = lambda k: sum((a * target[s][k] for s, a in enumerate(amounts.values())), F.lit(0.0))
     return {c: F.floor(F.least(F.greatest(256 * F.exp(-total(k)) - 1, F.lit(0.0)), F.lit(255.0))).cast("int") for k, c in enumerate(_RGB)}
 
 
-def normalize_stain(rgb: DataFrame, key: str, stain: str = "both", method: str = "macenko", **how) -> DataFrame:
-    """Pixels in reference colours: both stains, or only ``hematoxylin`` or ``eosin``; ``method`` is macenko or vahadane.
+_METHODS = {"macenko": stain_vectors, "vahadane": sparse_stain_vectors}
 
-    Concentrations are scaled so that their 99th percentile in each group meets the reference's.
+
+class Target(NamedTuple):
+    """Colours to normalise to: the stains' vectors and the 99th percentiles of their concentrations."""
+
+    vectors: tuple[tuple[float, ...], tuple[float, ...]] = REFERENCE
+    most: tuple[float, float] = REFERENCE_MAX
+
+
+def fit_to_reference(rgb: DataFrame, method: str = "macenko", **how) -> Target:
+    """The colours of one reference image (r, g, b); its statistics are four numbers a stain."""
+    one = rgb.select(F.lit(0).alias("_image"), *_RGB)
+    vectors = cut(_METHODS[method](one, "_image", **how))
+    amounts = concentrations(one, vectors, "_image")
+    found = vectors.first()
+    if found is None:
+        raise ValueError("the reference image has no stained pixels")
+    most = tuple(threshold.percentile(amounts, ("_image",), c, 0.99).first()["p"] for c in ("ch", "ce"))
+    return Target((tuple(found["h"]), tuple(found["e"])), most)
+
+
+def normalize_stain(rgb: DataFrame, key: str, stain: str = "both", method: str = "macenko", target: Target = Target(), **how) -> DataFrame:
+    """Pixels in a target's colours: both stains, or only ``hematoxylin`` or ``eosin``; ``method`` is macenko or vahadane.
+
+    Concentrations are scaled so that their 99th percentile in each group meets the target's.
     """
-    vectors = {"macenko": stain_vectors, "vahadane": sparse_stain_vectors}[method](rgb, key, **how)
+    vectors = _METHODS[method](rgb, key, **how)
     amounts = concentrations(rgb, vectors, key)
     top = lambda c, name: threshold.percentile(amounts, (key,), c, 0.99).withColumnRenamed("p", name)
-    scaled = amounts.join(top("ch", "th"), key).join(top("ce", "te"), key).withColumns({"ch": F.coalesce(F.try_divide(F.col("ch") * REFERENCE_MAX[0], F.col("th")), F.lit(0.0)), "ce": F.coalesce(F.try_divide(F.col("ce") * REFERENCE_MAX[1], F.col("te")), F.lit(0.0))})
+    scaled = amounts.join(top("ch", "th"), key).join(top("ce", "te"), key).withColumns({"ch": F.coalesce(F.try_divide(F.col("ch") * target.most[0], F.col("th")), F.lit(0.0)), "ce": F.coalesce(F.try_divide(F.col("ce") * target.most[1], F.col("te")), F.lit(0.0))})
     keep = {"h": F.col("ch") if stain != "eosin" else F.lit(0.0), "e": F.col("ce") if stain != "hematoxylin" else F.lit(0.0)}
-    return scaled.withColumns(_rebuilt(keep)).drop("ch", "ce", "th", "te")
+    return scaled.withColumns(_rebuilt(keep, target.vectors)).drop("ch", "ce", "th", "te")
 
 
 def detect_tissue(rgb: DataFrame, key: str, height: int, width: int, blur: int = 3, size: int = 3, min_region: int = 4, max_hole: int = 4, level: float | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from math import exp
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,14 +102,57 @@ def boundary_outside(mask: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def erode_edges(labels: DataFrame, keys: tuple[str, ...], width: int, label: str = "label") -> DataFrame:
-    """Drop, ``width`` times, the pixels of each object that touch another label or the background inside the image."""
-    edge = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1)))))
-    for _ in range(width):
-        sent = labels.filter(F.col(label) != 0).withColumn("_o", edge).select(*keys, (F.col("i") + F.col("_o.a")).alias("i"), (F.col("j") + F.col("_o.b")).alias("j"), F.col(label).alias("_l"))
-        differ = labels.select(*keys, "i", "j", F.col(label).alias("_own")).join(sent, [*keys, "i", "j"]).filter("_own <> _l").select(*keys, "_l", "i", "j").distinct()
-        # A pixel loses its label if one of its neighbours holds another one.
-        back = differ.withColumn("_o", edge).select(*keys, (F.col("i") + F.col("_o.a")).alias("i"), (F.col("j") + F.col("_o.b")).alias("j"), F.col("_l").alias(label)).distinct().withColumn("_gone", F.lit(True))
-        labels = labels.join(back, [*keys, "i", "j", label], "left").withColumn(label, F.when(F.col("_gone"), F.lit(0)).otherwise(F.col(label))).drop("_gone")
-    return labels
-
-
+    """(keys, i, j, label) without, ``width`` times, the pixels of each object that touch another label or the background inside the image."""
+
+    def erode_tile(tile: tiles.Tile) -> dict:
+        own, there = tile.grid(label, 0), tile.present()
+        for _ in range(width):
+            gone = np.zeros(own.shape, bool)
+            for di, dj in ((-1, 0), (1, 0), (0, -1), (0, 1)):
+                gone |= raster.moved(there, di, dj, False) & (raster.moved(own, di, dj, 0) != own)
+            own = np.where(gone, 0, own)
+        return {label: own[tile.at]}
+
+    kind = labels.schema[label].dataType.simpleString()
+    found = tiles.per_tile(labels.withColumn(label, F.col(label).cast("long")), keys, (label,), erode_tile, f"{label} long", tiles.SIZE, width)
+    return found.withColumn(label, F.col(label).cast(kind))
+
+
+#: How an image goes on beyond its sides: mirrored at its outer pixels, or with these repeated.
+BORDERS = {"reflect": "reflect", "replicate": "edge"}
+
+
+def _beyond(tile: tiles.Tile, size: int, half: int, border: str) -> tuple[np.ndarray, tuple]:
+    """The tile's values with ``half`` pixels around it, and where its rows' own pixels lie; beyond the image as ``border`` says."""
+    grid, pads, at = tile.grid("v"), [], []
+    for start, n, place, name in ((tile.top, tile.shape[0], tile.at[0], "_ti"), (tile.left, tile.shape[1], tile.at[1], "_tj")):
+        own = tile.rows.column(name)[0].as_py() * size
+        before, after = half - (own - start), half - max(0, start + n - own - size)
+        pads.append((before, after))
+        at.append(place + before)
+    return np.pad(grid, pads, mode=BORDERS[border]), tuple(at)
+
+
+def blur_within(pixels: DataFrame, keys: tuple[str, ...], kind: str, size: int, sigma: float = 1.0, border: str = "reflect") -> DataFrame:
+    """A ``box``, ``gaussian`` or ``median`` blur with images going on beyond their sides as native libraries let them.
+
+    ``border`` is ``reflect``, mirrored without repeating the outer pixels, or ``replicate``. ``size`` is
+    odd. Images are whole rectangles.
+    """
+    if kind not in ("box", "gaussian", "median") or border not in BORDERS or size % 2 == 0:
+        raise ValueError(f"{kind}, {border}, {size}: kinds are box, gaussian and median, borders {', '.join(BORDERS)}, sizes odd")
+    half, side = size // 2, max(tiles.SIZE, size)
+    line = np.exp(-(np.arange(-half, half + 1) ** 2) / (2 * sigma * sigma)) if kind == "gaussian" else np.ones(size)
+    line = line / line.sum()
+
+    def run(tile: tiles.Tile) -> dict:
+        wide, at = _beyond(tile, side, half, border)
+        if kind == "median":
+            out = np.median(np.lib.stride_tricks.sliding_window_view(wide, (size, size)), axis=(2, 3))
+        else:
+            out = np.apply_along_axis(np.convolve, 0, np.apply_along_axis(np.convolve, 1, wide, line, "valid"), line, "valid")
+        # Pixels near the tile have no whole box; they are another tile's.
+        inside = tuple(np.clip(a - half, 0, n - 1) for a, n in zip(at, out.shape, strict=True))
+        return {"v": out[inside]}
+
+    return tiles.per_tile(pixels.withColumn("v", F.col("v").cast("double")), keys, ("v",), run, "v double", side, half)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.operators import gnn, graph, labels, metrics, quantify, segment, stain
+from tesselon.operators import gnn, graph, labels, metrics, quantify, resample, segment, stain, stencil
 from tesselon.plans import rounds as R
 from tesselon.plans import tables as T
 from tesselon.plans.registry import query
@@ -222,3 +222,48 @@ def color_merged_superpixels(spark, sf):
     clusters = labels.superpixels(px, "vec_id", 2, 8.0, 2)
     rgb = px.select("vec_id", "i", "j", F.col("v").alias("r"), F.floor(F.col("v") * F.col("v") / 255).alias("g"), (255 - F.col("v")).alias("b"))
     return labels.merge_by_color(rgb.join(clusters, ["vec_id", "i", "j"]), "vec_id", 0.1)
+
+
+# ---- resampling and borders
+
+
+def _spline(size: int, n: int = 8) -> str:
+    """Rows (o, p, w): the weight of each of ``n`` pixels in each of ``size`` new ones, from the inverse of the splines' dense system."""
+    system = np.diag(np.full(n, 4.0)) + np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1)
+    system[0, 1] = system[-1, -2] = 2.0
+    x = np.arange(size) * (n - 1) / (size - 1)
+    far = np.abs(x[:, None] - np.arange(-1, n + 1)[None, :])
+    bump = np.where(far < 1, 4 - 6 * far**2 + 3 * far**3, np.where(far < 2, (2 - far) ** 3, 0.0))
+    folded = bump[:, 1:-1].copy()
+    folded[:, 1] += bump[:, 0]
+    folded[:, -2] += bump[:, -1]
+    weights = folded @ np.linalg.inv(system)
+    return ", ".join(f"({o}, {p}, {weights[o, p]!r}::DOUBLE)" for o in range(size) for p in range(n)).replace("np.float64(", "").replace(")::", "::")
+
+
+@query(f"""WITH {T.PX}, r AS (SELECT * FROM (VALUES {_spline(5)}) t(o, p, w)), c AS (SELECT * FROM (VALUES {_spline(11)}) t(o, p, w))
+SELECT vec_id, r.o::INT AS i, c.o::INT AS j, round(sum(r.w * c.w * v), 5) AS v FROM px JOIN r ON r.p = px.i JOIN c ON c.p = px.j GROUP BY ALL""")
+def spline_thumbnail(spark, sf):
+    """Tiles of 8 by 8 as images of 5 by 11."""
+    return resample.zoom(T.pixels(spark, sf), ("vec_id",), (5, 11)).select("vec_id", "i", "j", _r("v", 5))
+
+
+def _boxes(place: str) -> str:
+    """Pixels p with those of the box of 3 by 3 around them as q, outer places as ``place`` says."""
+    return f"px p CROSS JOIN range(-1, 2) x(a) CROSS JOIN range(-1, 2) y(b) JOIN px q ON q.vec_id = p.vec_id AND q.i = {place.format('p.i + a')} AND q.j = {place.format('p.j + b')}"
+
+
+@query(f"WITH {T.PX} SELECT p.vec_id, p.i, p.j, round(avg(q.v), 5) AS v FROM {_boxes(_mirror('{0}'))} GROUP BY ALL")
+def box_blur_reflected(spark, sf):
+    return stencil.blur_within(T.pixels(spark, sf), ("vec_id",), "box", 3).select("vec_id", "i", "j", _r("v", 5))
+
+
+@query(f"WITH {T.PX} SELECT p.vec_id, p.i, p.j, median(q.v) AS v FROM {_boxes('least(greatest({}, 0), 7)')} GROUP BY ALL")
+def median_blur_replicated(spark, sf):
+    return stencil.blur_within(T.pixels(spark, sf), ("vec_id",), "median", 3, border="replicate").select("vec_id", "i", "j", "v")
+
+
+@query(f"""WITH {T.PX}, k(d, w) AS (SELECT d, exp(-d * d / 2.88::DOUBLE) FROM range(-2, 3) t(d)), g AS (SELECT a.d AS di, b.d AS dj, a.w * b.w / (SELECT sum(x.w * y.w) FROM k x, k y) AS w FROM k a, k b)
+SELECT p.vec_id, p.i, p.j, round(sum(g.w * q.v), 5) AS v FROM px p CROSS JOIN g JOIN px q ON q.vec_id = p.vec_id AND q.i = {_mirror('p.i + di')} AND q.j = {_mirror('p.j + dj')} GROUP BY ALL""")
+def gaussian_blur_reflected(spark, sf):
+    return stencil.blur_within(T.pixels(spark, sf), ("vec_id",), "gaussian", 5, 1.2).select("vec_id", "i", "j", _r("v", 5))
