@@ -17,27 +17,41 @@ from tesselon.llm.common import shared_dir, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null texts are scored as empty ones; null ids are rows like others; repeated rows have the same score.
+    Without a single label of each kind nothing is known and all documents stay. An empty table gives none.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Of rows that repeat id and text one stays. Null and empty texts are alike. An empty table gives none.
+    """
     return simhash.deduplicate(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind; null texts stay null, repeated rows stay.
+
+    ``n_chars`` becomes that of the new text. An empty table gives none.
+    """
     return pii.mask(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes it."""
+    """The documents that the mix takes, each as often as it takes it.
+
+    Documents without words, null texts among them, are not taken; null sources are a source of their
+    own. Equal places in the queue go by the documents' ids. An empty table gives none.
+    """
     return mixing.mixed(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document of the mix."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document of the mix, as often as it comes; null texts count as empty."""
     return sentencepiece_codec.digest_documents(docs)
 
 
