@@ -160,6 +160,15 @@ def without_background(pixels: DataFrame, key: str, tissue: DataFrame, least: fl
     return pixels.join(share.filter(F.col("_share") >= least).select(key, "label"), [key, "label"])
 
 
+def merge_tissue(pixels: DataFrame, key: str, tissue: DataFrame, threshold: float, least: float = 0.1) -> DataFrame:
+    """(key, label, merged): the superpixels of which at least a share lies in ``tissue``, merged hierarchically by mean colour.
+
+    ``pixels`` are (key, i, j, label, r, g, b). As long as two that touch differ by less than
+    ``threshold``, the two that differ least become one and are compared anew.
+    """
+    return merge_by_color(without_background(pixels, key, tissue, least), key, threshold, 0.0, 1.0)
+
+
 #: Equal parts of 0..255 whose shares describe a superpixel's channel.
 COLOR_BINS = 4
 

@@ -104,6 +104,7 @@ def quantify_mif(pixels: DataFrame, key: str, channels: tuple[str, ...], offset:
 
 def region_name(name):
     """A slide's printed name as a region: letters, digits, blanks and points, without its class's name."""
+    # The characters that stay and the name that goes are fixed values: regions must be called so.
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"[^a-zA-Z0-9 \n\.]", ""), r"\n", ""), "SlideDataname", "")
 
 

@@ -14,14 +14,23 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tesselon.operators.grid import require
+
 _STEPS: dict[str, tuple[Callable, bool]] = {}
+#: What the tiles of a step must be: values by column.
+_NEEDS: dict[str, dict[str, str]] = {}
+
 
+def step(name: str, batch: bool = False, needs: dict[str, str] | None = None):
+    """Register a function as a step; ``batch`` for functions of a pandas frame of tiles.
 
-def step(name: str, batch: bool = False):
-    """Register a function as a step; ``batch`` for functions of a pandas frame of tiles."""
+    ``needs`` names columns and the value that each tile must have there, such as a stain; other tiles
+    are an error when they come to the step.
+    """
 
     def register(function: Callable) -> Callable:
         _STEPS[name] = (function, batch)
+        _NEEDS[name] = needs or {}
         return function
 
     return register
@@ -41,6 +50,11 @@ class Step:
         return _STEPS[self.name][1]
 
     def __call__(self, value):
+        for column, allowed in _NEEDS[self.name].items():
+            if isinstance(value, DataFrame):
+                value = require(value, column, allowed, self.name)
+            elif not (value[column] == allowed).all():
+                raise ValueError(f"{self.name} needs {column} {allowed}")
         return _STEPS[self.name][0](value, **self.params)
 
 

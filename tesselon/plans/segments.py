@@ -156,6 +156,21 @@ def tissue_patches(spark, sf):
     return graph.tissue_patches(T.instances(spark, sf), ("graph_id",), 3, 2)
 
 
+@query(f"""WITH {T.INST}, at AS (SELECT graph_id, label, floor(avg(i))::INT - 1 AS y, floor(avg(j))::INT - 1 AS x FROM inst WHERE label <> 0 GROUP BY ALL)
+SELECT at.graph_id, at.label, y, x, count(*)::BIGINT AS overlap FROM at JOIN inst p ON p.graph_id = at.graph_id AND p.label = at.label AND p.i BETWEEN y AND y + 2 AND p.j BETWEEN x AND x + 2 GROUP BY ALL HAVING count(*) >= 2""")
+def cell_patches(spark, sf):
+    return graph.cell_patches(T.instances(spark, sf), ("graph_id",), 3, 2)
+
+
+@query(f"""WITH {R.superpixels(2, 8.0, 2)}, s AS (SELECT vec_id, li, lj FROM l2 GROUP BY ALL HAVING avg(CASE WHEN v > 100 THEN 1 ELSE 0 END) >= 0.5)
+SELECT vec_id, i, j, li || ':' || lj AS label FROM l2 SEMI JOIN s USING (vec_id, li, lj)""")
+def superpixels_in_tissue(spark, sf):
+    """The pixels of the superpixels half of which is tissue."""
+    px = T.pixels(spark, sf)
+    clusters = labels.superpixels(px, "vec_id", 2, 8.0, 2)
+    return labels.without_background(clusters, "vec_id", px.filter("v > 100"), 0.5).select("vec_id", "i", "j", "label")
+
+
 # ---- losses, pools, graph features
 
 

@@ -333,6 +333,28 @@ def test_merging_by_color_takes_the_least_difference_first(spark):
     assert {r["label"] for r in labels.without_background(px, "tile", tissue, 0.2).collect()} == {"a", "b"}
 
 
+def test_superpixels_of_tissue_are_merged_hierarchically(spark):
+    shades = {"a": 100, "b": 110, "c": 122, "d": 200}
+    rows = [(1, i, 2 * k + j, name, v, 128, 128) for k, (name, v) in enumerate(shades.items()) for i in range(2) for j in range(2)]
+    px = spark.createDataFrame(rows, "tile int, i int, j int, label string, r int, g int, b int")
+    tissue = px.filter("label <> 'd'").select("tile", "i", "j")
+    merged = {r["label"]: r["merged"] for r in labels.merge_tissue(px, "tile", tissue, 0.03).collect()}
+    assert merged == {"a": "a", "b": "a", "c": "a"}
+    # Once a and b are one, their mean is farther from c than b was.
+    assert {r["label"]: r["merged"] for r in labels.merge_tissue(px, "tile", tissue, 0.0225).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_steps_refuse_tiles_that_they_are_not_made_for(spark):
+    step("only_fluor", needs={"stain": "Fluor"})(lambda df: df)
+    step("only_he", batch=True, needs={"stain": "HE"})(lambda frame: frame)
+    tiles = spark.createDataFrame([(1, "Fluor")], "tile int, stain string")
+    assert Step("only_fluor")(tiles).count() == 1
+    with pytest.raises(Exception, match="only_fluor needs stain Fluor"):
+        Step("only_fluor")(tiles.withColumn("stain", F.lit("HE"))).collect()
+    with pytest.raises(ValueError, match="only_he needs stain HE"):
+        Step("only_he")(tiles.toPandas())
+
+
 def test_two_touching_nuclei_are_told_apart(spark):
     side = 40
     i, j = np.mgrid[:side, :side]
