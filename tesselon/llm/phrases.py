@@ -3,40 +3,49 @@
 The occurrence relation is persisted once, sorted by piece and position: a row of the table holds many
 pieces of one language, the words of all its positions in order, and where each piece ends. The
 occurrences of phrases of k words are the merge-join of those of k - 1 words with each other on piece
-and adjacent position, which in sorted order is one pass; they are grouped and counted, and Spark adds
-up the counts. Before the next length, occurrences whose phrase is not frequent are left out.
+and adjacent position, which in sorted order is one pass; they are grouped and counted, and the counts
+are added up. Before the next length, occurrences whose phrase is not frequent are left out.
 
-That semi-join goes through a bitmap of the frequent phrases' hashes, whose size is fixed, since the
-frequent phrases themselves may be any number. What it lets through by chance only makes longer
-phrases that are counted too and then found not to be frequent, so counts are exact at any load; a full
-bitmap would merely leave out nothing.
+Most phrases are rare, so groups are first counted by a hash of the phrase. The semi-join goes through
+a bitmap of the frequent hashes, whose size is fixed, since the frequent phrases themselves may be any
+number. A last pass counts the phrases that the bitmaps of all lengths let through by their words. What
+a bitmap lets through by chance is found there not to be frequent, so counts are exact at any load; a
+full bitmap would merely leave out nothing.
+
+Groups and counts are shuffled packed: a task deals its groups into buckets by their hash, a row holds
+the groups of one bucket, compressed, and what meets in a bucket is bounded by the number of buckets.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselon.lineage import cut as written
 from tesselon.lineage import remove
-from tesselon.llm.common import chunks
+from tesselon.llm.common import chunks, shared_dir
 
 LENGTHS, LEAST, TOP = 3, 10, 2000
 #: Percent of a candidate's occurrences that a longer one must reach to take its place.
 DOMINATED = 50
-#: Bits of the bitmap of frequent phrases, as a power of two (16 MB), and of one row of it (a fixed value of Spark's bitmap functions).
-BITS, ROW = 27, 15
-#: Occurrences of a row of the relation, and of phrases that a task holds before it counts them.
-RELATION, HELD = 1 << 18, 1 << 22
+#: Bits of the bitmap of frequent phrases, as a power of two (8 MB), and of one row of it (a fixed value of Spark's bitmap functions).
+BITS, ROW = 26, 15
+#: Occurrences of a row of the relation, and of phrases that a task holds before it counts them by hash, or by words.
+RELATION, HELD, HELD_WORDS = 1 << 19, 1 << 20, 1 << 21
+#: Buckets at least, and occurrences of a bucket on average, which bound its groups, once there are more.
+BUCKETS, BUCKET = 512, 1 << 22
 #: Words that a task numbers; beyond, it starts anew.
-WORDS = 1 << 20
+WORDS = 1 << 17
 # Characters that end pieces, and those between words (fixed values of the contract).
 _ENDS, _BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
 _TABLE = bytes(ord("\n") if chr(b) in _ENDS else ord(" ") if chr(b) in _BLANKS else b for b in range(256))
@@ -45,7 +54,10 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def relation(docs: DataFrame) -> DataFrame:
-    """(lang, n, words, word, ends): the occurrences in order as numbers of ``words``, and the end of each piece among them."""
+    """(lang, n, words, hashes, word, ends): the occurrences in order as numbers of ``words``, and the end of each piece among them.
+
+    ``hashes`` are those of the words, the language's being part of them.
+    """
 
     def row(lang: str, raw: list[bytes]) -> pa.RecordBatch:
         # Every text is closed by a line feed, as is every piece.
@@ -56,8 +68,8 @@ def relation(docs: DataFrame) -> DataFrame:
         ends = np.unique(at - np.arange(len(at)))
         ends, code = ends[ends > 0], code[code != stop]
         code, names = code - (code > stop), names[:stop] + names[stop + 1 :]
-        columns = [pa.array([lang]), pa.array([len(code)], pa.int64()), pa.array([names], pa.list_(pa.string())), pa.array([code], pa.list_(pa.int32())), pa.array([ends], pa.list_(pa.int32()))]
-        return pa.record_batch(columns, ["lang", "n", "words", "word", "ends"])
+        columns = [pa.array([lang]), pa.array([len(code)], pa.int64()), pa.array([names], pa.list_(pa.string())), pa.array([_hashes(names, lang).view(np.int32)], pa.list_(pa.int32())), pa.array([code], pa.list_(pa.int32())), pa.array([ends], pa.list_(pa.int32()))]
+        return pa.record_batch(columns, ["lang", "n", "words", "hashes", "word", "ends"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -74,123 +86,226 @@ def relation(docs: DataFrame) -> DataFrame:
         yield from (row(*x) for x in held.items())
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text IS NOT NULL")
-    return texts.mapInArrow(run, "lang string, n long, words array<string>, word array<int>, ends array<int>")
+    return texts.mapInArrow(run, "lang string, n long, words array<string>, hashes array<int>, word array<int>, ends array<int>")
 
 
-def _hashes(words: list[str], lang: str) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode(), seed) for w in words), np.uint64, len(words))
+def _hashes(words: list[bytes], lang: str) -> np.ndarray:
+    seed = xxhash.xxh32_intdigest(lang.encode())
+    return np.fromiter((xxhash.xxh32_intdigest(w, seed) for w in words), np.uint32, len(words))
 
 
-def _bit(hashes: list[np.ndarray]) -> np.ndarray:
-    """The place in the bitmap of phrases, whose words' hashes are given by place in the phrase."""
+def _combined(hashes: list[np.ndarray]) -> np.ndarray:
+    """The hashes of phrases, whose words' hashes are given by place in the phrase."""
     with np.errstate(over="ignore"):
-        out = hashes[0]
+        out = hashes[0].astype(np.uint64)
         for h in hashes[1:]:
             out = (out ^ (out >> np.uint64(31))) * _FACTOR + h
-        out = (out ^ (out >> np.uint64(29))) * _FACTOR
-    return (out >> np.uint64(64 - BITS)).astype(np.int64)
+        return (out ^ (out >> np.uint64(29))) * _FACTOR
+
+
+def _among(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = (hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def _places(hashes: np.ndarray, word: np.ndarray, ends: np.ndarray, bitmaps: list[Broadcast], k: int) -> list[np.ndarray]:
+    """Where phrases of 1 to ``k`` words begin, sorted, each length semi-joined with its bitmap if there is one.
+
+    The phrases of j words are those of j - 1 words joined with those that begin one position on in the
+    same piece.
+    """
+    live = _among(bitmaps[0].value, _combined([hashes]))[word] if bitmaps else np.ones(len(word), bool)
+    follows = np.ones(len(word), bool)
+    follows[ends - 1] = False
+    out = [np.flatnonzero(live)]
+    for j in range(2, k + 1):
+        live = live & follows & np.append(live[1:], False)
+        at = np.flatnonzero(live)
+        if j <= len(bitmaps):
+            good = _among(bitmaps[j - 1].value, _combined([hashes[word[at + i]] for i in range(j)]))
+            live[at] = good
+            at = at[good]
+        out.append(at)
+    return out
+
+
+def _numbers(column, i: int) -> np.ndarray:
+    return column[i].values.to_numpy()
+
+
+def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the groups by bucket and lower half of the hash, the buckets that have any, and where each begins and the last ends."""
+    bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF))
+    own, starts = np.unique(bucket[order], return_index=True)
+    return order, own, np.append(starts, len(order))
+
+
+def _steps(ascending: np.ndarray) -> bytes:
+    """Ascending numbers of 32 bits as what each adds to the one before, their first bytes first, and so on, compressed."""
+    return zstandard.compress(np.diff(ascending, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def bitmap(frequent: DataFrame) -> np.ndarray:
-    """The bits of the phrases of ``frequent`` (lang, phrase), as bytes; at most 2^``BITS`` of them come to the driver."""
+def _ascending(steps: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(steps), np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(raw).view(np.uint32).ravel(), dtype=np.uint32)
+
+
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of the values between cuts."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _met(rows: DataFrame, keys: list[str], merge, schema: str) -> DataFrame:
+    """``merge`` of all packed rows with the same ``keys``, the first of which is the bucket; it gets the keys' values and the columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for batch in batches:
-            langs, phrases = np.array(batch.column("lang").to_pylist(), object), batch.column("phrase").to_pylist()
-            for lang in set(langs):
-                split = [p.split(" ") for p, own in zip(phrases, langs == lang, strict=True) if own]
-                yield pa.record_batch([pa.array(_bit([_hashes(list(w), lang) for w in zip(*split, strict=True)]))], ["bit"])
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if own != at and held:
+                    yield merge(at, held)
+                    held = []
+                at = own
+                held.append(row)
+        if held:
+            yield merge(at, held)
+
+    return rows.repartition("bucket").sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def bitmap(occurrences: DataFrame, k: int, least: int, shorter: list[Broadcast], buckets: int) -> Broadcast:
+    """The bits of the hashes of phrases of ``k`` words that occur ``least`` times, as bytes sent to all workers.
+
+    ``shorter`` are the bitmaps of the phrases of fewer words. At most 2^``BITS`` bits come to the driver.
+    Within a bucket phrases are told apart by the lower 32 bits of their hashes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+
+        def counted() -> pa.RecordBatch:
+            hashes, n = np.unique(np.concatenate(found), return_counts=True)
+            order, own, cuts = _dealt(hashes, buckets)
+            lower = hashes[order].astype(np.uint32)
+            steps = [_steps(lower[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+            return pa.record_batch([pa.array(own.astype(np.int32)), pa.array(steps, pa.binary()), _packed(n[order].astype(np.uint32), cuts)], ["bucket", "hashes", "n"])
 
-    bits = frequent.select("lang", "phrase").mapInArrow(run, "bit long")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes, word, ends = (_numbers(batch.column(c), i) for c in ("hashes", "word", "ends"))
+                hashes = hashes.view(np.uint32)
+                at = _places(hashes, word, ends, shorter, k)[-1]
+                found.append(_combined([hashes[word[at + j]] for j in range(k)]))
+                held += len(at)
+                if held > HELD:
+                    yield counted()
+                    found, held = [], 0
+        if held:
+            yield counted()
+
+    def merge(_, rows: list[dict]) -> pa.RecordBatch:
+        hashes, n = np.concatenate([_ascending(r["hashes"]) for r in rows]), np.frombuffer(b"".join(r["n"] for r in rows), np.uint32)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        often = np.add.reduceat(n[order].astype(np.int64), starts) >= least
+        return pa.record_batch([pa.array((hashes[starts[often]] & np.uint32((1 << BITS) - 1)).astype(np.int64))], ["bit"])
+
+    counts = occurrences.select("hashes", "word", "ends").mapInArrow(run, "bucket int, hashes binary, n binary")
+    bits = _met(counts, ["bucket"], merge, "bit long")
     rows = bits.groupBy(F.shiftright("bit", ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit((1 << ROW) - 1))).alias("bits"))
     out = np.zeros(1 << (BITS - 3), np.uint8)
     width = 1 << (ROW - 3)
     for r in rows.collect():
         out[r["row"] * width : (r["row"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return occurrences.sparkSession.sparkContext.broadcast(out)
 
 
 class _Counter:
-    """Counts of the phrases of ``k`` words in rows of the relation of one language."""
+    """Counts of phrases by their words, numbered within a task, of one language."""
 
-    def __init__(self, lang: str, k: int, frequent: list[np.ndarray]):
-        self.lang, self.k, self.frequent = lang, k, frequent
+    def __init__(self, lang: str, lengths: int, buckets: int):
+        self.lang, self.lengths, self.buckets = lang, lengths, buckets
         self._anew()
 
     def _anew(self) -> None:
         self.number: dict[str, int] = {}
-        self.names: list[str] = []
-        self.hashes, self.alive = np.zeros(0, np.uint64), np.zeros(0, bool)
-        self.found: list[np.ndarray] = []
+        self.hashes: list[np.ndarray] = []
+        self.found: list[list[np.ndarray]] = [[] for _ in range(self.lengths)]
         self.held = 0
 
-    def _among(self, hashes: list[np.ndarray]) -> np.ndarray:
-        bit, bits = _bit(hashes), self.frequent[len(hashes) - 1]
-        return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-
-    def add(self, words: list[str], word: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(self.names) > WORDS:
-            yield from self.count()
-        new = [w for w in words if w not in self.number]
-        self.number.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
-        self.names += new
-        if self.k > 1 and new:
-            fresh = _hashes(new, self.lang)
-            self.hashes, self.alive = np.append(self.hashes, fresh), np.append(self.alive, self._among([fresh]))
-        code = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[word]
-        at = np.arange(len(code))
-        if self.k > 1:
-            # The next position of the same piece, if there is one.
-            follows = np.ones(len(code), bool)
-            follows[ends - 1] = False
-            live = self.alive[code]
-            for j in range(2, self.k + 1):
-                # Occurrences of j - 1 words joined with those that begin one position on.
-                live = live & follows & np.append(live[1:], False)
-                at = np.flatnonzero(live)
-                if j < self.k:
-                    live[at] = self._among([self.hashes[code[at + i]] for i in range(j)])
-        self.found.append(np.stack([code[at + i] for i in range(self.k)]))
-        self.held += len(at)
-        if self.held > HELD:
-            yield from self.count()
+    def add(self, words: pa.Array, hashes: np.ndarray, word: np.ndarray, places: list[np.ndarray]) -> None:
+        """``words`` of a row of the relation and their hashes, and where phrases of each length begin in it."""
+        used = np.zeros(len(words), bool)
+        used[word[places[0]]] = True
+        number, before = np.zeros(len(words), np.int64), len(self.number)
+        number[used] = [self.number.setdefault(w, len(self.number)) for w in words.filter(pa.array(used)).to_pylist()]
+        fresh = used & (number >= before)
+        self.hashes.append(hashes[fresh][np.argsort(number[fresh])])
+        code = number[word]
+        for k, at in enumerate(places):
+            self.found[k].append(np.stack([code[at + i] for i in range(k + 1)]).astype(np.int32))
+            self.held += len(at)
 
     def count(self) -> Iterator[pa.RecordBatch]:
-        if self.held:
-            codes = np.concatenate(self.found, axis=1)
-            key, span = codes[0], len(self.names)
+        names, span = list(self.number), len(self.number)
+        hashes = np.concatenate(self.hashes) if self.hashes else None
+        for found in self.found:
+            codes = np.concatenate(found, axis=1) if found else np.zeros((1, 0), np.int32)
+            if not codes.shape[1]:
+                continue
+            key = codes[0].astype(np.int64)
             for c in codes[1:]:
                 if int(key.max()) + 1 >= (1 << 62) // span:
                     key = np.unique(key, return_inverse=True)[1]
                 key = key * span + c
             _, first, n = np.unique(key, return_index=True, return_counts=True)
-            name = self.names.__getitem__
-            for a in range(0, len(first), 1 << 17):
-                parts = [map(name, c[first[a : a + (1 << 17)]].tolist()) for c in codes]
-                phrases = list(map(" ".join, zip(*parts, strict=True))) if self.k > 1 else list(parts[0])
-                yield pa.record_batch([pa.array([self.lang] * len(phrases)), pa.array(phrases, pa.string()), pa.array(n[a : a + (1 << 17)].astype(np.int64))], ["lang", "phrase", "f"])
+            codes = codes[:, first]
+            order, own, cuts = _dealt(_combined([hashes[c] for c in codes]), self.buckets)
+            n, codes = n[order].astype(np.uint32), codes[:, order]
+            step = max(1, len(own) * (1 << 16) // len(order))
+            for a in range(0, len(own), step):
+                cut = cuts[a : a + step + 1]
+                low, high = cut[0], cut[-1]
+                phrases = list(map(" ".join, zip(*(map(names.__getitem__, c[low:high].tolist()) for c in codes), strict=True)))
+                packed = [zstandard.compress("\n".join(phrases[x - low : y - low]).encode()) for x, y in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
+                yield pa.record_batch([pa.array(own[a : a + step].astype(np.int32)), pa.array([self.lang] * len(packed)), pa.array(packed, pa.binary()), _packed(n[low:high], cut - low)], ["bucket", "lang", "phrases", "n"])
         self._anew()
 
 
-def frequent(occurrences: DataFrame, k: int, least: int, shorter: list[np.ndarray]) -> DataFrame:
-    """(lang, phrase, f) of the phrases of ``k`` words that occur ``least`` times; ``shorter`` are the bitmaps of those of fewer words."""
+def frequent(occurrences: DataFrame, least: int, bitmaps: list[Broadcast], buckets: int) -> DataFrame:
+    """(lang, k, phrase, f) of the phrases of up to as many words as there are bitmaps that occur ``least`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[str, _Counter] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, words, word, ends = (batch.column(c)[i] for c in ("lang", "words", "word", "ends"))
-                own = counters.setdefault(lang.as_py(), _Counter(lang.as_py(), k, shorter))
-                yield from own.add(words.as_py(), word.values.to_numpy(), ends.values.to_numpy().astype(np.int64))
-                if sum(c.held for c in counters.values()) > HELD:
+                lang, words = batch.column("lang")[i].as_py(), batch.column("words")[i].values
+                hashes, word, ends = (_numbers(batch.column(c), i) for c in ("hashes", "word", "ends"))
+                hashes = hashes.view(np.uint32)
+                own = counters.setdefault(lang, _Counter(lang, len(bitmaps), buckets))
+                own.add(words, hashes, word, _places(hashes, word, ends, bitmaps, len(bitmaps)))
+                if len(own.number) > WORDS or sum(c.held for c in counters.values()) > HELD_WORDS:
                     for c in counters.values():
                         yield from c.count()
         for c in counters.values():
             yield from c.count()
 
-    counts = occurrences.select("lang", "words", "word", "ends").mapInArrow(run, "lang string, phrase string, f long")
-    return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    def merge(at: tuple, rows: list[dict]) -> pa.RecordBatch:
+        phrases = pc.split_pattern(pa.array([b"\n".join(zstandard.decompress(r["phrases"]) for r in rows)], pa.large_string()), "\n").flatten()
+        n = pa.array(np.frombuffer(b"".join(r["n"] for r in rows), np.uint32).astype(np.int64))
+        sums = pa.table({"phrase": phrases, "f": n}).group_by("phrase").aggregate([("f", "sum")])
+        sums = sums.filter(pc.greater_equal(sums["f_sum"], least)).combine_chunks()
+        phrase, f = sums["phrase"].cast(pa.string()), sums["f_sum"]
+        k = pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32())
+        return pa.Table.from_arrays([pa.array([at[1]] * len(f), pa.string()), k, phrase, f], ["lang", "k", "phrase", "f"]).combine_chunks().to_batches()[0] if len(f) else empty
+
+    shape = "lang string, k int, phrase string, f long"
+    empty = pa.record_batch([pa.nulls(0, t) for t in (pa.string(), pa.int32(), pa.string(), pa.int64())], ["lang", "k", "phrase", "f"])
+    counts = occurrences.select("lang", "words", "hashes", "word", "ends").mapInArrow(run, "bucket int, lang string, phrases binary, n binary")
+    return _met(counts, ["bucket", "lang"], merge, shape)
 
 
 def _parts(words: str, start, size):
@@ -207,22 +322,23 @@ def mine(docs: DataFrame, lengths: int = LENGTHS, least: int = LEAST, top: int =
     gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    occurrences = written(relation(docs))
-    tables: list[DataFrame] = []
-    bitmaps: list[np.ndarray] = []
+    folder = f"{shared_dir(spark)}/occurrences-{uuid.uuid4().hex}"
+    relation(docs).write.option("compression", "zstd").parquet(folder)
+    occurrences = spark.read.parquet(folder)
+    buckets = max(BUCKETS, (occurrences.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+    bitmaps: list[Broadcast] = []
     for k in range(1, lengths + 1):
-        if k > 1:
-            bitmaps.append(bitmap(tables[-1]))
-        tables.append(written(frequent(occurrences, k, least, bitmaps)))
+        bitmaps.append(bitmap(occurrences, k, least, bitmaps, buckets))
+    counted = written(frequent(occurrences, least, bitmaps, buckets))
     n = written(occurrences.groupBy("lang").agg(F.sum("n").alias("n")))
-    remove(spark, occurrences._cut)
-    counted = reduce(DataFrame.unionAll, tables)
-    candidates = reduce(DataFrame.unionAll, tables[1:]).withColumn("words", F.split("phrase", " ", -1))
+    remove(spark, folder)
+    candidates = counted.filter("k > 1").drop("k")
+    split = F.split("phrase", " ", -1).alias("words")
     # Longer candidates are met at their parts.
     inner = "transform(filter(flatten(transform(sequence(2, size(words) - 1), s -> transform(sequence(1, size(words) - s + 1), i -> struct(i, s)))), x -> x.s >= 2), x -> array_join(slice(words, x.i, x.s), ' '))"
-    longer = candidates.filter("size(words) > 2").select("lang", "f", F.explode(F.array_distinct(F.expr(inner))).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
+    longer = counted.filter("k > 2").select("lang", "f", split).select("lang", "f", F.explode(F.array_distinct(F.expr(inner))).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     kept = candidates.join(longer, ["lang", "phrase"], "left").filter(F.coalesce(100 * F.col("longer") < dominated * F.col("f"), F.lit(True)))
-    cuts = kept.select("lang", "phrase", F.col("f").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
+    cuts = kept.select("lang", "phrase", F.col("f").alias("a"), split).select("*", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", _parts("words", F.lit(1), F.col("k")).alias("left"), _parts("words", F.col("k") + 1, F.size("words") - F.col("k")).alias("right"))
     of = lambda c, name: counted.select("lang", F.col("phrase").alias(c), F.col("f").alias(name))
     met = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"])
