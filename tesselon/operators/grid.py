@@ -102,6 +102,22 @@ def slice_masks(tiles: DataFrame, masks: DataFrame, shape: tuple[int, int], key:
     return hit.withColumn("rows", bottom - top).withColumn("columns", right - left).drop("_ci", "_cj")
 
 
+def tiles_with_masks(slides: DataFrame, masks: DataFrame, shape: tuple[int, int], stride: tuple[int, int] | None = None, pad: bool = False, key: str = "slide_id") -> DataFrame:
+    """(slides' columns, tile_i, tile_j, masks): the tiles of all slides with what they overlap of each mask, and their slide's labels.
+
+    ``masks`` are rectangles (key, name, top, left, bottom, right). A tile's ``masks`` are structs (name,
+    top, left, rows, columns), in the tile's own frame and in the order of names and places; a tile
+    without any has an empty array. Labels and other columns of ``slides`` are inherited.
+    """
+    tiles = tile_grid(slides, shape, stride, pad)
+    at = tiles.select(key, "tile_i", "tile_j")
+    hit = slice_masks(at, masks, shape, key)
+    own = F.struct("name", F.greatest(F.col("top") - F.col("tile_i"), F.lit(0)).alias("top"), F.greatest(F.col("left") - F.col("tile_j"), F.lit(0)).alias("left"), "rows", "columns")
+    held = hit.groupBy(key, "tile_i", "tile_j").agg(F.array_sort(F.collect_list(own)).alias("masks"))
+    joined = tiles.join(held, [key, "tile_i", "tile_j"], "left")
+    return joined.withColumn("masks", F.coalesce("masks", F.array().cast(held.schema["masks"].dataType)))
+
+
 def uniform_tiles(tiles: DataFrame, key: str = "slide_id") -> DataFrame:
     """Slides whose tiles differ in height, width or slide type; none if the store is sound."""
     return tiles.groupBy(key).agg(F.countDistinct("height", "width").alias("shapes"), F.countDistinct("slide_type").alias("types")).filter("shapes > 1 OR types > 1")

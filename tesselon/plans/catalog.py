@@ -118,6 +118,22 @@ def mask_slice_range_join(spark, sf):
     return grid.slice_masks(tiles, masks, (128, 128)).select("slide_id", "tile_i", "tile_j", "mask", "rows", "columns")
 
 
+@query(f"""WITH {T.SLIDES}, t AS (SELECT slide_id, i * 128 AS ti, j * 128 AS tj FROM slides, range(8) a(i), range(6) b(j) WHERE i < (height - 128) // 128 + 1 AND j < (width - 128) // 128 + 1),
+m AS (SELECT l_orderkey AS slide_id, l_linenumber AS name, (l_partkey % 400)::INT AS top, (l_suppkey % 300)::INT AS lft, (l_partkey % 400 + 1 + l_quantity)::INT AS bottom, (l_suppkey % 300 + 150)::INT AS rgt FROM lineitem),
+hit AS (SELECT slide_id, ti, tj, name, greatest(top - ti, 0) AS y, greatest(lft - tj, 0) AS x, least(ti + 128, bottom) - greatest(ti, top) AS h, least(tj + 128, rgt) - greatest(tj, lft) AS w
+  FROM t JOIN m USING (slide_id) WHERE least(ti + 128, bottom) > greatest(ti, top) AND least(tj + 128, rgt) > greatest(tj, lft))
+SELECT t.slide_id, ti::INT AS tile_i, tj::INT AS tile_j, any_value(o_orderstatus) AS label, coalesce(string_agg(name || '@' || y || ',' || x || ':' || h || 'x' || w, ' ' ORDER BY name, y, x, h, w), '') AS masks
+FROM t JOIN orders ON o_orderkey = t.slide_id LEFT JOIN hit USING (slide_id, ti, tj) GROUP BY ALL""")
+def tiles_with_masks_and_labels(spark, sf):
+    """Tiles, what they hold of their slide's masks, and the slide's label, from one operator."""
+    label = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("slide_id"), F.col("o_orderstatus").alias("label"))
+    top, left = (F.col("l_partkey") % 400).cast("int"), (F.col("l_suppkey") % 300).cast("int")
+    masks = T.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("slide_id"), F.col("l_linenumber").alias("name"), top.alias("top"), left.alias("left"), (top + 1 + F.col("l_quantity")).cast("int").alias("bottom"), (left + 150).alias("right"))
+    found = grid.tiles_with_masks(T.slides(spark, sf).join(label, "slide_id"), masks, (128, 128))
+    written = F.transform("masks", lambda m: F.concat(m["name"], F.lit("@"), m["top"], F.lit(","), m["left"], F.lit(":"), m["rows"], F.lit("x"), m["columns"]))
+    return found.select("slide_id", "tile_i", "tile_j", "label", F.array_join(written, " ").alias("masks"))
+
+
 @query("""SELECT l_orderkey AS slide_id, count(DISTINCT l_linestatus)::BIGINT AS types FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linestatus) > 1""")
 def slides_with_mixed_types(spark, sf):
     tiles = T.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("slide_id"), F.lit(256).alias("height"), F.lit(256).alias("width"), F.col("l_linestatus").alias("slide_type"))
@@ -606,13 +622,20 @@ def stitch_tiles(spark, sf):
     return labels.stitch(tiles, 13, 30)
 
 
+@query("""SELECT page_id, split, CASE WHEN page_id % 3 + 1 = split THEN 'train' WHEN split = 2 AND page_id % 3 = 0 OR split <> 2 AND page_id % 3 = 1 THEN 'valid' ELSE 'test' END AS role FROM pages, (SELECT unnest([1, 2, 3]) AS split)""")
+def pannuke_splits(spark, sf):
+    """The role of every image in each of the three splits."""
+    from tesselon.sources import datasets
+
+    files = T.read(spark, sf, "pages").select("page_id", (F.col("page_id") % 3 + 1).alias("fold"))
+    parts = [datasets.pannuke_split(files, s).select("page_id", F.lit(s).alias("split"), "role") for s in datasets.PANNUKE_SPLITS]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 @query(f"""WITH {T.INST}, c AS (SELECT graph_id, label, floor(avg(i))::INT - 1 AS y, floor(avg(j))::INT - 1 AS x FROM inst WHERE label <> 0 GROUP BY ALL)
 SELECT c.graph_id, c.label, y, x, count(*)::BIGINT AS overlap FROM c JOIN inst p ON p.graph_id = c.graph_id AND p.label = c.label AND p.i BETWEEN y AND y + 2 AND p.j BETWEEN x AND x + 2 GROUP BY ALL HAVING count(*) >= 3""")
 def patch_lattice(spark, sf):
-    inst = T.instances(spark, sf)
-    centre = inst.filter("label <> 0").groupBy("graph_id", "label").agg((F.floor(F.avg("i")).cast("int") - 1).alias("y"), (F.floor(F.avg("j")).cast("int") - 1).alias("x"))
-    cells = centre.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("graph_id", "label", "y", "x", (F.col("y") + F.col("a")).alias("i"), (F.col("x") + F.col("b")).alias("j"))
-    return cells.join(inst.select("graph_id", "label", "i", "j"), ["graph_id", "label", "i", "j"]).groupBy("graph_id", "label", "y", "x").agg(F.count(F.lit(1)).alias("overlap")).filter("overlap >= 3")
+    return graph.cell_patches(T.instances(spark, sf), ("graph_id",), 3, 3)
 
 
 @query("""SELECT page_id % 3 + 1 AS fold, 'fold' || (page_id % 3 + 1) || '_' || page_id || '_' || (ARRAY['Breast', 'Colon', 'Bile-duct'])[1 + page_id % 3] || '.png' AS name, (ARRAY['Breast', 'Colon', 'Bile-duct'])[1 + page_id % 3] AS tissue FROM pages""")

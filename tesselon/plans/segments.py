@@ -156,8 +156,8 @@ def tissue_patches(spark, sf):
     return graph.tissue_patches(T.instances(spark, sf), ("graph_id",), 3, 2)
 
 
-@query(f"""WITH {T.INST}, at AS (SELECT graph_id, label, floor(avg(i))::INT - 1 AS y, floor(avg(j))::INT - 1 AS x FROM inst WHERE label <> 0 GROUP BY ALL)
-SELECT at.graph_id, at.label, y, x, count(*)::BIGINT AS overlap FROM at JOIN inst p ON p.graph_id = at.graph_id AND p.label = at.label AND p.i BETWEEN y AND y + 2 AND p.j BETWEEN x AND x + 2 GROUP BY ALL HAVING count(*) >= 2""")
+@query(f"""WITH {T.INST}, mid AS (SELECT graph_id, label, floor(avg(i))::INT - 1 AS y, floor(avg(j))::INT - 1 AS x FROM inst WHERE label <> 0 GROUP BY ALL)
+SELECT mid.graph_id, mid.label, y, x, count(*)::BIGINT AS overlap FROM mid JOIN inst p ON p.graph_id = mid.graph_id AND p.label = mid.label AND p.i BETWEEN y AND y + 2 AND p.j BETWEEN x AND x + 2 GROUP BY ALL HAVING count(*) >= 2""")
 def cell_patches(spark, sf):
     return graph.cell_patches(T.instances(spark, sf), ("graph_id",), 3, 2)
 

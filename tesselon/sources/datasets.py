@@ -80,6 +80,23 @@ def pannuke_files(folds: DataFrame) -> DataFrame:
     return one.select("fold", "k", "tissue", F.concat(F.lit("images/"), name, F.lit(".png")).alias("image_file"), F.concat(F.lit("masks/"), name, F.lit(".npy")).alias("mask_file"))
 
 
+# For each split the folds for training, validation and testing (fixed values of the data set's protocol).
+PANNUKE_SPLITS = {1: (1, 2, 3), 2: (2, 1, 3), 3: (3, 2, 1)}
+ROLES = ("train", "valid", "test")
+
+
+def pannuke_split(files: DataFrame, split: int | None) -> DataFrame:
+    """The files (fold, ...) with their ``role`` in a split; without one all are for training."""
+    if split is None:
+        return files.withColumn("role", F.lit(ROLES[0]))
+    if split not in PANNUKE_SPLITS:
+        raise ValueError(f"split {split}: there are {', '.join(map(str, PANNUKE_SPLITS))}")
+    role = F.lit(None).cast("string")
+    for fold, name in zip(PANNUKE_SPLITS[split], ROLES, strict=True):
+        role = F.when(F.col("fold") == fold, name).otherwise(role)
+    return files.withColumn("role", role)
+
+
 def pannuke_masks(masks: DataFrame, channels: int) -> DataFrame:
     """Flat masks with axes H, W, C as C, H, W."""
     n = F.size("mask") / channels
