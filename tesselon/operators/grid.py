@@ -85,7 +85,9 @@ def slice_masks(tiles: DataFrame, masks: DataFrame, shape: tuple[int, int], key:
     """Tiles with the mask rectangles (top, left, bottom, right) that they overlap, cut to the tile.
 
     A range join as an equi-join: tiles and rectangles meet in the cells of a lattice as wide as a
-    tile. A pair that shares several cells is kept only in the first of them.
+    tile. A pair that shares several cells is kept only in the first of them. Tiles of any place may be
+    given; for those of a grid ``grid_masks`` needs none. Neither side is broadcast: both are made by
+    sequences, which the estimate of their size does not see.
     """
     h, w = shape
 
@@ -95,27 +97,77 @@ def slice_masks(tiles: DataFrame, masks: DataFrame, shape: tuple[int, int], key:
 
     t = cells(tiles, F.col("tile_i"), F.col("tile_j"), F.col("tile_i") + h, F.col("tile_j") + w)
     m = cells(masks.filter("bottom > top AND right > left"), F.col("top"), F.col("left"), F.col("bottom"), F.col("right"))
-    both = t.join(m, [key, "_ci", "_cj"])
+    both = t.hint("merge").join(m, [key, "_ci", "_cj"])
     top, left = F.greatest("tile_i", "top"), F.greatest("tile_j", "left")
     bottom, right = F.least(F.col("tile_i") + h, F.col("bottom")), F.least(F.col("tile_j") + w, F.col("right"))
     hit = both.filter((bottom > top) & (right > left) & (F.col("_ci") == F.floor(top / h)) & (F.col("_cj") == F.floor(left / w)))
     return hit.withColumn("rows", bottom - top).withColumn("columns", right - left).drop("_ci", "_cj")
 
 
+def _met(slides: DataFrame, masks: DataFrame, shape: tuple[int, int], stride: tuple[int, int] | None, pad: bool, key: str) -> DataFrame:
+    """(slides' columns, _m, tile_i, tile_j): the tiles of a grid that each rectangle ``_m`` meets; a null ``_m`` meets all.
+
+    Slides and rectangles are dealt by slide, and the places follow from the numbers of both, so no tile
+    is shuffled or broadcast.
+    """
+    stride = stride or shape
+
+    def corners(size: str, k: int, low: str, high: str) -> Column:
+        n = steps(F.col(size), shape[k], stride[k], pad)
+        first = F.greatest(F.lit(0), F.floor((F.col(f"_m.{low}") - shape[k]) / stride[k]) + 1)
+        last = F.least(n - 1, F.floor((F.col(f"_m.{high}") - 1) / stride[k]))
+        first, last = F.coalesce(first, F.lit(0)).cast("int"), F.when(F.col("_m").isNull(), n - 1).otherwise(last).cast("int")
+        indices = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.explode(F.transform(indices, lambda x: x * stride[k]))
+
+    both = slides.hint("merge").join(masks, key)
+    return both.withColumn("tile_i", corners("height", 0, "top", "bottom")).withColumn("tile_j", corners("width", 1, "left", "right"))
+
+
+def _cut(shape: tuple[int, int]) -> tuple[Column, Column]:
+    """Rows and columns of a rectangle ``_m`` within its tile."""
+    h, w = shape
+    rows = F.least(F.col("tile_i") + h, F.col("_m.bottom")) - F.greatest("tile_i", "_m.top")
+    return rows, F.least(F.col("tile_j") + w, F.col("_m.right")) - F.greatest("tile_j", "_m.left")
+
+
+def grid_masks(slides: DataFrame, masks: DataFrame, shape: tuple[int, int], stride: tuple[int, int] | None = None, pad: bool = False, key: str = "slide_id") -> DataFrame:
+    """(key, tile_i, tile_j, masks' columns, rows, columns): ``slice_masks`` for the tiles of ``tile_grid``."""
+    own = masks.filter("bottom > top AND right > left")
+    rest = [c for c in masks.columns if c != key]
+    found = _met(slides.select(key, "height", "width"), own.select(key, F.struct(*rest).alias("_m")), shape, stride, pad, key)
+    rows, columns = _cut(shape)
+    return found.select(key, "tile_i", "tile_j", "_m.*", rows.alias("rows"), columns.alias("columns"))
+
+
 def tiles_with_masks(slides: DataFrame, masks: DataFrame, shape: tuple[int, int], stride: tuple[int, int] | None = None, pad: bool = False, key: str = "slide_id") -> DataFrame:
     """(slides' columns, tile_i, tile_j, masks): the tiles of all slides with what they overlap of each mask, and their slide's labels.
 
     ``masks`` are rectangles (key, name, top, left, bottom, right). A tile's ``masks`` are structs (name,
     top, left, rows, columns), in the tile's own frame and in the order of names and places; a tile
-    without any has an empty array. Labels and other columns of ``slides`` are inherited.
+    without any has an empty array. Labels and other columns of ``slides`` are inherited; a slide given
+    twice with the same columns counts once.
+
+    Each slide comes among its rectangles as a null one, which meets all tiles. What tiles hold is then
+    collected where the slide already is, without another shuffle.
     """
-    tiles = tile_grid(slides, shape, stride, pad)
-    at = tiles.select(key, "tile_i", "tile_j")
-    hit = slice_masks(at, masks, shape, key)
-    own = F.struct("name", F.greatest(F.col("top") - F.col("tile_i"), F.lit(0)).alias("top"), F.greatest(F.col("left") - F.col("tile_j"), F.lit(0)).alias("left"), "rows", "columns")
-    held = hit.groupBy(key, "tile_i", "tile_j").agg(F.array_sort(F.collect_list(own)).alias("masks"))
-    joined = tiles.join(held, [key, "tile_i", "tile_j"], "left")
-    return joined.withColumn("masks", F.coalesce("masks", F.array().cast(held.schema["masks"].dataType)))
+    columns, slides = slides.columns, slides.distinct()
+    rectangle = F.struct("name", "top", "left", "bottom", "right")
+    own = masks.filter("bottom > top AND right > left").select(key, rectangle.alias("_m"))
+    kind = own.schema["_m"].dataType
+    found = _met(slides, own.unionAll(slides.select(key).distinct().withColumn("_m", F.lit(None).cast(kind))), shape, stride, pad, key)
+    rows, columns_held = _cut(shape)
+    held = F.struct(
+        F.col("_m.name").alias("name"),
+        F.greatest(F.col("_m.top") - F.col("tile_i"), F.lit(0)).alias("top"),
+        F.greatest(F.col("_m.left") - F.col("tile_j"), F.lit(0)).alias("left"),
+        rows.alias("rows"),
+        columns_held.alias("columns"),
+    )
+    collected = F.array_sort(F.collect_list(F.when(F.col("_m").isNotNull(), held))).alias("masks")
+    out = found.groupBy(*columns, "tile_i", "tile_j").agg(collected)
+    nameless = tile_grid(slides.filter(F.col(key).isNull()), shape, stride, pad)
+    return out.unionAll(nameless.withColumn("masks", F.array().cast(out.schema["masks"].dataType)))
 
 
 def uniform_tiles(tiles: DataFrame, key: str = "slide_id") -> DataFrame:
