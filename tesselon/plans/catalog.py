@@ -112,10 +112,9 @@ m AS (SELECT l_orderkey AS slide_id, l_linenumber AS mask, (l_partkey % 400)::IN
 SELECT slide_id, ti::INT AS tile_i, tj::INT AS tile_j, mask, (least(ti + 128, bottom) - greatest(ti, top))::INT AS "rows", (least(tj + 128, rgt) - greatest(tj, lft))::INT AS "columns"
 FROM t JOIN m USING (slide_id) WHERE least(ti + 128, bottom) > greatest(ti, top) AND least(tj + 128, rgt) > greatest(tj, lft)""")
 def mask_slice_range_join(spark, sf):
-    tiles = grid.tile_grid(T.slides(spark, sf), (128, 128)).select("slide_id", "tile_i", "tile_j")
     top, left = (F.col("l_partkey") % 400).cast("int"), (F.col("l_suppkey") % 300).cast("int")
     masks = T.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("slide_id"), F.col("l_linenumber").alias("mask"), top.alias("top"), left.alias("left"), (top + 1 + F.col("l_quantity")).cast("int").alias("bottom"), (left + 150).alias("right"))
-    return grid.slice_masks(tiles, masks, (128, 128)).select("slide_id", "tile_i", "tile_j", "mask", "rows", "columns")
+    return grid.grid_masks(T.slides(spark, sf), masks, (128, 128)).select("slide_id", "tile_i", "tile_j", "mask", "rows", "columns")
 
 
 @query(f"""WITH {T.SLIDES}, t AS (SELECT slide_id, i * 128 AS ti, j * 128 AS tj FROM slides, range(8) a(i), range(6) b(j) WHERE i < (height - 128) // 128 + 1 AND j < (width - 128) // 128 + 1),
@@ -126,10 +125,9 @@ SELECT t.slide_id, ti::INT AS tile_i, tj::INT AS tile_j, any_value(o_orderstatus
 FROM t JOIN orders ON o_orderkey = t.slide_id LEFT JOIN hit USING (slide_id, ti, tj) GROUP BY ALL""")
 def tiles_with_masks_and_labels(spark, sf):
     """Tiles, what they hold of their slide's masks, and the slide's label, from one operator."""
-    label = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("slide_id"), F.col("o_orderstatus").alias("label"))
     top, left = (F.col("l_partkey") % 400).cast("int"), (F.col("l_suppkey") % 300).cast("int")
     masks = T.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("slide_id"), F.col("l_linenumber").alias("name"), top.alias("top"), left.alias("left"), (top + 1 + F.col("l_quantity")).cast("int").alias("bottom"), (left + 150).alias("right"))
-    found = grid.tiles_with_masks(T.slides(spark, sf).join(label, "slide_id"), masks, (128, 128))
+    found = grid.tiles_with_masks(T.slides(spark, sf, F.col("o_orderstatus").alias("label")), masks, (128, 128))
     written = F.transform("masks", lambda m: F.concat(m["name"], F.lit("@"), m["top"], F.lit(","), m["left"], F.lit(":"), m["rows"], F.lit("x"), m["columns"]))
     return found.select("slide_id", "tile_i", "tile_j", "label", F.array_join(written, " ").alias("masks"))
 
