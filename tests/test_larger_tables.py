@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesselon.operators import grid
+from tesselon.lineage import cut
+from tesselon.operators import graph, grid
 
 
 def plan(df) -> str:
@@ -46,3 +47,33 @@ def test_tiles_are_not_shuffled_or_broadcast(spark):
     assert "Broadcast" not in plan(grid.slice_masks(grid.tile_grid(slides, (10, 10)), masks, (10, 10)))
     text = grid.tiles_with_masks(slides, masks, (10, 10))._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in text and "hashpartitioning(slide_id" in text and "tile_i" not in "".join(x for x in text.splitlines() if "Exchange" in x)
+
+
+def test_cut_tables_look_as_large_as_they_are(spark):
+    """Dictionaries made millions of rows with repeated keys look small enough for a broadcast."""
+    rows = 300_000
+    table = cut(spark.range(rows).select(F.lit("slide 1A").alias("name"), (F.col("id") % 7).alias("label")))
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._cut)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    assert files > rows * 16
+
+
+def test_neighbours_in_clusters_among_copies_and_far_away(spark):
+    r = random.Random(5)
+    rows = [(1, n, 100 + r.randrange(6), 100 + r.randrange(6)) for n in range(300)] + [(1, 1000, 10**6, -(10**6)), (1, 1001, 10**6, -(10**6))]
+    rows += [(2, n, 5, 5) for n in range(4)] + [(3, 7, 0, 0)] + [(4, n, 3 * n * n, -n) for n in range(40)]
+    brute = set()
+    for g, n, x, y in rows:
+        near = sorted((((x - a) ** 2 + (y - b) ** 2) ** 0.5, m) for h, m, a, b in rows if h == g and m != n)[:5]
+        brute |= {(g, n, m, d) for d, m in near}
+    found = graph.knn_graph(spark.createDataFrame([*rows, (1, 5000, None, 3)], "graph_id long, node long, x long, y long"), 5).collect()
+    assert len(found) == len(brute) and set(map(tuple, found)) == brute
+
+
+def test_neighbours_among_many_copies(spark):
+    """Every pair of points in a cell was a row that was sorted: here there are 3.6 thousand million."""
+    points = spark.range(60_000).select(F.lit(1).alias("graph_id"), F.col("id").alias("node"), (F.col("id") % 3).alias("x"), F.lit(0).alias("y"))
+    found = graph.knn_graph(points, 5)
+    first = found.filter("src <> dst").groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d"), F.max("dst").alias("top"))
+    assert {(r["n"], r["d"]) for r in first.select("n", "d").distinct().collect()} == {(5, 0.0)}
+    assert first.agg(F.max("top")).first()[0] == 17
