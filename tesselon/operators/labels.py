@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,24 +192,44 @@ def merge_by_color(pixels: DataFrame, key: str, threshold: float, hist_weight: f
     near = touch.groupBy(key, "label").agg(F.array_sort(F.collect_set("other")).alias("near"))
     kinds = {f.name: f.dataType.simpleString() for f in pixels.select(key, "label").schema}
     table = parts.join(near, [key, "label"], "left")
-    return table.groupBy(key).applyInPandas(lambda f: _merged(f, key, threshold, hist_weight, mean_weight), f"{key} {kinds[key]}, label {kinds['label']}, merged {kinds['label']}")
-
-
-def _merged(frame, key: str, threshold: float, hist_weight: float, mean_weight: float):
-    frame = frame.sort_values("label").reset_index(drop=True)
-    at = {label: k for k, label in enumerate(frame["label"])}
-    total, hist = np.stack(frame["total"]), np.stack(frame["hist"]).reshape(len(frame), 3, COLOR_BINS)
-    near: list[set[int]] = [set() for _ in at]
-    for k, others in enumerate(frame["near"]):
-        for o in [] if others is None else others:
+    one = F.sort_array(F.collect_list(F.struct("label", "total", "hist", "near"))).alias("parts")
+    kind = f"array<struct<label:{kinds['label']},merged:{kinds['label']}>>"
+    merged = table.groupBy(key).agg(one).mapInArrow(lambda it: _merge_tiles(it, threshold, hist_weight, mean_weight), f"{key} {kinds[key]}, found {kind}")
+    return merged.select(key, F.explode("found").alias("_f")).select(key, "_f.*")
+
+
+def _merge_tiles(batches: Iterator[pa.RecordBatch], threshold: float, hist_weight: float, mean_weight: float) -> Iterator[pa.RecordBatch]:
+    """One row a tile: (key, parts) to (key, found)."""
+    for batch in batches:
+        label = batch.schema.field("parts").type.value_type.field("label").type
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            found = [_merged(tile, threshold, hist_weight, mean_weight) for tile in part.column("parts").to_pylist()]
+            kind = pa.list_(pa.struct([("label", label), ("merged", label)]))
+            yield pa.record_batch([part.column(0), pa.array(found, kind)], [batch.schema.names[0], "found"])
+
+
+def _unit(values: list[float]) -> list[float]:
+    length = max(math.sqrt(sum(v * v for v in values)), 1e-12)
+    return [v / length for v in values]
+
+
+def _merged(parts: list[dict], threshold: float, hist_weight: float, mean_weight: float) -> list[dict]:
+    """The superpixels of one tile, sorted by label, and the label of what each is merged into; unit vectors are made once for each."""
+    at = {part["label"]: k for k, part in enumerate(parts)}
+    total, hist = [part["total"] for part in parts], [part["hist"] for part in parts]
+    near: list[set[int]] = [set() for _ in parts]
+    for k, part in enumerate(parts):
+        for o in part["near"] or []:
             near[k].add(at[o])
             near[at[o]].add(k)
-    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    shares = lambda h: [_unit(h[c : c + COLOR_BINS]) for c in range(0, 3 * COLOR_BINS, COLOR_BINS)]
+    mean, shape = [_unit(t) for t in total], [shares(h) for h in hist]
 
     def differ(a: int, b: int) -> float:
-        mean = np.linalg.norm(unit(total[a]) - unit(total[b])) / 2
-        shares = np.mean([np.linalg.norm(unit(hist[a, c]) - unit(hist[b, c])) / 2 for c in range(3)])
-        return round(float(hist_weight * shares + mean_weight * mean), 9)
+        far = math.dist(mean[a], mean[b]) / 2
+        other = sum(math.dist(x, y) / 2 for x, y in zip(shape[a], shape[b], strict=True)) / 3
+        return round(hist_weight * other + mean_weight * far, 9)
 
     agenda = [(differ(a, b), a, b, 0, 0) for a in range(len(near)) for b in near[a] if a < b]
     heapq.heapify(agenda)
@@ -216,8 +239,9 @@ def _merged(frame, key: str, threshold: float, hist_weight: float, mean_weight:
         if into[a] != a or into[b] != b or (age[a], age[b]) != (age_a, age_b):
             continue
         into[b] = a
-        total[a] += total[b]
-        hist[a] += hist[b]
+        total[a] = [x + y for x, y in zip(total[a], total[b], strict=True)]
+        hist[a] = [x + y for x, y in zip(hist[a], hist[b], strict=True)]
+        mean[a], shape[a] = _unit(total[a]), shares(hist[a])
         near[a] = {o for o in near[a] | near[b] if o not in (a, b)}
         age[a] += 1
         for o in near[a]:
@@ -225,4 +249,4 @@ def _merged(frame, key: str, threshold: float, hist_weight: float, mean_weight:
             x, y = min(a, o), max(a, o)
             heapq.heappush(agenda, (differ(x, y), x, y, age[x], age[y]))
     root = lambda k: k if into[k] == k else root(into[k])
-    return frame[[key, "label"]].assign(merged=[frame["label"][root(k)] for k in range(len(near))])
+    return [{"label": part["label"], "merged": parts[root(k)]["label"]} for k, part in enumerate(parts)]
