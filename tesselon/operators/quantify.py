@@ -60,11 +60,11 @@ def superpixel_mean(pixels: DataFrame, keys: tuple[str, ...], label: str = "labe
 
 
 def clockwise(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Points with their rank by angle about the centre of their bounding box."""
+    """Points with their rank by angle about the centre of their bounding box; points at one place in the order of their other columns."""
     w = Window.partitionBy(*keys)
     cx, cy = ((F.min(c).over(w) + F.max(c).over(w)) / 2 for c in ("x", "y"))
     angled = points.withColumn("angle", F.round(F.atan2(F.col("x") - cx, F.col("y") - cy), 9))
-    return angled.withColumn("rank", F.row_number().over(w.orderBy("angle", "x", "y"))).drop("angle")
+    return angled.withColumn("rank", F.row_number().over(w.orderBy("angle", "x", "y", *(c for c in points.columns if c not in (*keys, "x", "y"))))).drop("angle")
 
 
 def polygon(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:

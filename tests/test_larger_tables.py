@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselon.lineage import cut
-from tesselon.operators import graph, grid
+from tesselon.operators import graph, grid, labels, quantify
 
 
 def plan(df) -> str:
@@ -77,3 +77,19 @@ def test_neighbours_among_many_copies(spark):
     first = found.filter("src <> dst").groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d"), F.max("dst").alias("top"))
     assert {(r["n"], r["d"]) for r in first.select("n", "d").distinct().collect()} == {(5, 0.0)}
     assert first.agg(F.max("top")).first()[0] == 17
+
+
+def test_points_at_one_place_are_in_the_order_of_their_nodes(spark):
+    rows = [(0, (7 * n) % 40, n % 3, n % 2) for n in range(40)]
+    ranked = quantify.clockwise(spark.createDataFrame(rows, "graph_id long, node long, x long, y long").repartition(3), ("graph_id",)).orderBy("rank").collect()
+    for place in {(r["x"], r["y"]) for r in ranked}:
+        nodes = [r["node"] for r in ranked if (r["x"], r["y"]) == place]
+        assert nodes == sorted(nodes) and len(nodes) > 1
+
+
+def test_tiles_are_merged_without_a_frame_each(spark):
+    rows = [(t, i, j, f"{i // 2}:{j // 2}", 250 * (i // 2) + t, 60, 200 - 3 * j) for t in range(5) for i in range(4) for j in range(4)]
+    found = labels.merge_by_color(spark.createDataFrame(rows, "tile long, i int, j int, label string, r long, g long, b long"), "tile", 0.1)
+    assert "InPandas" not in plan(found)
+    got = {(r["tile"], r["label"]): r["merged"] for r in found.collect()}
+    assert got == {(t, f"{a}:{b}"): f"{a}:0" for t in range(5) for a in (0, 1) for b in (0, 1)}
