@@ -75,14 +75,23 @@ class _Slide(StatefulProcessor):
         if self.done.exists():
             return
         tiles, expected, first, last, timer = self.about.get() if self.about.exists() else (0, None, None, None, None)
+        # Each question to the state is a round trip, so a place is asked about once, however often it comes.
+        asked: set[tuple[int, int]] = set()
         for part in rows:
-            for i, j, n, at in zip(part["tile_i"], part["tile_j"], part["expected"], part["at"].astype("datetime64[us]").astype("int64") // 1000, strict=True):
-                if not self.places.containsKey((int(i), int(j))):
-                    self.places.updateValue((int(i), int(j)), (int(at),))
+            if part.empty:
+                continue
+            times = part["at"].astype("datetime64[us]").astype("int64") // 1000
+            once = ~part.duplicated(["tile_i", "tile_j"])
+            for i, j, at in zip(part["tile_i"][once], part["tile_j"][once], times[once], strict=True):
+                place = (int(i), int(j))
+                if place not in asked and not self.places.containsKey(place):
+                    self.places.updateValue(place, (int(at),))
                     tiles += 1
-                if not pd.isna(n):
-                    expected = int(n) if expected is None else max(expected, int(n))
-                first, last = min(int(at), int(at) if first is None else first), max(int(at), int(at) if last is None else last)
+                asked.add(place)
+            if not pd.isna(n := part["expected"].max()):
+                expected = int(n) if expected is None else max(expected, int(n))
+            low, high = int(times.min()), int(times.max())
+            first, last = low if first is None else min(first, low), high if last is None else max(last, high)
         if expected is not None and tiles >= expected:
             yield self._close(key, tiles, expected, True, first, last, timer)
             return

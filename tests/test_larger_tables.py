@@ -2,11 +2,13 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tesselon.lineage import cut
 from tesselon.operators import graph, grid, labels, quantify
+from tesselon.streaming import arrivals
 
 
 def plan(df) -> str:
@@ -93,3 +95,31 @@ def test_tiles_are_merged_without_a_frame_each(spark):
     assert "InPandas" not in plan(found)
     got = {(r["tile"], r["label"]): r["merged"] for r in found.collect()}
     assert got == {(t, f"{a}:{b}"): f"{a}:0" for t in range(5) for a in (0, 1) for b in (0, 1)}
+
+
+def test_a_stream_asks_its_state_once_for_each_place():
+    asked, kept = [], {}
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Places:
+        containsKey = lambda self, k: asked.append(k) or k in kept
+
+    class Handle:
+        registerTimer = deleteTimer = lambda self, t: None
+
+    class Timer:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    Places.updateValue = lambda self, k, v: kept.__setitem__(k, v)
+    slide = arrivals._Slide()
+    slide.handle, slide.places, slide.about, slide.done = Handle(), Places(), Value(), Value()
+    part = pd.DataFrame({"tile_i": [0, 1, 0, 1] * 50, "tile_j": 0, "expected": [None, 4] * 100, "at": pd.to_datetime(range(5, 205), unit="ms")})
+    assert list(slide.handleInputRows((7,), iter([part, part]), Timer())) == []
+    assert sorted(asked) == [(0, 0), (1, 0)] and slide.about.held == (2, 4, 5, 204, 204)
