@@ -140,3 +140,47 @@ def test_eccentricities_equal_a_plain_search(spark, words, at_once):
     got = graph.eccentricities(spark.createDataFrame(edges, "graph_id int, src int, dst int"), words, at_once)
     assert {(r["graph_id"], r["node"]): r["eccentricity"] for r in got.collect()} == expected
     assert graph.eccentricities(spark.createDataFrame([], "graph_id int, src int, dst int")).count() == 0
+
+
+def test_eccentricities_do_not_take_a_round_a_step(spark, monkeypatch):
+    """A path of 3000 nodes took 3000 rounds of joins, and rows for each node and block in each."""
+    cuts, real = [], graph.cut
+
+    def counted(df, instead=None):
+        cuts.append(1)
+        assert len(cuts) < 20
+        return real(df, instead)
+
+    monkeypatch.setattr(graph, "cut", counted)
+    n = 3000
+    path = spark.range(n - 1).select(F.lit("path").alias("graph_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    star = spark.range(1, 41).select(F.lit("star").alias("graph_id"), (F.col("id") * 7).alias("src"), F.lit(0).cast("long").alias("dst"))
+    got = {(r["graph_id"], r["node"]): r["eccentricity"] for r in graph.eccentricities(path.unionAll(star), sources=700).collect()}
+    assert got == {**{("path", k): max(k, n - 1 - k) for k in range(n)}, **{("star", 7 * k): 2 if k else 1 for k in range(41)}}
+
+
+def test_eccentricities_of_larger_graphs_by_joins(spark):
+    """Graphs whose edges are too many for a task keep the search by joins, beside others."""
+    edges = [("small", str(k), str(k + 1)) for k in range(6)] + [("large", "hub", str(k)) for k in range(9)] + [("large", "0", "far")]
+    df = spark.createDataFrame(edges, "graph_id string, src string, dst string")
+    expected = {**{("small", str(k)): max(k, 6 - k) for k in range(7)}, **{("large", str(k)): 3 for k in range(1, 9)}, ("large", "hub"): 2, ("large", "0"): 2, ("large", "far"): 3}
+    for most in (0, 12, 1000):
+        assert {(r["graph_id"], r["node"]): r["eccentricity"] for r in graph.eccentricities(df, 1, 1, most).collect()} == expected
+
+
+def test_blocks_hold_every_node_once():
+    from tesselon.functions import breadth
+
+    rng = np.random.default_rng(4)
+    n = 1500
+    pairs = np.unique(np.concatenate([e := rng.integers(0, n, (1800, 2)), e[:, ::-1], [[k, (k + 1) % n] for k in range(n)], [[(k + 1) % n, k] for k in range(n)]]), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    ptr, near = np.searchsorted(pairs[:, 0], np.arange(n + 1)), pairs[:, 1].astype(np.int32)
+    order = breadth.blocks(ptr, near)
+    assert sorted(order) == list(range(n))
+    for k, far in zip(order[::97], breadth.farthest(ptr, near, order)[::97], strict=True):
+        steps, front, seen = 0, {k}, {k}
+        while front := {q for p in front for q in near[ptr[p] : ptr[p + 1]].tolist()} - seen:
+            seen |= front
+            steps += 1
+        assert far == steps
