@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselon.functions import raster
@@ -28,14 +28,15 @@ def label_regions(mask: DataFrame, key: str, diagonal: bool = True, size: int =
     """(key, i, j, ri, rj): connected regions of a mask's pixels; a region is named by its first pixel (ri, rj).
 
     Regions are found in each tile of ``size`` by ``size`` pixels; those of different tiles that touch at
-    the tiles' edges are then joined, so the rounds of joins see edge pixels only.
+    the tiles' edges are then joined, so the rounds of joins see edge pixels only. Pixels are counted
+    first, so a task holds a bounded number.
     """
 
     def local(tile: tiles.Tile) -> dict:
         root = raster.regions(tile.present(), diagonal)[tile.at]
         return {"ri": (root // tile.shape[1] + tile.top).astype(np.int32), "rj": (root % tile.shape[1] + tile.left).astype(np.int32)}
 
-    found = cut(tiles.per_tile(mask.select(key, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")), (key,), (), local, "ri int, rj int", size))
+    found = cut(tiles.per_tile(mask.select(key, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")), (key,), (), local, "ri int, rj int", size, parts=tiles.parts(mask)))
     on_edge = lambda c: F.pmod(c, F.lit(size)).isin(0, size - 1)
     edge = found.filter(on_edge("i") | on_edge("j"))
     at = edge.select(F.struct(key, F.col("ri").alias("i"), F.col("rj").alias("j")).alias("p"), key, "i", "j")
@@ -56,28 +57,61 @@ def tile_regions(mask: DataFrame, keys: tuple[str, ...], diagonal: bool = True)
     return tiles.per_tile(mask.select(*keys, "i", "j"), keys, (), local, "label long")
 
 
+def _of_regions(regions: DataFrame, key: str, wanted: Column, *more: Column, size: int = tiles.SIZE) -> DataFrame:
+    """The pixels of the regions that are ``wanted`` by their number of pixels ``n`` and the greatest of ``more``.
+
+    Pixels are counted and dealt by region and tile, so a large region is not one task's.
+    """
+    place = [key, "_ti", "_tj", "ri", "rj"]
+    tile = lambda c: F.floor(F.col(c) / size).cast("int")
+    own = tiles.dealt(regions.withColumn("_ti", tile("i")).withColumn("_tj", tile("j")), *place, parts=tiles.parts(regions))
+    names = [f"_m{k}" for k in range(len(more))]
+    part = own.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), *(F.max(c).alias(m) for c, m in zip(more, names, strict=True)))
+    whole = part.groupBy(key, "ri", "rj").agg(F.sum("n").alias("n"), *(F.max(m).alias(m) for m in names)).filter(wanted)
+    return own.join(part.select(*place).join(whole.select(key, "ri", "rj"), [key, "ri", "rj"], "left_semi"), place, "left_semi").select(key, "i", "j", "ri", "rj")
+
+
 def remove_small(mask: DataFrame, key: str, least: int) -> DataFrame:
     """(key, i, j, ri, rj): the regions with at least ``least`` pixels."""
-    regions = label_regions(mask, key)
-    large = regions.groupBy(key, "ri", "rj").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return regions.join(large.drop("n"), [key, "ri", "rj"]).select(key, "i", "j", "ri", "rj")
+    return _of_regions(label_regions(mask, key), key, F.col("n") >= least)
 
 
 def fill_holes(pixels: DataFrame, key: str, height: int, width: int, most: int) -> DataFrame:
     """(key, i, j): the mask (v > 0) with background regions of at most ``most`` pixels off the border filled."""
-    regions = label_regions(pixels.filter("v <= 0"), key, diagonal=False)
     edge = (F.col("i") == 0) | (F.col("j") == 0) | (F.col("i") == height - 1) | (F.col("j") == width - 1)
-    holes = regions.groupBy(key, "ri", "rj").agg(F.count(F.lit(1)).alias("n"), F.max(edge.cast("int")).alias("edge")).filter((F.col("n") <= most) & (F.col("edge") == 0))
-    return pixels.filter("v > 0").select(key, "i", "j").unionAll(regions.join(holes, [key, "ri", "rj"]).select(key, "i", "j"))
+    holes = _of_regions(label_regions(pixels.filter("v <= 0"), key, diagonal=False), key, (F.col("n") <= most) & (F.col("_m0") == 0), edge.cast("int"))
+    return pixels.filter("v > 0").select(key, "i", "j").unionAll(holes.select(key, "i", "j"))
+
 
+def foreground(pixels: DataFrame, key: str, height: int, width: int, min_region: int, max_hole: int, size: int = tiles.SIZE) -> DataFrame:
+    """(key, i, j): regions of at least ``min_region`` pixels, holes of at most ``max_hole`` filled.
 
-def foreground(pixels: DataFrame, key: str, height: int, width: int, min_region: int, max_hole: int) -> DataFrame:
-    """(key, i, j): regions of at least ``min_region`` pixels, holes of at most ``max_hole`` filled."""
-    kept = remove_small(pixels.filter("v > 0"), key, min_region).select(key, "i", "j").withColumn("_on", F.lit(1))
-    cleaned = pixels.select(key, "i", "j").join(kept, [key, "i", "j"], "left").select(key, "i", "j", F.coalesce("_on", F.lit(0)).alias("v"))
+    Images of at most ``size`` by ``size`` pixels are tiles, and their pixels are dealt once.
+    """
+    if max(height, width) <= size:
+        return _foreground_of_tiles(pixels, key, height, width, min_region, max_hole)
+    kept = remove_small(pixels.filter("v > 0"), key, min_region).select(key, "i", "j").withColumn("v", F.lit(1))
+    # Every pixel as background, and those kept once more: the greater counts, without a join.
+    every = pixels.select(key, "i", "j").withColumn("v", F.lit(0)).unionAll(kept)
+    cleaned = tiles.dealt(every, key, "i", "j", parts=tiles.parts(pixels)).groupBy(key, "i", "j").agg(F.max("v").alias("v"))
     return fill_holes(cut(cleaned), key, height, width, max_hole)
 
 
+def _foreground_of_tiles(pixels: DataFrame, key: str, height: int, width: int, min_region: int, max_hole: int) -> DataFrame:
+    def local(tile: tiles.Tile) -> dict:
+        mask, present = np.zeros(tile.shape, bool), tile.present()
+        mask[tile.at] = tile.rows.column("on").to_numpy(zero_copy_only=False)
+        mask = raster.without_small(raster.regions(mask), min_region) >= 0
+        root = raster.regions(present & ~mask, eight=False)[tile.at]
+        behind, size = root >= 0, np.bincount(root[root >= 0], minlength=present.size)
+        outer = np.zeros(present.size, bool)
+        outer[root[behind & ((tile.i == 0) | (tile.j == 0) | (tile.i == height - 1) | (tile.j == width - 1))]] = True
+        return {"on": np.where(behind, ~outer[root] & (size[root] <= max_hole), True)}
+
+    on = pixels.select(key, "i", "j", F.coalesce(F.col("v") > 0, F.lit(False)).alias("on"))
+    return tiles.per_tile(on, (key,), ("on",), local, "on boolean", parts=tiles.parts(pixels)).filter("on").select(key, "i", "j")
+
+
 def watershed(pixels: DataFrame, markers: DataFrame, key: str) -> DataFrame:
     """(key, i, j, marker): each pixel goes to the marker that reaches it over the lowest pass.
 
@@ -150,7 +184,7 @@ def local_maxima(pixels: DataFrame, keys: tuple[str, ...], size: int, least: flo
 
 def instance_map(tiles: DataFrame, height: int, width: int, level: float, key: str = "slide_id") -> DataFrame:
     """(key, ri, rj, area, cx, cy): the regions above ``level`` of a slide put together from tiles, with rounded centroids."""
-    whole = stitch(tiles, height, width, key)
+    whole = cut(stitch(tiles, height, width, key))
     found = label_regions(whole.filter(F.col("v") > level), key)
     middle = lambda c: F.rint(F.avg(c)).cast("long")
     return found.groupBy(key, "ri", "rj").agg(F.count(F.lit(1)).alias("area"), middle("j").alias("cx"), middle("i").alias("cy"))

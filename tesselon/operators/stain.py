@@ -152,7 +152,7 @@ def detect_tissue(rgb: DataFrame, key: str, height: int, width: int, blur: int =
     dark = rgb.select(key, "i", "j", (255 - grey(F.col("r"), F.col("g"), F.col("b"))).alias("v"))
     mask = threshold.binary_threshold(stencil.median_blur(dark, (key,), blur), (key,), level)
     closed = stencil.morph_close(stencil.morph_open(mask, (key,), size), (key,), size)
-    return labels.foreground(closed, key, height, width, min_region, max_hole)
+    return labels.foreground(cut(closed), key, height, width, min_region, max_hole)
 
 
 def detect_nuclei(rgb: DataFrame, key: str, step: int = 4, compactness: float = 10.0, rounds: int = 2, method: str = "vahadane") -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SIZE = 256
 #: Pixels of an image that is worked on as a whole.
 MOST = 1 << 24
+#: Pixel rows that a task is dealt; a tile is never divided.
+ROWS = 1 << 20
 
 
 class Tile:
@@ -73,6 +75,23 @@ def overlapping(pixels: DataFrame, size: int, halo: int) -> DataFrame:
     return pixels.withColumn("_ti", near("i")).withColumn("_tj", near("j"))
 
 
+def dealt(pixels: DataFrame, *by: str, parts: int | None = None) -> DataFrame:
+    """``pixels`` dealt by columns to ``parts`` partitions, or as Spark finds best."""
+    return pixels.repartition(parts, *by) if parts else pixels.repartition(*by)
+
+
+def parts(pixels: DataFrame) -> int | None:
+    """Partitions to which ``pixels`` are dealt so that none holds many more than ``ROWS``; None for few pixels.
+
+    Pixel rows are compressed to a small part of their size, and Spark puts partitions together by that
+    size, so that a task would hold ever more rows.
+    """
+    spark, rows = pixels.sparkSession, pixels.count()
+    if rows <= ROWS * spark.sparkContext.defaultParallelism:
+        return None
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows // ROWS)
+
+
 def _own(rows: pa.RecordBatch, size: int | None) -> np.ndarray:
     """Which of a tile's pixels lie in it and not only near it."""
     if not size:
@@ -105,11 +124,12 @@ def per_tile_rows(pixels: DataFrame, keys: tuple[str, ...], values: tuple[str, .
     return ordered.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in keys), schema]))
 
 
-def per_tile(pixels: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], function: Callable[[Tile], dict[str, np.ndarray]], schema: str, size: int | None = None, halo: int = 0) -> DataFrame:
+def per_tile(pixels: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], function: Callable[[Tile], dict[str, np.ndarray]], schema: str, size: int | None = None, halo: int = 0, parts: int | None = None) -> DataFrame:
     """(keys, i, j, ...): new values of every pixel from the tile that it lies in.
 
     ``function`` gives one array a new column, in the order of the tile's pixels; ``schema`` names them
-    and their types. Without a ``size`` an image is one tile. Keys must not be null.
+    and their types. Without a ``size`` an image is one tile. Keys must not be null. ``parts`` are the
+    partitions to which tiles are dealt.
     """
     names = [*keys, "i", "j"]
     sent, by = pixels.select(*names, *values), list(keys)
@@ -128,5 +148,5 @@ def per_tile(pixels: DataFrame, keys: tuple[str, ...], values: tuple[str, ...],
             out = pa.RecordBatch.from_arrays(columns, [*names, *new])
             yield out if own.all() else out.filter(pa.array(own))
 
-    ordered = sent.repartition(*by).sortWithinPartitions(*by)
+    ordered = dealt(sent, *by, parts=parts).sortWithinPartitions(*by)
     return ordered.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in names), schema]))

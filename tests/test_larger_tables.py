@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselon.lineage import cut
-from tesselon.operators import graph, grid, labels, quantify
+from tesselon.operators import graph, grid, labels, quantify, tiles
 from tesselon.streaming import arrivals
 
 
@@ -123,3 +123,36 @@ def test_a_stream_asks_its_state_once_for_each_place():
     part = pd.DataFrame({"tile_i": [0, 1, 0, 1] * 50, "tile_j": 0, "expected": [None, 4] * 100, "at": pd.to_datetime(range(5, 205), unit="ms")})
     assert list(slide.handleInputRows((7,), iter([part, part]), Timer())) == []
     assert sorted(asked) == [(0, 0), (1, 0)] and slide.about.held == (2, 4, 5, 204, 204)
+
+
+def spread(cells, near):
+    """The connected sets of cells (i, j), by a plain search."""
+    left, sets = set(cells), []
+    while left:
+        front = [left.pop()]
+        for i, j in front:
+            beside = {(i + a, j + b) for a, b in near} & left
+            left -= beside
+            front += beside
+        sets.append(set(front))
+    return sets
+
+
+def test_foreground_is_dealt_by_rows(spark, monkeypatch):
+    """Partitions were put together by their compressed size: at 6 GB a task would have sorted 4005 MB of pixels."""
+    monkeypatch.setattr(tiles, "ROWS", 150, raising=False)
+    r, side = random.Random(8), 13
+    value = {(k, i, j): r.choice([0, 0, 1, None] if k % 2 else [0, 1, 1]) for k in range(9) for i in range(side) for j in range(side) if k < 6 or r.random() < 0.9}
+    df = spark.createDataFrame([(*p, v) for p, v in value.items()], "k long, i int, j int, v int")
+    four, expected = [(0, 1), (1, 0), (0, -1), (-1, 0)], set()
+    for k in range(9):
+        places = {(i, j) for m, i, j in value if m == k}
+        regions = spread({p for p in places if value[(k, *p)]}, [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        kept = set().union(*(x for x in regions if len(x) >= 6))
+        holes = [x for x in spread(places - kept, four) if len(x) <= 3 and not any({0, side - 1} & {*p} for p in x)]
+        expected |= {(k, *p) for p in kept.union(*holes)}
+    for size in (256, 4):
+        found = labels.foreground(df, "k", side, side, 6, 3, size)
+        assert sorted(map(tuple, found.collect())) == sorted(expected)
+        assert size == 4 or found.rdd.getNumPartitions() > len(value) // 150
+    assert labels.label_regions(df.filter("v > 0"), "k").count() == sum(bool(v) for v in value.values())
