@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.lineage import cut as written
+from tesselon.lineage import remove
 from tesselon.llm.common import chunks, cut, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
@@ -241,9 +242,13 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED
     confidence changes by more than ``settled``, after ``rounds`` at the latest.
     """
     total = edges.groupBy("pattern").agg(F.sum("n").alias("total")).filter("total > 1")
-    seeded = edges.filter("kind >= 0").groupBy("instance", "kind").agg(F.lit(1.0).alias("score"))
-    weights = cut(edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(total, "pattern"))
-    degree = weights.groupBy("instance").agg(F.sum("n").alias("all"))
+    seeded = written(edges.filter("kind >= 0").groupBy("instance", "kind").agg(F.lit(1.0).alias("score")))
+    seeds = seeded.select("instance", F.lit(True).alias("own")).distinct()
+    pairs = written(edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(total, "pattern").join(seeds, "instance", "left"))
+    # Only patterns with a seed vote, so scores reach the instances in them and no others.
+    reached = pairs.join(pairs.filter("own").select("pattern").distinct(), "pattern", "left_semi").select("instance").distinct()
+    degree = pairs.groupBy("instance").agg(F.sum("n").alias("all"))
+    weights = written(pairs.join(reached, "instance", "left_semi").join(degree, "instance"), pairs)
     share, n = F.col("hits") / F.col("total"), F.col("total")
     spread = F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / n + _Z**2 / (4 * n * n))
     lower = (share + _Z**2 / (2 * n) - _Z * spread) / (1 + _Z**2 / n)
@@ -254,14 +259,16 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED
         hits = weights.join(known, "instance").groupBy("pattern", "total", "kind").agg(*sums)
         fresh = hits.select("pattern", "kind", lower.alias("confidence"), "support", (F.col("seeds") / F.col("total")).alias("seeded"))
         if scored is None:
-            scored = cut(fresh.withColumn("before", F.lit(0.0)))
+            scored = written(fresh.withColumn("before", F.lit(0.0)))
         else:
-            scored = cut(fresh.join(scored.select("pattern", "kind", F.col("confidence").alias("before")), ["pattern", "kind"], "left"))
+            scored = written(fresh.join(scored.select("pattern", "kind", F.col("confidence").alias("before")), ["pattern", "kind"], "left"), scored)
         if scored.filter(F.abs(F.col("confidence") - F.coalesce("before", F.lit(0.0))) > settled).isEmpty():
             break
-        votes = weights.join(scored.filter(F.col("support") > 0), "pattern").groupBy("instance", "kind").agg(F.sum(F.col("n") * F.col("confidence")).alias("votes"))
-        guessed = votes.join(degree, "instance").select("instance", "kind", (F.col("votes") / F.col("all")).alias("score"))
-        known = cut(seeded.unionByName(guessed.join(seeded.select("instance").distinct(), "instance", "left_anti")))
+        votes = weights.filter("own IS NULL").join(scored.filter(F.col("support") > 0), "pattern").groupBy("instance", "kind", "all").agg(F.sum(F.col("n") * F.col("confidence")).alias("votes"))
+        guessed = votes.select("instance", "kind", (F.col("votes") / F.col("all")).alias("score"))
+        known = written(seeded.unionByName(guessed), None if known is seeded else known)
+    for table in {id(t): t for t in (weights, seeded, known)}.values():
+        remove(edges.sparkSession, table._cut)
     return scored.drop("before")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from tesselon.llm.common import chunks, text_or_empty
+from tesselon.llm.common import chunks, memories, text_or_empty
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Words, and parts of words, that a worker remembers at most, and the longest of them that it does; a memory is emptied when it is full.
@@ -195,6 +195,9 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+memories["pieces"] = codec.cache_clear
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded) of every whole text, ``ids`` an int array, without begin and end ids.
 
@@ -219,7 +222,7 @@ def _run(docs: DataFrame, path: str | None, schema: str, row, types: list[pa.Dat
     names = ["doc_id", *(c.split(" ")[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", memory="pieces"):
             rows = [row(*x) for x in zip(*codec(where).encode(part.column("text")), strict=True)]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.record_batch([part.column("doc_id"), *columns], names)

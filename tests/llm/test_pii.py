@@ -164,6 +164,18 @@ def test_graph_scores_equal_brute_force(spark):
         assert abs(r["confidence"] - confidence) < 1e-9 and r["support"] == support
 
 
+def test_rounds_see_only_what_scores_reach(spark, monkeypatch):
+    """Patterns without a seed vote for nothing: instances that are in no other take no part in the rounds."""
+    sizes = []
+    monkeypatch.setattr(pii, "written", lambda df, instead=None, write=pii.written: sizes.append((df.columns, (out := write(df, instead)).count())) or out)
+    rows = [("p", f"seed{i}", 0, 1) for i in range(6)] + [("p", "near", -1, 1), ("q", "near", -1, 1)] + [("q", f"far{i}", -1, 2) for i in range(500)]
+    got = {r["pattern"]: r for r in pii.score_graph(spark.createDataFrame(rows, "pattern string, instance string, kind int, n long")).collect()}
+    expected = brute_scores(rows)
+    assert {(k, 0) for k in got} == set(expected)
+    assert all(abs(r["confidence"] - expected[k, 0][0]) < 1e-9 for k, r in got.items())
+    assert [n for columns, n in sizes if "all" in columns] == [8]
+
+
 def test_precision_and_recall_of_planted_identifiers(spark):
     """Identifiers that no fixed pattern matches, among other numbers and names, in seven contexts."""
     rng = random.Random(8)

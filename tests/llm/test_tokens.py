@@ -11,6 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tesselon.llm import sentencepiece_codec, token_counts, token_files
+from tesselon.llm.common import chunks
 
 
 def odd_texts():
@@ -159,3 +160,13 @@ def test_store_over_documents(documents, awkward, empty, spark):
     assert [r["doc_id"] for r in got] == [None, None, 1, 1, 2, 3, 4, 5, 6, 7]
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False))
     assert token_files.store_and_read(empty).count() == 0
+
+
+def test_a_worker_forgets_the_pieces_when_another_operator_begins():
+    path = public_tokenizers.path(sentencepiece_codec.VOCABULARY)
+    batch = pa.record_batch([pa.array(["some words"])], ["text"])
+    codec = sentencepiece_codec.codec(path)
+    list(chunks([batch], "text", memory="pieces"))
+    assert sentencepiece_codec.codec(path) is codec
+    list(chunks([batch], "text"))
+    assert sentencepiece_codec.codec.cache_info().currsize == 0
