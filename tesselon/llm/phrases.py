@@ -1,7 +1,8 @@
 """Phrase collocations by set-oriented relational mining.
 
 The occurrence relation is persisted once, sorted by piece and position: a row of the table holds many
-pieces of one language, the words of all its positions in order, and where each piece ends. The
+pieces of one language, the words of all its positions in order, and where each piece ends. A row is
+packed and compressed, so that Spark moves bytes; only the row that a task works on is ever unpacked. The
 occurrences of phrases of k words are the merge-join of those of k - 1 words with each other on piece
 and adjacent position, which in sorted order is one pass; they are grouped and counted, and the counts
 are added up. Before the next length, occurrences whose phrase is not frequent are left out.
@@ -54,9 +55,10 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def relation(docs: DataFrame) -> DataFrame:
-    """(lang, n, words, hashes, word, ends): the occurrences in order as numbers of ``words``, and the end of each piece among them.
+    """(lang, n, words, places): ``n`` occurrences, their different words, and for ``_unpacked`` what is known without the words.
 
-    ``hashes`` are those of the words, the language's being part of them.
+    ``places`` holds the hashes of the words, the language's being part of them, the occurrences in order
+    as numbers of the words, and the end of each piece among them.
     """
 
     def row(lang: str, raw: list[bytes]) -> pa.RecordBatch:
@@ -68,8 +70,9 @@ def relation(docs: DataFrame) -> DataFrame:
         ends = np.unique(at - np.arange(len(at)))
         ends, code = ends[ends > 0], code[code != stop]
         code, names = code - (code > stop), names[:stop] + names[stop + 1 :]
-        columns = [pa.array([lang]), pa.array([len(code)], pa.int64()), pa.array([names], pa.list_(pa.string())), pa.array([_hashes(names, lang).view(np.int32)], pa.list_(pa.int32())), pa.array([code], pa.list_(pa.int32())), pa.array([ends], pa.list_(pa.int32()))]
-        return pa.record_batch(columns, ["lang", "n", "words", "hashes", "word", "ends"])
+        places = b"".join(map(_whole, (_hashes(names, lang), code.astype(np.uint32), ends.astype(np.uint32))))
+        columns = [pa.array([lang]), pa.array([len(code)], pa.int64()), pa.array([zstandard.compress(b"\n".join(names))], pa.binary()), pa.array([places], pa.binary())]
+        return pa.record_batch(columns, ["lang", "n", "words", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -86,7 +89,33 @@ def relation(docs: DataFrame) -> DataFrame:
         yield from (row(*x) for x in held.items())
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text IS NOT NULL")
-    return texts.mapInArrow(run, "lang string, n long, words array<string>, hashes array<int>, word array<int>, ends array<int>")
+    return texts.mapInArrow(run, "lang string, n long, words binary, places binary")
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, their first bytes first, and so on, compressed."""
+    return zstandard.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _of_planes(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).T
+    return np.ascontiguousarray(raw).view(np.uint32).ravel()
+
+
+def _whole(numbers: np.ndarray) -> bytes:
+    packed = _planes(numbers)
+    return len(packed).to_bytes(8, "little") + packed
+
+
+def _unpacked(places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the words, the occurrences and the ends in a row of the relation."""
+    out, at = [], 0
+    while at < len(places):
+        size = int.from_bytes(places[at : at + 8], "little")
+        out.append(_of_planes(places[at + 8 : at + 8 + size]))
+        at += 8 + size
+    hashes, word, ends = out
+    return hashes, word.view(np.int32), ends.view(np.int32)
 
 
 def _hashes(words: list[bytes], lang: str) -> np.ndarray:
@@ -129,10 +158,6 @@ def _places(hashes: np.ndarray, word: np.ndarray, ends: np.ndarray, bitmaps: lis
     return out
 
 
-def _numbers(column, i: int) -> np.ndarray:
-    return column[i].values.to_numpy()
-
-
 def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order of the groups by bucket and lower half of the hash, the buckets that have any, and where each begins and the last ends."""
     bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
@@ -142,13 +167,12 @@ def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _steps(ascending: np.ndarray) -> bytes:
-    """Ascending numbers of 32 bits as what each adds to the one before, their first bytes first, and so on, compressed."""
-    return zstandard.compress(np.diff(ascending, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
+    """Ascending numbers of 32 bits as what each adds to the one before."""
+    return _planes(np.diff(ascending, prepend=np.uint32(0)))
 
 
 def _ascending(steps: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(steps), np.uint8).reshape(4, -1).T
-    return np.cumsum(np.ascontiguousarray(raw).view(np.uint32).ravel(), dtype=np.uint32)
+    return np.cumsum(_of_planes(steps), dtype=np.uint32)
 
 
 def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -156,6 +180,10 @@ def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _split(lines: bytes) -> pa.Array:
+    return pc.split_pattern(pa.array([lines], pa.large_string()), "\n").flatten()
+
+
 def _met(rows: DataFrame, keys: list[str], merge, schema: str) -> DataFrame:
     """``merge`` of all packed rows with the same ``keys``, the first of which is the bucket; it gets the keys' values and the columns."""
 
@@ -194,8 +222,7 @@ def bitmap(occurrences: DataFrame, k: int, least: int, shorter: list[Broadcast],
 
         for batch in batches:
             for i in range(batch.num_rows):
-                hashes, word, ends = (_numbers(batch.column(c), i) for c in ("hashes", "word", "ends"))
-                hashes = hashes.view(np.uint32)
+                hashes, word, ends = _unpacked(batch.column("places")[i].as_py())
                 at = _places(hashes, word, ends, shorter, k)[-1]
                 found.append(_combined([hashes[word[at + j]] for j in range(k)]))
                 held += len(at)
@@ -213,7 +240,7 @@ def bitmap(occurrences: DataFrame, k: int, least: int, shorter: list[Broadcast],
         often = np.add.reduceat(n[order].astype(np.int64), starts) >= least
         return pa.record_batch([pa.array((hashes[starts[often]] & np.uint32((1 << BITS) - 1)).astype(np.int64))], ["bit"])
 
-    counts = occurrences.select("hashes", "word", "ends").mapInArrow(run, "bucket int, hashes binary, n binary")
+    counts = occurrences.select("places").mapInArrow(run, "bucket int, hashes binary, n binary")
     bits = _met(counts, ["bucket"], merge, "bit long")
     rows = bits.groupBy(F.shiftright("bit", ROW).alias("row")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit((1 << ROW) - 1))).alias("bits"))
     out = np.zeros(1 << (BITS - 3), np.uint8)
@@ -282,9 +309,9 @@ def frequent(occurrences: DataFrame, least: int, bitmaps: list[Broadcast], bucke
         counters: dict[str, _Counter] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, words = batch.column("lang")[i].as_py(), batch.column("words")[i].values
-                hashes, word, ends = (_numbers(batch.column(c), i) for c in ("hashes", "word", "ends"))
-                hashes = hashes.view(np.uint32)
+                lang, words = batch.column("lang")[i].as_py(), _split(zstandard.decompress(batch.column("words")[i].as_py()))
+                hashes, word, ends = _unpacked(batch.column("places")[i].as_py())
+                words = words.slice(0, len(hashes))  # none of a row without words
                 own = counters.setdefault(lang, _Counter(lang, len(bitmaps), buckets))
                 own.add(words, hashes, word, _places(hashes, word, ends, bitmaps, len(bitmaps)))
                 if len(own.number) > WORDS or sum(c.held for c in counters.values()) > HELD_WORDS:
@@ -294,7 +321,7 @@ def frequent(occurrences: DataFrame, least: int, bitmaps: list[Broadcast], bucke
             yield from c.count()
 
     def merge(at: tuple, rows: list[dict]) -> pa.RecordBatch:
-        phrases = pc.split_pattern(pa.array([b"\n".join(zstandard.decompress(r["phrases"]) for r in rows)], pa.large_string()), "\n").flatten()
+        phrases = _split(b"\n".join(zstandard.decompress(r["phrases"]) for r in rows))
         n = pa.array(np.frombuffer(b"".join(r["n"] for r in rows), np.uint32).astype(np.int64))
         sums = pa.table({"phrase": phrases, "f": n}).group_by("phrase").aggregate([("f", "sum")])
         sums = sums.filter(pc.greater_equal(sums["f_sum"], least)).combine_chunks()
@@ -304,7 +331,7 @@ def frequent(occurrences: DataFrame, least: int, bitmaps: list[Broadcast], bucke
 
     shape = "lang string, k int, phrase string, f long"
     empty = pa.record_batch([pa.nulls(0, t) for t in (pa.string(), pa.int32(), pa.string(), pa.int64())], ["lang", "k", "phrase", "f"])
-    counts = occurrences.select("lang", "words", "hashes", "word", "ends").mapInArrow(run, "bucket int, lang string, phrases binary, n binary")
+    counts = occurrences.select("lang", "words", "places").mapInArrow(run, "bucket int, lang string, phrases binary, n binary")
     return _met(counts, ["bucket", "lang"], merge, shape)
 
 
@@ -323,7 +350,8 @@ def mine(docs: DataFrame, lengths: int = LENGTHS, least: int = LEAST, top: int =
     """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/occurrences-{uuid.uuid4().hex}"
-    relation(docs).write.option("compression", "zstd").parquet(folder)
+    # Without dictionaries, since rows are compressed and no two are equal.
+    relation(docs).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(folder)
     occurrences = spark.read.parquet(folder)
     buckets = max(BUCKETS, (occurrences.agg(F.sum("n")).first()[0] or 0) // BUCKET)
     bitmaps: list[Broadcast] = []
