@@ -1,8 +1,9 @@
 """Image pyramids: tiles of all levels by rolling up quads, stored along a space-filling curve.
 
-A tile is a row (slide_id, level, ti, tj, z, height, width, channels, image): ``ti`` and ``tj`` number the
-tiles of a level, ``image`` holds bytes, row by row. A pixel of a level is the rounded mean of the up to
-four pixels of the level below. ``z`` interleaves the bits of ti and tj, so that all tiles below one tile
+A tile is a row (slide_id, level, ti, tj, z, height, width, channels, image, held): ``ti`` and ``tj`` number
+the tiles of a level, ``image`` holds bytes, row by row. A pixel of a level is the rounded mean of the up to
+four pixels of the level below. ``held`` has a byte for each pixel, 1 if there is any below it, and is null
+where no tile is missing. ``z`` interleaves the bits of ti and tj, so that all tiles below one tile
 of a higher level are neighbours in its order: a task that gets them can roll up several levels at once,
 and a region of a slide is a few ranges of z, by which readers skip the row groups of a file.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tesselon.lineage import cut
 
-COLUMNS = ("slide_id", "level", "ti", "tj", "z", "height", "width", "channels", "image")
+COLUMNS = ("slide_id", "level", "ti", "tj", "z", "height", "width", "channels", "image", "held")
 #: Levels that are rolled up in one pass; a task holds the tiles below one tile so many levels up.
 DEPTH = 4
 #: Steps that spread the lower 31 bits of a number over the even bits (fixed values).
@@ -38,44 +39,53 @@ def curve(ti: Column, tj: Column) -> Column:
     return F.shiftleft(spread(ti), 1).bitwiseOR(spread(tj))
 
 
-def _half(image: np.ndarray) -> np.ndarray:
-    """An image of half the size, means rounded half up; what hangs over an edge is the mean of fewer pixels."""
+def _half(image: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An image of half the size, means rounded half up, and where it has pixels.
+
+    What hangs over an edge or lies beside missing pixels, which are zero, is the mean of fewer pixels.
+    """
     h, w, c = image.shape
     wide = np.zeros((h + h % 2, w + w % 2, c), np.int64)
     wide[:h, :w] = image
     n = np.zeros((h + h % 2, w + w % 2, 1), np.int64)
-    n[:h, :w] = 1
+    n[:h, :w, 0] = held
     quads = lambda a: a.reshape(a.shape[0] // 2, 2, a.shape[1] // 2, 2, -1).sum(axis=(1, 3))
     total, count = quads(wide), quads(n)
-    return ((2 * total + count) // (2 * count)).astype(np.uint8)
+    return ((2 * total + count) // (2 * np.maximum(count, 1))).astype(np.uint8), count[:, :, 0] > 0
+
 
+Tiles = dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
 
-def _above(tiles: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
-    """The tiles of the next level: up to four tiles side by side, halved."""
+
+def _above(tiles: Tiles, size: tuple[int, int] | None) -> Tiles:
+    """The tiles of the next level, images and where they have pixels: up to four tiles side by side, halved."""
     out = {}
     for ti, tj in sorted({(i // 2, j // 2) for i, j in tiles}):
         own = {(a, b): tiles[2 * ti + a, 2 * tj + b] for a in (0, 1) for b in (0, 1) if (2 * ti + a, 2 * tj + b) in tiles}
-        if (0, 0) not in own:
+        if size is None and (0, 0) not in own:
             raise ValueError(f"the tile at {2 * ti}, {2 * tj} is missing, from which the next level begins")
-        top, left, channels = *own[0, 0].shape[:2], own[0, 0].shape[2]
-        high, wide = top + (own[1, 0].shape[0] if (1, 0) in own else 0), left + (own[0, 1].shape[1] if (0, 1) in own else 0)
-        both = np.zeros((high, wide, channels), np.uint8)
-        for (a, b), image in own.items():
-            both[a * top : a * top + image.shape[0], b * left : b * left + image.shape[1]] = image
-        out[ti, tj] = _half(both)
+        # Holes make tiles smaller; what follows on one begins where a whole one ends.
+        high, wide = ([max((t[0].shape[axis] for at, t in own.items() if at[axis] == k), default=0) for k in (0, 1)] for axis in (0, 1))
+        top, left = (side[0] if size is None or not side[1] else max(side[0], size[axis]) for axis, side in enumerate((high, wide)))
+        both = np.zeros((top + high[1], left + wide[1], next(iter(own.values()))[0].shape[2]), np.uint8)
+        held = np.zeros(both.shape[:2], bool)
+        for (a, b), (image, has) in own.items():
+            place = slice(a * top, a * top + image.shape[0]), slice(b * left, b * left + image.shape[1])
+            both[place], held[place] = image, has
+        out[ti, tj] = _half(both, held)
     return out
 
 
-def _rolled(base: DataFrame, level: int, depth: int) -> DataFrame:
+def _rolled(base: DataFrame, level: int, depth: int, size: tuple[int, int] | None) -> DataFrame:
     """The tiles of the ``depth`` levels above those of ``level``."""
     kind = base.schema["slide_id"].dataType.simpleString()
-    names = ["slide_id", "level", "ti", "tj", "height", "width", "channels", "image"]
+    names = ["slide_id", "level", "ti", "tj", "height", "width", "channels", "image", "held"]
 
     def rows(slide, tiles: dict, slide_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         for up in range(1, depth + 1):
-            tiles = _above(tiles)
-            own = [(slide, level + up, i, j, *t.shape, t.tobytes()) for (i, j), t in tiles.items()]
-            types = [slide_type, *[pa.int32()] * 6, pa.binary()]
+            tiles = _above(tiles, size)
+            own = [(slide, level + up, i, j, *t.shape, t.tobytes(), None if has.all() else has.tobytes()) for (i, j), (t, has) in tiles.items()]
+            types = [slide_type, *[pa.int32()] * 6, pa.binary(), pa.binary()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*own, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,30 +97,35 @@ def _rolled(base: DataFrame, level: int, depth: int) -> DataFrame:
                     yield from rows(at[0], tiles, slide_type)
                     tiles = {}
                 at = r["slide_id"], r["_root"]
-                tiles[r["ti"], r["tj"]] = np.frombuffer(r["image"], np.uint8).reshape(r["height"], r["width"], r["channels"])
+                shape = r["height"], r["width"]
+                has = np.ones(shape, bool) if r["held"] is None else np.frombuffer(r["held"], bool).reshape(shape)
+                tiles[r["ti"], r["tj"]] = np.frombuffer(r["image"], np.uint8).reshape(*shape, r["channels"]), has
         if tiles:
             yield from rows(at[0], tiles, slide_type)
 
-    dealt = base.withColumn("_root", F.shiftright("z", 2 * depth)).select("slide_id", "_root", "ti", "tj", "height", "width", "channels", "image", "z")
+    dealt = base.withColumn("_root", F.shiftright("z", 2 * depth)).select("slide_id", "_root", "ti", "tj", "height", "width", "channels", "image", "held", "z")
     sorted_ = dealt.repartition("slide_id", "_root").sortWithinPartitions("slide_id", "_root", "z").drop("z")
-    found = sorted_.mapInArrow(run, f"slide_id {kind}, level int, ti int, tj int, height int, width int, channels int, image binary")
+    found = sorted_.mapInArrow(run, f"slide_id {kind}, level int, ti int, tj int, height int, width int, channels int, image binary, held binary")
     return found.withColumn("z", curve(F.col("ti"), F.col("tj"))).select(*COLUMNS)
 
 
-def levels(tiles: DataFrame, count: int, depth: int = DEPTH) -> DataFrame:
+def levels(tiles: DataFrame, count: int, depth: int = DEPTH, size: tuple[int, int] | None = None) -> DataFrame:
     """The tiles of level 0, (slide_id, ti, tj, height, width, channels, image), and of ``count`` levels above.
 
     Tiles of a row have the same height, those of a column the same width, and all but the last ones an
     even number of pixels at every level but the highest. Levels beyond the one with a single tile go on
     halving it. Each pass over ``depth`` levels shuffles only the highest level so far.
+
+    Tiles may be missing, if all whole ones have the height and width ``size``. Without it each row and column
+    of tiles before the last ones needs a tile in every quad that it goes through, and each quad its first tile.
     """
     if depth < 1:
         raise ValueError("a pass rolls up one level at least")
-    base = tiles.withColumns({"level": F.lit(0), "z": curve(F.col("ti"), F.col("tj"))}).select(*COLUMNS)
+    base = tiles.withColumns({"level": F.lit(0), "z": curve(F.col("ti"), F.col("tj")), "held": F.lit(None).cast("binary")}).select(*COLUMNS)
     out, done = [base], 0
     while done < count:
         some = min(depth, count - done)
-        above = cut(_rolled(base, done, some))
+        above = cut(_rolled(base, done, some, size))
         done += some
         out.append(above)
         base = above.filter(F.col("level") == done)

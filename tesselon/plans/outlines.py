@@ -67,11 +67,11 @@ def contour_vertices(spark, sf):
 l1 AS (SELECT slide_id, y // 2 AS y, x // 2 AS x, (2 * sum(v) + count(*)) // (2 * count(*)) AS v FROM l0 GROUP BY ALL), l2 AS (SELECT slide_id, y // 2 AS y, x // 2 AS x, (2 * sum(v) + count(*)) // (2 * count(*)) AS v FROM l1 GROUP BY ALL)
 SELECT slide_id, 0 AS level, y, x, v::INT AS v FROM l0 UNION ALL SELECT slide_id, 1, y, x, v::INT FROM l1 UNION ALL SELECT slide_id, 2, y, x, v::INT FROM l2""")
 def pyramid_levels(spark, sf):
-    """Slides of four by four tiles and two levels above; a slide without its last tiles has uneven levels."""
+    """Slides of four by four tiles and two levels above; a slide without some of its tiles has uneven levels."""
     place = F.pmod("vec_id", F.lit(16))
     packed = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "v"))), lambda s: F.lpad(F.hex(s["v"].cast("long")), 2, "0")), ""))
     tiles = T.pixels(spark, sf).groupBy("vec_id").agg(packed.alias("image"))
     index = {"slide_id": F.floor(F.col("vec_id") / 16), "ti": F.floor(place / 4).cast("int"), "tj": F.pmod("vec_id", F.lit(4)).cast("int"), **{c: F.lit(n) for c, n in (("height", 8), ("width", 8), ("channels", 1))}}
-    found = images.pixels(pyramid.levels(tiles.withColumns(index), 2, 1), ("slide_id", "level", "ti", "tj"))
+    found = images.pixels(pyramid.levels(tiles.withColumns(index), 2, 1, (8, 8)), ("slide_id", "level", "ti", "tj"))
     side = lambda t, at: F.col(t) * 8 + F.col(at)
     return found.select("slide_id", "level", side("ti", "i").alias("y"), side("tj", "j").alias("x"), "v")

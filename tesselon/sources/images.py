@@ -81,9 +81,15 @@ def tiff_tiles(found: DataFrame, size: int) -> DataFrame:
 
 
 def pixels(tiles: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, i, j, c, v) of 8-bit tiles (height, width, channels, image), without leaving the JVM."""
+    """(keys, i, j, c, v) of 8-bit tiles (height, width, channels, image), without leaving the JVM.
+
+    If there is a column ``held``, with a byte for each pixel or null, pixels with zero there are none.
+    """
     n = F.col("height") * F.col("width") * F.col("channels")
-    at = tiles.select(*keys, "height", "width", "channels", "image", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("k"))
+    held = [c for c in ("held",) if c in tiles.columns]
+    at = tiles.select(*keys, "height", "width", "channels", "image", *held, F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("k"))
+    if held:
+        at = at.filter(F.expr("held IS NULL OR substring(held, k div channels + 1, 1) <> X'00'"))
     value = F.conv(F.hex(F.expr("substring(image, k + 1, 1)")), 16, 10).cast("int")
     row = F.col("width") * F.col("channels")
     return at.select(*keys, F.floor(F.col("k") / row).cast("int").alias("i"), F.floor((F.col("k") % row) / F.col("channels")).cast("int").alias("j"), (F.col("k") % F.col("channels")).alias("c"), value.alias("v"))

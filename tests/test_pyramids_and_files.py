@@ -52,6 +52,31 @@ def test_levels_equal_halving_the_whole(spark, depth):
             image = halved(image)
 
 
+@pytest.mark.parametrize("depth", [1, 3])
+def test_missing_tiles_are_no_pixels(spark, depth):
+    rng = np.random.default_rng(9)
+    image, tiles = rng.integers(0, 256, (29, 32)), {}
+    gone = {"last": [(1, 3), (3, 1), (3, 2), (3, 3)], "first": [(0, 0), (2, 2), (2, 3)], "lines": [*((1, j) for j in range(4)), *((i, 2) for i in range(4)), (0, 0), (0, 1)]}
+    rows, expected = [], set()
+    for name, holes in gone.items():
+        for i, j in [(i, j) for i in range(4) for j in range(4) if (i, j) not in holes]:
+            part = image[8 * i : 8 * i + 8, 8 * j : 8 * j + 8].astype(np.uint8)
+            rows.append((name, i, j, *part.shape, 1, bytearray(part.tobytes())))
+            tiles.update({(name, 8 * i + y, 8 * j + x): int(v) for (y, x), v in np.ndenumerate(part)})
+    for level in range(4):
+        expected |= {(name, level, y, x, v) for (name, y, x), v in tiles.items()}
+        below = {}
+        for (name, y, x), v in tiles.items():
+            below.setdefault((name, y // 2, x // 2), []).append(v)
+        tiles = {at: (2 * sum(own) + len(own)) // (2 * len(own)) for at, own in below.items()}
+    base = spark.createDataFrame(rows, "slide_id string, ti int, tj int, height int, width int, channels int, image binary")
+    found = images.pixels(pyramid.levels(base, 3, depth, (8, 8)), ("slide_id", "level", "ti", "tj")).selectExpr("slide_id", "level", "ti * 8 + i", "tj * 8 + j", "v").collect()
+    assert len(found) == len(expected) and set(map(tuple, found)) == expected
+    # A hole beside tiles that say where it is needs no size.
+    alone = images.pixels(pyramid.levels(base.filter("slide_id = 'last'"), 3, depth), ("slide_id", "level", "ti", "tj")).selectExpr("slide_id", "level", "ti * 8 + i", "tj * 8 + j", "v").collect()
+    assert set(map(tuple, alone)) == {r for r in expected if r[0] == "last"}
+
+
 def test_the_curve_and_its_ranges(spark):
     z = {(r["i"], r["j"]): r["z"] for r in spark.range(64).selectExpr("cast(id div 8 AS int) AS i", "cast(id % 8 AS int) AS j").withColumn("z", pyramid.curve(F.col("i"), F.col("j"))).collect()}
     assert sorted(z.values()) == list(range(64)) and z[1, 0] == 2 and z[0, 1] == 1 and z[7, 7] == 63
