@@ -3,12 +3,14 @@
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tesselon.operators import pyramid
+from tesselon.plans import catalog
 from tesselon.sources import images, tiff
 
 
@@ -77,6 +79,18 @@ def test_missing_tiles_are_no_pixels(spark, depth):
     assert set(map(tuple, alone)) == {r for r in expected if r[0] == "last"}
 
 
+@pytest.mark.parametrize("first,last", [(0, 22), (5, 30)])
+def test_the_query_over_slides_with_holes_equals_its_sql(spark, tmp_path, first, last):
+    rng = np.random.default_rng(first)
+    rows = [(n, [float(x) for x in rng.uniform(-1, 1, 64)]) for n in range(first, last)]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    expected = sorted(con.execute(catalog.ORACLE_SQL["pyramid_levels"]).fetchall())
+    assert sorted(map(tuple, catalog.QUERIES["pyramid_levels"](spark, str(tmp_path)).collect())) == expected
+
+
 def test_the_curve_and_its_ranges(spark):
     z = {(r["i"], r["j"]): r["z"] for r in spark.range(64).selectExpr("cast(id div 8 AS int) AS i", "cast(id % 8 AS int) AS j").withColumn("z", pyramid.curve(F.col("i"), F.col("j"))).collect()}
     assert sorted(z.values()) == list(range(64)) and z[1, 0] == 2 and z[0, 1] == 1 and z[7, 7] == 63
